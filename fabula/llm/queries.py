@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fabula.llm import decontaminate, embedding_dedup, htmltext, pieces, quality, sharding, simhash, training_order, warc
+from fabula.llm import decontaminate, embedding_dedup, htmltext, katz, pieces, quality, sharding, simhash, training_order, warc
 from fabula.session import table
 
 
@@ -14,6 +14,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), shards=16))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -49,12 +50,32 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/fabula-{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str = "table") -> DataFrame:
+#: Spark drops a query's shuffle files when it ends, if this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Queries that start inside leave no shuffle files behind."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def written(df: DataFrame, what: str = "table", compression: str | None = None) -> DataFrame:
     """The rows of ``df``, written once as Parquet in the shared folder and
     read back. Cuts the lineage and survives the loss of any executor."""
-    path = new_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_folder(spark, what)
+    with shuffles_dropped(spark):
+        (df.write.option("compression", compression) if compression else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:

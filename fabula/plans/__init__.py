@@ -1,6 +1,6 @@
 """Registered queries; each module registers its own when it is imported."""
 
-from fabula.plans import numbers, words  # noqa: F401
+from fabula.plans import numbers, sequences, stories, words  # noqa: F401
 from fabula.plans.registry import QUERIES, SQL
 
 

@@ -121,8 +121,8 @@ def sentiment(terms: DataFrame, lexicon: DataFrame, by: list[str], order: str) -
     no = lambda k: F.coalesce(F.lower(prev("token", k)).isin("not", "no", "never"), F.lit(False))
     t = t.withColumns({"_i": F.coalesce(prev("intensity"), F.lit(1.0)), "_n": F.when(no(1) | no(2), -0.5).otherwise(1.0)})
     clamp = lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
-    p = t.where("polarity is not null").withColumns({"p": clamp(F.col("polarity") * F.col("_i") * F.col("_n")), "s": F.least(F.lit(1.0), F.col("subjectivity") * F.col("_i"))})
-    return p.groupBy(*by).agg(F.avg("p").alias("polarity"), F.avg("s").alias("subjectivity"), F.count(F.lit(1)).alias("known"))
+    p = t.where("polarity is not null").withColumns({"_p": clamp(F.col("polarity") * F.col("_i") * F.col("_n")), "_s": F.least(F.lit(1.0), F.col("subjectivity") * F.col("_i"))})
+    return p.groupBy(*by).agg(F.avg("_p").alias("polarity"), F.avg("_s").alias("subjectivity"), F.count(F.lit(1)).alias("known"))
 
 
 def mood(sentence: Column) -> Column:

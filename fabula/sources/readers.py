@@ -135,7 +135,7 @@ def nth_occurrence(text: Column, token: Column) -> Column:
     """Offset of ``word/n`` in a text (n from 1, 1 if not given); -1 if it is
     not there."""
     word, n = F.split(token, "/")[0], F.coalesce(F.get(F.split(token, "/"), F.lit(1)).cast("int"), F.lit(1))
-    before = F.substring_index(text, word, n)
+    before = F.call_function("substring_index", text, word, n)
     return F.when(F.length(before) < F.length(text), F.length(before)).otherwise(-1)
 
 
@@ -143,7 +143,7 @@ def indented(spark: SparkSession, path: str) -> DataFrame:
     """Tab-indented outline to child, parent rows (SRC28-SRC30): a line's
     parent is the last line with one tab less."""
     l = lines(spark, path).where(F.trim("value") != "").withColumn("depth", F.length(F.regexp_extract("value", r"^(\t*)", 1)))
-    l = l.withColumn("name", F.trim("value"))
+    l = l.withColumn("name", F.regexp_replace("value", r"^\s+|\s+$", ""))
     w = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.collect_list(F.struct("n", "depth", "name")).over(w)  # an outline's lines
     parent = F.element_at(F.filter(seen, lambda x: x["depth"] == F.col("depth") - 1), -1)["name"]

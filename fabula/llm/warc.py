@@ -1,23 +1,25 @@
 """WARC archives: records with revisits, and boundary-chain verified reading.
 
 Reading does not trust the record magic: payloads may hold it. Tasks emit every
-candidate record with the offset at which its successor must start; pointer
-jumping from the start of each file then keeps the candidates that the chain of
-successors reaches, and drops those inside payloads.
+candidate record with the offset at which its successor must start; for each
+file pointer jumping from its start then keeps the candidates that the chain
+of successors reaches, and drops those inside payloads.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.session import cut, new_folder, written
+from fabula.session import cut, new_folder
 
 END = "\r\n\r\n"
 DATE = "2020-01-01T00:00:00Z"
@@ -90,10 +92,12 @@ def record_text(r: DataFrame) -> DataFrame:
     )
 
 
-def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0) -> None:
-    """Writes uncompressed archives; Spark's text sink ends each record with
-    the two line ends that the format asks for, and commits whole files only."""
-    record_text(with_revisits(pages, least_bytes=least_bytes)).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0, compression: str = "gzip") -> None:
+    """Writes archives; Spark's text sink ends each record with the two line
+    ends that the format asks for, and commits whole files only. compression:
+    ``gzip`` for one member a file, ``none`` for archives to seek in."""
+    records = record_text(with_revisits(pages, least_bytes=least_bytes))
+    records.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", compression).text(path)
 
 
 def header_fields(head: bytes) -> dict[str, str]:
@@ -146,7 +150,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for file, content in zip(pdf["path"], pdf["content"]):
-                rows = list(scan(content))
+                rows = list(scan(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content))
                 if rows:
                     out = pd.DataFrame(rows, columns=[x.split()[0] for x in CANDIDATE.split(", ")][1:])
                     out.insert(0, "file", file)
@@ -155,29 +159,27 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(emit, CANDIDATE)
 
 
-def reached(found: DataFrame, doublings: int = 3, max_rounds: int = 20) -> DataFrame:
-    """(file, off) of the candidates on the chain from offset 0.
+def on_chain(off: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Which candidates the chain from offset 0 reaches. off is sorted and
+    distinct. Pointers are doubled until they all rest: a chain of n records
+    takes log2(n) rounds."""
+    n = len(off)
+    at = np.searchsorted(off, follows)
+    jump = np.append(np.where(off[np.minimum(at, n - 1)] == follows, at, n), n)  # n is the end
+    jump[jump > n] = n
+    on = np.zeros(n + 1, bool)
+    on[0] = n > 0 and off[0] == 0
+    while True:
+        on[jump[on]] = True
+        far = jump[jump]
+        if (far == jump).all():
+            return on[:n]
+        jump = far
 
-    Pointers are doubled ``doublings`` times a round, so that a chain of n
-    records takes about log(n) / log(2**doublings) rounds, each one job.
-    """
-    jump = cut(found.select("file", "off", "next").distinct())
-    places = jump.select("file", "off")
-    on = cut(places.where("off = 0"))
-    known = on.count()
-    for _ in range(max_rounds):
-        for _ in range(doublings):
-            further = on.join(jump, ["file", "off"]).select("file", F.col("next").alias("off"))
-            on = on.union(further)
-            twice = jump.select("file", F.col("off").alias("next"), F.col("next").alias("far"))
-            jump = jump.join(twice, ["file", "next"], "left").select("file", "off", F.coalesce("far", "next").alias("next"))
-        on = cut(on.join(places, ["file", "off"], "left_semi").distinct())
-        now = on.count()
-        if now == known:
-            return on
-        known = now
-        jump = cut(jump)
-    raise RuntimeError(f"a chain was not followed in {max_rounds} rounds")
+
+def keep_reached(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("off", kind="stable")
+    return pdf[on_chain(pdf["off"].to_numpy(), pdf["next"].to_numpy())]
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -187,8 +189,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     A broken record ends its file: what the chain does not reach is no record.
     An archive is one binary value, so Spark's limit of 2 GB a file holds.
     """
-    found = written(candidates(spark, path), "candidates")
-    return found.join(reached(found), ["file", "off"]).drop("file", "off", "next")
+    # A group is what one archive holds, which the size of a file bounds.
+    chains = candidates(spark, path).groupBy("file").applyInPandas(keep_reached, CANDIDATE)
+    return chains.drop("file", "off", "next")
 
 
 def round_trip(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:

@@ -63,3 +63,23 @@ def test_sentiment(spark):
     rows = [(s, k, w) for s, t in ((1, "very good"), (2, "not good"), (3, "bad")) for k, w in enumerate(t.split())]
     got = {r.s: round(r.polarity, 3) for r in shallow.sentiment(spark.createDataFrame(rows, "s int, pos int, token string"), lexicon, ["s"], "pos").collect()}
     assert got == {1: 0.75, 2: -0.25, 3: -0.6}
+
+
+@pytest.mark.parametrize(
+    "word, want",
+    [tuple(p.split(":")) for p in "caresses:caress ponies:poni ties:tie cats:cat gas:gas this:this agreed:agre plastered:plaster motoring:motor conflated:conflat hopping:hop hoping:hope happy:happi by:by say:say relational:relat generously:generous communism:communism consistency:consist knightly:knight skies:sky national:nation controlled:control rate:rate fitness:fit vietnamization:vietnam".split()],
+)
+def test_stems(word, want):
+    from fabula.functions.stem import stem
+
+    assert stem(word) == want
+
+
+def test_probabilities(spark):
+    from fabula.functions import probability as P
+
+    assert P.chi_squared_p(1.44, 1) == pytest.approx(0.2301, abs=1e-4) and P.chi_squared_p(6.72, 5) == pytest.approx(0.2423, abs=1e-3)
+    assert P.student_p(2.0, 10) == pytest.approx(0.07339, abs=1e-5) and P.normal_cdf(1.96) == pytest.approx(0.975, abs=1e-4)
+    assert P.kolmogorov_p(0.5, 100, 100) < 1e-8 and P.kolmogorov_p(0.01, 100, 100) == 1.0
+    d = spark.createDataFrame([(1.44, 1), (None, 1)], "x double, df int")
+    assert [r.p for r in d.select(P.p_value(P.chi_squared_p, "x", "df").alias("p")).collect()] == [pytest.approx(0.2301, abs=1e-4), None]

@@ -21,6 +21,11 @@ BLOCK = 1 << 16
 #: reach the driver), and how many leaves the driver splits it into at most.
 TOP_BITS = 16
 MAX_LEAVES = 2048
+#: Leaves are split until they hold so many fingerprints at most, and at least
+#: into so many leaves, to have tasks for all cores. A fingerprint is sent once
+#: for each leaf that the budget can reach, so more leaves cost more shuffle.
+TARGET = 1 << 20
+LEAST_LEAVES = 16
 #: Node pairs with so few leaf pairs are compared directly.
 DIRECT = 64
 
@@ -145,9 +150,10 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     return root
 
 
-def split_top(counts: np.ndarray, target: int, max_leaves: int) -> list[tuple[int, int]]:
+def split_top(counts: np.ndarray, target: int, max_leaves: int, least: int = 1) -> list[tuple[int, int]]:
     """Leaves (depth, prefix) of the top of the trie: the fullest node is split
-    until each holds ``target`` fingerprints at most or leaves run out."""
+    until there are ``least`` leaves and each holds ``target`` fingerprints at
+    most, or until leaves run out."""
     import heapq
 
     sums = [counts]
@@ -157,7 +163,8 @@ def split_top(counts: np.ndarray, target: int, max_leaves: int) -> list[tuple[in
     heap, leaves = [(-int(sums[0][0]), 0, 0)], []
     while heap:
         n, d, p = heapq.heappop(heap)
-        if -n <= target or d == len(sums) - 1 or len(heap) + len(leaves) + 2 > max_leaves:
+        few = len(heap) + len(leaves) + 1 < least
+        if (-n <= target and not few) or -n <= 1 or d == len(sums) - 1 or len(heap) + len(leaves) + 2 > max_leaves:
             leaves.append((d, p))
         else:
             for q in (2 * p, 2 * p + 1):
@@ -178,7 +185,7 @@ def leaf_pairs(leaves: list[tuple[int, int]], budget: int) -> list[tuple[int, in
     return pairs
 
 
-def link_fingerprints(prints: DataFrame, *, budget: int = 3, target: int = 4096) -> DataFrame:
+def link_fingerprints(prints: DataFrame, *, budget: int = 3, target: int = TARGET) -> DataFrame:
     """Links (src, dst) that connect all distinct fingerprints of the column
     ``fp`` (long) within ``budget`` differing bits.
 
@@ -192,7 +199,7 @@ def link_fingerprints(prints: DataFrame, *, budget: int = 3, target: int = 4096)
         counts[r["p"]] = r["count"]
     if not counts.any():
         return spark.createDataFrame([], "src long, dst long")
-    leaves = split_top(counts, target, MAX_LEAVES)
+    leaves = split_top(counts, target, MAX_LEAVES, LEAST_LEAVES)
     pairs = leaf_pairs(leaves, budget)
     of = np.zeros(1 << TOP_BITS, np.int32)
     for k, (d, p) in enumerate(leaves):

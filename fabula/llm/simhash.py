@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabula.operators.components import connected_components
@@ -261,12 +261,26 @@ def simhash_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", budget: int = 3) -> DataFrame:
-    """One row of each group: that of the least key, and of equal keys that of
-    the least text. Rows without a key stay only where no row of their group
-    has one, one of them. Columns stay as they were."""
-    # The text is read twice instead of shuffled: only fingerprints move.
-    groups = simhash_groups(docs, key=key, text=text, budget=budget)
-    heads = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_head"), F.col("fingerprint").alias("_print")).distinct()
+    """One row of each group: that of the least key, and where several rows
+    have this key, one of them (the least text of their fingerprint). Rows
+    without a key stay only where no row of their group has one, one of them.
+    Columns stay as they were."""
+    # Fingerprints are made twice, so that the texts need not move with them.
+    head = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("fingerprint").alias("print"))
+    least = F.col(key).eqNullSafe(F.col("component_id"))
+    groups = simhash_groups(docs, key=key, text=text, budget=budget).where(least)
+    rows = groups.groupBy("component_id", head.alias("head")).agg(F.count(F.lit(1)).alias("n"))
+    # A key stands in one row, so a component has one head, but for repeated keys.
+    heads = written(
+        rows.groupBy("component_id", "head.key", F.when(F.col("head.none"), F.col("head.print")).alias("of")).agg(F.min("head.print").alias("print"), F.min_by("n", "head.print").alias("n")),
+        "heads",
+    ).select(F.col("key").alias("_key"), F.col("print").alias("_of"), "n")
     marked = docs.withColumn("_print", F.lpad(F.lower(F.hex(fingerprint_column(text))), 16, "0"))
-    kept = marked.join(heads, F.col(key).eqNullSafe(F.col("_head")) & (marked["_print"] == heads["_print"]), "left_semi")
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_print") == F.col("_of"))
+    kept = marked.join(heads.where("n = 1"), same, "left_semi")
+    again = heads.where("n > 1")
+    if not again.isEmpty():
+        first = Window.partitionBy(key, "_print").orderBy(F.col(text).asc_nulls_first())
+        repeated = marked.join(again, same, "left_semi").withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+        kept = kept.unionByName(repeated)
     return kept.drop("_print")

@@ -23,6 +23,8 @@ from fabula.session import new_folder, written
 LENGTH = 512
 SHARD = 8192
 ROUNDS = 6
+#: The shards are written in so many turns, each with its own shuffle, dropped after it.
+TURNS = 4
 MASK64 = (1 << 64) - 1
 
 
@@ -81,7 +83,7 @@ def sequences(docs: DataFrame, encode, *, length: int, end_id: int, key: str = "
             yield pd.DataFrame({"task": task, "local": at, "doc_id": pd.array(doc, "Int64"), "part": part, "n_tokens": size, "ids": blob})
 
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return written(base.mapInPandas(cut, "task int, local long, doc_id long, part int, n_tokens int, ids binary"), "sequences")
+    return written(base.mapInPandas(cut, "task int, local long, doc_id long, part int, n_tokens int, ids binary"), "sequences", "zstd")
 
 
 def open_folder(path: str):
@@ -108,13 +110,16 @@ def write_in_order(seqs: DataFrame, path: str, *, length: int = LENGTH, pad_id:
         before[t] = total
         total += counts[t]
 
-    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                index = pdf["task"].map(before).to_numpy(np.int64) + pdf["local"].to_numpy(np.int64)
-                slot = feistel(index, total, key)
-                out = pdf[["doc_id", "part", "n_tokens", "ids"]].assign(doc_id=pdf["doc_id"].astype("Int64"), slot=slot, shard=slot // shard)
-                yield out
+    def slots(turn: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    index = pdf["task"].map(before).to_numpy(np.int64) + pdf["local"].to_numpy(np.int64)
+                    slot = feistel(index, total, key)
+                    out = pdf[["doc_id", "part", "n_tokens", "ids"]].assign(doc_id=pdf["doc_id"].astype("Int64"), slot=slot, shard=slot // shard)
+                    yield out[out["shard"] % TURNS == turn]
+
+        return run
 
     def write(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("slot")
@@ -135,11 +140,15 @@ def write_in_order(seqs: DataFrame, path: str, *, length: int = LENGTH, pad_id:
             }
         )
 
-    ranged = seqs.mapInPandas(slots, "doc_id long, part int, n_tokens int, ids binary, slot long, shard long")
-    manifest = ranged.groupBy("shard").applyInPandas(
-        write, "slot long, shard long, byte_offset long, doc_id long, part int, n_tokens int, crc32 long"
-    )
-    return written(manifest, "manifest") if total else spark.createDataFrame([], manifest.schema)
+    rows = "doc_id long, part int, n_tokens int, ids binary, slot long, shard long"
+    lines = "slot long, shard long, byte_offset long, doc_id long, part int, n_tokens int, crc32 long"
+    if not total:
+        return spark.createDataFrame([], lines)
+    out = None
+    for turn in range(TURNS):  # only a share of the shards is in a shuffle at a time
+        done = written(seqs.mapInPandas(slots(turn), rows).groupBy("shard").applyInPandas(write, lines), "manifest")
+        out = done if out is None else out.union(done)
+    return out
 
 
 def read_from(path: str, slot: int, n: int, *, length: int = LENGTH, shard: int = SHARD) -> Iterator[np.ndarray]:

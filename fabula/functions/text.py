@@ -37,17 +37,18 @@ def letter_count(text: Column) -> Column:
     return F.length(normalise_letters(text))
 
 
-def ngrams(items: Column, n: int) -> Column:
-    """All runs of n neighbours, blank-joined; fewer items give none."""
-    return F.when(
-        F.size(items) >= n, F.transform(F.sequence(F.lit(1), F.size(items) - (n - 1)), lambda i: F.array_join(F.slice(items, i, F.lit(n)), " "))
-    ).otherwise(F.array().cast("array<string>"))
+def ngrams(items: Column, n: int, sep: str = " ") -> Column:
+    """All runs of n neighbours, joined; fewer items give none. The array is
+    zipped with its own tails, so the work is linear in its length and
+    ``items`` is not evaluated again for each run."""
+    out = items
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(items, k + 1, F.size(items)), lambda a, b: F.concat(a, F.lit(sep), b))
+    return F.filter(out, lambda x: x.isNotNull())
 
 
 def character_ngrams(text: Column, n: int) -> Column:
-    return F.when(
-        F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
-    ).otherwise(F.array().cast("array<string>"))
+    return ngrams(F.filter(F.split(text, ""), lambda c: c != ""), n, "")
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

@@ -100,7 +100,9 @@ def dedup(vectors: DataFrame, *, vector: str = "embedding", label: str = "label"
         "vectors",
     )
     pivots = [r["v"] for r in classes.orderBy(F.xxhash64("id"), "id").select("v").limit(MAX_PIVOTS).collect()]
-    sizes = classes.groupBy("label", "dim").agg(F.least(F.ceil(F.count(F.lit(1)) / TILE), F.lit(MAX_PIVOTS)).cast("int").alias("k"))
+    # Small tables are written before they are joined: both sides then are plain
+    # shuffles, and Spark splits the rows of a label that holds most of them.
+    sizes = written(classes.groupBy("label", "dim").agg(F.least(F.ceil(F.count(F.lit(1)) / TILE), F.lit(MAX_PIVOTS)).cast("int").alias("k")), "sizes")
     reach = math.acos(min(1.0, threshold)) + 1e-6
 
     def angles(dim: int, k: int, x: np.ndarray) -> np.ndarray:
@@ -126,11 +128,12 @@ def dedup(vectors: DataFrame, *, vector: str = "embedding", label: str = "label"
         .mapInPandas(place, "label string, dim int, v array<double>, id long, n long, k int, cell int, angle double"),
         "placed",
     )
-    cells = (
+    cells = written(
         placed.groupBy("label", "dim", "cell")
         .agg(F.max("angle").alias("radius"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
         .groupBy("label", "dim")
-        .agg(F.array_sort(F.collect_list(F.struct("cell", "radius", "tiles"))).alias("cells"))  # MAX_PIVOTS at most
+        .agg(F.array_sort(F.collect_list(F.struct("cell", "radius", "tiles"))).alias("cells")),  # MAX_PIVOTS at most
+        "cells",
     )
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

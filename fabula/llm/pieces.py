@@ -338,8 +338,8 @@ def frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 
 
 def encode_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", model: str | None = None, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_tokens, token_ids, n_chunks and decoded (the text read back
-    from the ids) of every row.
+    """doc_id, n_tokens, token_ids, n_chunks, decoded (the text read back from
+    the ids) and round_trip (whether that is the text again) of every row.
 
     Null and empty texts have no ids and decode to the empty text. Repeated
     rows and null keys stay rows of their own. Texts of at most ``chunk``
@@ -355,7 +355,8 @@ def encode_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
             done, size = [], 0
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 ids = v.encode(marked(text))
-                done.append((doc, len(ids), ids, 1, v.decode(ids.tolist())))
+                decoded = v.decode(ids.tolist())
+                done.append((doc, len(ids), ids, 1, decoded, decoded == text))
                 size += len(text)
                 if size >= YIELD:  # few token lists are in memory at a time
                     yield frame(done, names)
@@ -364,7 +365,7 @@ def encode_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
                 yield frame(done, names)
 
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    out = "doc_id long, n_tokens int, token_ids array<int>, n_chunks int, decoded string"
+    out = "doc_id long, n_tokens int, token_ids array<int>, n_chunks int, decoded string, round_trip boolean"
     names = [c.split()[0] for c in out.split(", ")]
     short = base.where(F.char_length("text") <= chunk).mapInPandas(whole, out)
     giant = base.where(F.char_length("text") > chunk)
@@ -376,22 +377,23 @@ def encode_giants(docs: DataFrame, path: str, chunk: int, out: str) -> DataFrame
     context = 32  # over the longest piece on either side of a chunk
     if vocabulary(path).longest > context:
         raise ValueError("pieces are longer than the context kept with a chunk")
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    # A digest goes with the chunks, so that the text need not come back to be compared.
+    numbered = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("digest", F.sha2("text", 256))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row, doc, text in zip(pdf["row"], pdf["doc_id"], pdf["text"]):
+            for row, doc, text, digest in zip(pdf["row"], pdf["doc_id"], pdf["text"], pdf["digest"]):
                 m = marked(text)
                 n = -(-len(m) // chunk)
                 for c in range(n):
                     lo, hi = c * chunk, min(len(m), (c + 1) * chunk)
                     left = min(context, lo)
                     yield pd.DataFrame(
-                        {"row": [row], "doc_id": pd.array([doc], "Int64"), "c": [c], "n": [n], "left": [left], "len": [hi - lo], "text": [m[lo - left : hi + context]]}
+                        {"row": [row], "doc_id": pd.array([doc], "Int64"), "c": [c], "n": [n], "left": [left], "len": [hi - lo], "text": [m[lo - left : hi + context]], "digest": [digest]}
                     )
 
     pieces = written(
-        numbered.mapInPandas(cut, "row long, doc_id long, c int, n int, left int, len int, text string").repartition("row", "c"),
+        numbered.mapInPandas(cut, "row long, doc_id long, c int, n int, left int, len int, text string, digest string").repartition("row", "c"),
         "chunks",
     )
 
@@ -445,13 +447,14 @@ def encode_giants(docs: DataFrame, path: str, chunk: int, out: str) -> DataFrame
                 entry, exit_ = ends(v, r.c, r.n, r.left, r.len, r.text)
                 leave = None if exit_ is None else exit_[int(r.leave)]
                 rows.append(v.fast_trace(r.text, r.left, r.left + r.len, entry[int(r.entry)] if entry else None, leave))
-            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"].astype("Int64"), "c": pdf["c"], "ids": [pack(r) for r in rows]})
+            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"].astype("Int64"), "c": pdf["c"], "ids": [pack(r) for r in rows], "digest": pdf["digest"]})
 
-    traced = pieces.join(starts, ["row", "c"]).mapInPandas(backtrace, "row long, doc_id long, c int, ids array<int>")
+    traced = pieces.join(starts, ["row", "c"]).mapInPandas(backtrace, "row long, doc_id long, c int, ids array<int>, digest string")
     whole = traced.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("c", "ids"))), lambda x: x["ids"])).alias("token_ids"),
         F.count(F.lit(1)).cast("int").alias("n_chunks"),
+        F.first("digest").alias("digest"),
     )
 
     @F.pandas_udf("string")
@@ -459,7 +462,9 @@ def encode_giants(docs: DataFrame, path: str, chunk: int, out: str) -> DataFrame
         v = vocabulary(path)
         return pd.Series([v.decode(r.tolist()) for r in rows])
 
-    return whole.select("doc_id", F.size("token_ids").alias("n_tokens"), "token_ids", "n_chunks", decode("token_ids").alias("decoded"))
+    read = whole.withColumn("decoded", decode("token_ids"))
+    again = F.sha2("decoded", 256) == F.col("digest")
+    return read.select("doc_id", F.size("token_ids").alias("n_tokens"), "token_ids", "n_chunks", "decoded", again.alias("round_trip"))
 
 
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:

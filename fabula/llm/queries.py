@@ -39,7 +39,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_documents(table(spark, sf_dir, "documents")).drop("decoded")
+    return pieces.encode_documents(table(spark, sf_dir, "documents"))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from fabula.llm.pieces import default_model, encode_documents, marked, max_plus, path_states, vocabulary
+from fabula.llm.queries import op8_sentencepiece
 
 DOCS = "doc_id long, text string, row int, n_tokens string"
 PARTS = ["a", "b", "the", "  ", " ", "\n", "in", "er", "ß", "é", "😀", "漢", "字", "　", "A", "!!", "***", " " * 5, "ing", "\t", "xyz", "\x00"]
@@ -66,3 +67,19 @@ def test_giant_documents(spark, library):
         assert r.token_ids == library.encode(want) and r.n_tokens == len(r.token_ids) and r.decoded == want
         assert r.n_chunks == (1 if len(want) <= 50 else -(-(len(want) + 1) // 50))
     assert encode_documents(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_query_decodes_every_document(spark, tmp_path):
+    rnd = random.Random(3)
+    plain = [p for p in PARTS if p != "\x00"]
+    texts = {1: "".join(rnd.choices(plain, k=25_000)), 2: "short  one\n", 3: "", 4: " the quick é" * 6000}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op8_sentencepiece(spark, str(tmp_path)).collect()}
+    assert {k: r.decoded for k, r in got.items()} == texts and all(r.round_trip for r in got.values())
+    assert got[1].n_chunks > 1 and got[4].n_chunks > 1 and got[2].n_chunks == 1
+
+
+def test_round_trip_is_told(spark):
+    rows = [(1, "▁x", 1, "x"), (2, "fine text", 1, "x"), (3, "▁ long enough " * 20, 1, "x"), (4, "fine text " * 20, 1, "x"), (5, None, 1, "x")]
+    got = encode_documents(spark.createDataFrame(rows, DOCS), chunk=50).collect()
+    assert {r.doc_id: r.round_trip for r in got} == {1: False, 2: True, 3: False, 4: True, 5: True}

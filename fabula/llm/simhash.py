@@ -247,6 +247,13 @@ def simhash_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     if no key of the group is set. Repeated rows give repeated results; an
     empty table an empty one; other columns are not read.
     """
+    return labelled_groups(docs, key=key, text=text, budget=budget).drop("component")
+
+
+def labelled_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", budget: int = 3) -> DataFrame:
+    """``simhash_groups`` with the label ``component``, a fingerprint of the
+    group. Unlike component_id it tells groups apart where a key stands in
+    several of them, or none is set."""
     prints = written(docs.select(F.col(key).alias("doc_id"), fingerprint_column(text).alias("fp")), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     parts = connected_components(written(link_fingerprints(nodes, budget=budget), "links"))
@@ -254,27 +261,25 @@ def simhash_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
     ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = written(labelled.join(ids, "component").select("fp", "component_id"), "classes")
+    of = written(labelled.join(ids, "component").select("fp", "component", "component_id"), "classes")
     return prints.join(of, "fp").select(
-        F.col("doc_id").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        F.col("doc_id").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component"
     )
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", budget: int = 3) -> DataFrame:
     """One row of each group: that of the least key, and where several rows
-    have this key, one of them (the least text of their fingerprint). Rows
-    without a key stay only where no row of their group has one, one of them.
-    Columns stay as they were."""
+    have this key, one of them (the least text of their least fingerprint).
+    Rows without a key stay only where no row of their group has one, one of
+    them. Columns stay as they were."""
     # Fingerprints are made twice, so that the texts need not move with them.
-    head = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("fingerprint").alias("print"))
+    # component_id is the group's least key; the head's rows are among those that have it.
     least = F.col(key).eqNullSafe(F.col("component_id"))
-    groups = simhash_groups(docs, key=key, text=text, budget=budget).where(least)
-    rows = groups.groupBy("component_id", head.alias("head")).agg(F.count(F.lit(1)).alias("n"))
-    # A key stands in one row, so a component has one head, but for repeated keys.
+    groups = labelled_groups(docs, key=key, text=text, budget=budget).where(least)
+    rows = groups.groupBy("component", F.col("component_id").alias("_key"), F.col("fingerprint").alias("print")).agg(F.count(F.lit(1)).alias("n"))
     heads = written(
-        rows.groupBy("component_id", "head.key", F.when(F.col("head.none"), F.col("head.print")).alias("of")).agg(F.min("head.print").alias("print"), F.min_by("n", "head.print").alias("n")),
-        "heads",
-    ).select(F.col("key").alias("_key"), F.col("print").alias("_of"), "n")
+        rows.groupBy("component", "_key").agg(F.min("print").alias("_of"), F.min_by("n", "print").alias("n")).drop("component"), "heads"
+    )
     marked = docs.withColumn("_print", F.lpad(F.lower(F.hex(fingerprint_column(text))), 16, "0"))
     same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_print") == F.col("_of"))
     kept = marked.join(heads.where("n = 1"), same, "left_semi")

@@ -94,3 +94,35 @@ def test_odd_rows(spark):
     kept = keep_one(docs)
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([3, 8, None], key=str) and kept.columns == docs.columns
     assert simhash_groups(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def near_texts():
+    """Two texts of different fingerprints that link, and one far from both."""
+    words = [f"word{k}" for k in range(400)]
+    a = " ".join(words)
+    for k in range(400):
+        b = " ".join(words[:k] + ["other"] + words[k + 1 :])
+        if 0 < (plain_print(a) ^ plain_print(b)).bit_count() <= 3:
+            return a, b, "something else that is far from it"
+    raise AssertionError
+
+
+def test_key_in_two_groups(spark):
+    a, b, far = near_texts()
+    for first, second in ((a, far), (far, a)):
+        rows = [(5, first, "x", 1), (5, second, "x", 2), (7, b, "x", 3), (4, "one more text of its own", "x", 4), (4, b + " ", "x", 5)]
+        got = keep_one(spark.createDataFrame(rows[:3], DOCS)).collect()
+        assert sorted((r.doc_id, r.text) for r in got) == sorted([(5, a), (5, far)])
+        # The head of a's group now is 4, which also stands in a group of its own.
+        got = keep_one(spark.createDataFrame(rows, DOCS)).collect()
+        assert sorted((r.doc_id, r.fingerprint) for r in got) == sorted([(4, 4), (4, 5), (5, 1 if first == far else 2)])
+
+
+def test_near_texts_without_keys(spark):
+    a, b, far = near_texts()
+    rows = [(None, a, "x", 1), (None, b, "x", 2), (None, b, "x", 3), (None, far, "x", 4), (None, far, "x", 5)]
+    got = keep_one(spark.createDataFrame(rows, DOCS)).collect()
+    want = min((a, b), key=plain_print)
+    assert sorted(r.text for r in got) == sorted([want, far])
+    got = keep_one(spark.createDataFrame(rows + [(9, a, "x", 6)], DOCS)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("9", a), ("None", far)])

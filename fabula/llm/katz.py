@@ -1,72 +1,100 @@
-"""Katz back-off language model (bigrams) over whole corpora, and its scores.
+"""Katz back-off language model of any order over whole corpora, and its scores.
 
 Documents are packed into chunks of about ``CHUNK`` tokens that keep their
-words as small local ids. A chunk asks about each of its distinct words and
-word pairs once, so a word or pair that fills a third of the corpus arrives at
-most once per chunk. Requests go to buckets by hash; a bucket adds up the
-training counts of all chunks and answers each. The pairs of a very frequent
-history are spread over several buckets, whose sums the chunk adds up.
-
-Words are known by their 64-bit xxHash. Counts are Good-Turing discounted up to
-``K``; the back-off weight of a history is its left-over mass divided by the
-unigram mass of the words not seen after it, so that each history's
-distribution sums to one over the vocabulary and one class of unknown words.
+words as small local ids. Order by order, a chunk asks about each of its
+distinct n-grams once, so an n-gram that fills a third of the corpus arrives at
+most once per chunk. Requests go to buckets by the hash of the history; a
+bucket adds up the training counts of all chunks, keeps its share of the
+model's table for that order, and answers each chunk. The n-grams of a very
+frequent history are spread over several buckets, whose sums are added again.
+
+Counts are Good-Turing discounted up to ``K``. The back-off weight of a history
+is its left-over mass divided by the mass that the next lower order leaves to
+the words not seen after it, so each history's distribution sums to one over
+the vocabulary and one class of unknown words. A token's probability is found
+by recursion: its n-gram's if that was seen, else the weight times that of the
+n-gram without its first word. A bucket hands out whole numbers only, so sums
+do not depend on the order of rows.
+
+Words are told apart by their 64-bit xxHash: with V distinct words the odds of
+any clash are V * V / 2**65 (1e-6 for 6 million words, 3% for a thousand
+million). The exchange has a row per chunk and bucket that share an n-gram,
+never more than there are distinct n-grams in all chunks.
 """
 
 from __future__ import annotations
 
-import uuid
-import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabula.session import written
+from fabula.session import new_folder, written
 
-CHUNK = 2_000_000
-#: Tokens of one history that one bucket takes.
+ORDER = 3
+CHUNK = 1_000_000
+#: Bytes of text for which there is one bucket.
+BUCKET_BYTES = 12_000_000
+#: Training n-grams of one history that one bucket takes.
 HOT = 4_000_000
 K = 5
 END, START = b"\n", b"\r"  # no word holds white space
-STATS = -1
+STATS, MODEL = -1, -2
+MASK = (1 << 32) - 1
+#: Bytes of packed rows that a task hands on at a time.
+YIELD = 4 << 20
 
 
 # -- blobs ------------------------------------------------------------------
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Integers in the least width that holds them, bytes in planes, deflated."""
-    most = int(x.max()) if len(x) else 0
-    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w))
-    planes = np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
-    return bytes([width]) + zlib.compress(planes.tobytes(), 1)
-
-
-def unpack(b: bytes) -> np.ndarray:
-    width = b[0]
-    planes = np.frombuffer(zlib.decompress(b[1:]), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{width}").astype(np.int64)
-
-
-def pack_floats(x: np.ndarray) -> bytes:
-    return zlib.compress(x.astype("<f8").tobytes(), 1)
-
-
-def unpack_floats(b: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), "<f8")
-
-
-def scatter(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser of non-negative integers, as non-negative int64."""
+def pack(*arrays: np.ndarray) -> bytes:
+    """Integer arrays, each in the least number of bytes that holds it, bytes
+    in planes, compressed."""
+    head, planes = [len(arrays)], []
+    for x in arrays:
+        x = np.ascontiguousarray(x, np.int64)
+        width = max(1, (int(x.view(np.uint64).max()).bit_length() + 7) // 8) if len(x) else 1
+        head += [width, len(x)]
+        planes.append(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.array(head, "<i8").tobytes() + b"".join(planes))
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    head = np.frombuffer(raw, "<i8", 2 * n, 8).tolist()
+    at, out = 8 + 16 * n, []
+    for width, size in zip(head[::2], head[1::2]):
+        x = np.zeros((size, 8), np.uint8)
+        x[:, :width] = np.frombuffer(raw, np.uint8, width * size, at).reshape(width, size).T
+        at += width * size
+        out.append(x.view("<i8").reshape(-1))
+    return out
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser of unsigned integers."""
     with np.errstate(over="ignore"):
-        x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+        x = x + np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return ((x ^ (x >> np.uint64(31))) >> np.uint64(1)).astype(np.int64)
+        return x ^ (x >> np.uint64(31))
+
+
+def numbered(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the columns as numbers 0, 1, ... in sorted order, and the place
+    of each number's first row."""
+    first, of = np.unique(columns[0], return_index=True, return_inverse=True)[1:]
+    for c in columns[1:]:
+        small = c if not len(c) or c.max() <= MASK else np.unique(c, return_inverse=True)[1]
+        first, of = np.unique(of << 32 | small, return_index=True, return_inverse=True)[1:]
+    return of, first
 
 
 # -- model ------------------------------------------------------------------
@@ -108,17 +136,76 @@ class Unigrams:
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
 
 
-def katz_log10(c_pair, c_history, spared, seen_mass, p_word, d) -> np.ndarray:
-    """log10 P(word | history): the discounted pair if it was seen, else the
-    back-off weight times the unigram, else the unigram. spared: the counts
-    that discounting took from the history's pairs; a history from which it
-    took none gives up one count of a total raised by one."""
-    rich = spared > 0
-    total = np.where(rich, c_history, c_history + 1.0)
-    left = np.where(rich, spared, 1.0) / np.maximum(total, 1.0)
-    alpha = left / np.maximum(1.0 - seen_mass, 1e-300)
-    p = np.where(c_pair > 0, discounted(c_pair, d) / np.maximum(total, 1.0), np.where(c_history > 0, alpha * p_word, p_word))
-    return np.log10(p)
+def share(times: np.ndarray, often: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Denominator and left-over mass of histories seen ``times`` times with
+    ``often[r - 1]`` successors seen r times. A history from whose successors
+    discounting took nothing gives up one count of a total raised by one."""
+    spared = ((1 - d[1:]) * np.arange(1, K + 1)) @ often
+    total = np.maximum(np.where(spared > 0, times, times + 1.0), 1.0)
+    return total, np.where(spared > 0, spared, 1.0) / total
+
+
+def lower_mass(low: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Discounted counts of the shortened n-grams, from the numbers of those
+    counted 1..K times and the sum of all larger counts."""
+    return (d[1:] * np.arange(1, K + 1)) @ low[:K] + low[K]
+
+
+@dataclass
+class Model:
+    """unigrams, the discounts of each higher order, and for each order a
+    written table with a row per bucket: number, history words, runs, words and
+    counts of its n-grams, and for each history the whole numbers that its
+    weight is made of (order 1: hashes, counts and numbers of the words)."""
+
+    buckets: int
+    unigrams: Unigrams | None = None
+    d: dict[int, np.ndarray] = field(default_factory=dict)
+    tables: dict[int, DataFrame] = field(default_factory=dict)
+
+    def vocabulary(self) -> DataFrame:
+        """hash (XXH64, seed 0, as a signed long), number, count."""
+
+        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for blob in pdf["body"]:
+                    yield pd.DataFrame(dict(zip(("hash", "number", "count"), unpack(blob))))
+
+        return self.tables[1].select("body").mapInPandas(rows, "hash long, number long, count long").where("count > 0")
+
+    def ngrams(self, n: int) -> DataFrame:
+        """history (numbers of n - 1 words), word, count, discounted."""
+        d = self.d[n]
+
+        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for blob in pdf["body"]:
+                    *columns, runs, word, count, _ = unpack(blob)
+                    of = np.repeat(np.stack(columns, 1), runs, axis=0)
+                    yield pd.DataFrame({"history": list(of), "word": word, "count": count, "discounted": discounted(count, d)})
+
+        return self.tables[n].select("body").mapInPandas(rows, "history array<long>, word long, count long, discounted double")
+
+    def weights(self, n: int) -> DataFrame:
+        """history, total and left_over: a seen n-gram has the probability
+        discounted / total, the words not seen share left_over."""
+        d = self.d[n]
+
+        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for blob in pdf["body"]:
+                    *columns, runs, _, count, stats = unpack(blob)
+                    often = stats.reshape(2 * K + 1, -1)[:K].astype(np.float64)
+                    times = np.bincount(np.repeat(np.arange(len(runs)), runs), count, len(runs))
+                    spared = ((1 - d[1:]) * np.arange(1, K + 1)) @ often
+                    yield pd.DataFrame({"history": list(np.stack(columns, 1)), "times": times, "spared": spared})
+
+        parts = self.tables[n].select("body").mapInPandas(rows, "history array<long>, times double, spared double")
+        summed = parts.groupBy("history").agg(F.sum("times").alias("times"), F.sum("spared").alias("spared"))
+        rich = F.col("spared") > 0
+        return summed.select("history", F.when(rich, F.col("times")).otherwise(F.col("times") + 1).alias("total"), F.when(rich, F.col("spared")).otherwise(1.0).alias("left")).select(
+            "history", "total", (F.col("left") / F.col("total")).alias("left_over")
+        )
 
 
 # -- chunks -----------------------------------------------------------------
@@ -133,22 +220,19 @@ class Numbering(dict):
 
 
 def chunk_row(task: int, part: int, docs: list, tokens: list[np.ndarray], words: dict) -> dict:
-    held = np.array([h for _, h in docs], bool)
-    length = np.array([len(t) for t in tokens], np.int64)
-    ids = np.concatenate(tokens)
-    train = np.bincount(ids[np.repeat(~held, length)], minlength=len(words))
     return {
         "chunk": task << 32 | part,
         "doc_ids": np.array([0 if d is None else d for d, _ in docs], "<i8").tobytes(),
         "no_id": np.array([d is None for d, _ in docs], np.uint8).tobytes(),
-        "held": held.astype(np.uint8).tobytes(),
-        "lengths": pack(length),
-        "ids": pack(ids),
+        "held": np.array([h for _, h in docs], np.uint8).tobytes(),
+        "tokens": pack(np.array([len(t) for t in tokens], np.int64), np.concatenate(tokens)),
         "hashes": np.array([xxhash.xxh64_intdigest(w, 0) for w in words], "<u8").tobytes(),
-        "train": pack(train),
     }
 
 
+CHUNK_SCHEMA = "chunk long, doc_ids binary, no_id binary, held binary, tokens binary, hashes binary"
+
+
 def make_chunks(chunk: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -172,199 +256,291 @@ def make_chunks(chunk: int):
     return run
 
 
-CHUNK_SCHEMA = "chunk long, doc_ids binary, no_id binary, held binary, lengths binary, ids binary, hashes binary, train binary"
-
+@dataclass
+class Level:
+    """Distinct n-grams of a chunk by (history, word): local ids of word and
+    history, of the n-gram without its first word, a hash of each, and for each
+    token the n-gram that ends there (-1: too near to the document's start)."""
+
+    history: np.ndarray | None
+    word: np.ndarray
+    suffix: np.ndarray | None
+    hashes: np.ndarray
+    of_token: np.ndarray
+
+
+class Chunk:
+    def __init__(self, row):
+        self.lengths, self.ids = unpack(row.tokens)
+        self.held = np.frombuffer(row.held, np.uint8).astype(bool)
+        self.word_hash = np.frombuffer(row.hashes, "<u8")
+        ends = np.cumsum(self.lengths)
+        self.begins = (ends - self.lengths)[self.lengths > 0]
+        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.levels = [Level(None, np.arange(len(self.word_hash)), None, mix(self.word_hash), self.ids)]
+        #: By order: training counts in the corpus of this chunk's n-grams.
+        self.count: dict[int, np.ndarray] = {}
+        self.number = np.zeros(0, np.int64)
+
+    def level(self, n: int) -> Level:
+        while len(self.levels) < n:
+            below = self.levels[-1]
+            before = np.empty(len(self.ids), np.int64)
+            before[1:] = below.of_token[:-1]
+            before[self.begins] = 1 if len(self.levels) == 1 else -1  # the start stands before a document once
+            at = np.flatnonzero(before >= 0)
+            keys, first, inverse = np.unique(before[at] << 32 | self.ids[at], return_index=True, return_inverse=True)
+            history, word = keys >> 32, keys & MASK
+            of = np.full(len(self.ids), -1, np.int64)
+            of[at] = inverse
+            with np.errstate(over="ignore"):
+                hashes = mix(below.hashes[history] * np.uint64(0x9E3779B97F4A7C15) + self.levels[0].hashes[word])
+            self.levels.append(Level(history, word, below.of_token[at[first]], hashes, of))
+        return self.levels[n - 1]
+
+    def training(self, n: int) -> np.ndarray:
+        """Training counts of the n-grams in this chunk."""
+        of = self.level(n).of_token
+        return np.bincount(of[(of >= 0) & ~self.held[self.doc]], minlength=len(self.level(n).word))
+
+    def columns(self, n: int, which: np.ndarray) -> list[np.ndarray]:
+        """Numbers of the words of some n-grams."""
+        lv = self.level(n)
+        return ([] if n == 1 else self.columns(n - 1, lv.history[which])) + [self.number[lv.word[which]]]
+
+    def times(self, n: int) -> np.ndarray:
+        """How often each n-gram is a history in training: its count, and for
+        the document start as often as a document ends."""
+        c = self.count[n]
+        return np.where(np.arange(len(c)) == 1, c[0], c) if n == 1 else c
+
+    def word_layout(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+        b = (self.word_hash % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(b, kind="stable")
+        cut = np.searchsorted(b[order], np.arange(buckets + 1))
+        for k in range(buckets):
+            if cut[k] < cut[k + 1]:
+                yield k, order[cut[k] : cut[k + 1]]
+
+    def layout(self, n: int, buckets: int, hot: int, turn: int, turns: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Where the n-grams are asked about in a turn: for each bucket its
+        n-grams, by history, and the histories that may have n-grams there."""
+        lv, below, times = self.level(n), self.level(n - 1), self.times(n - 1)
+        spread = np.minimum(buckets, np.maximum(1, -(-times // hot)))
+        home = (below.hashes >> np.uint64(1)).astype(np.int64)
+        walk = (mix(self.word_hash ^ np.uint64(0x5BD1E995)) >> np.uint64(1)).astype(np.int64)
+        bucket = (home[lv.history] + walk[lv.word] % spread[lv.history]) % buckets
+        own = lv.history[np.append(True, lv.history[1:] != lv.history[:-1])] if len(lv.history) else lv.history
+        asked = np.repeat(own, spread[own])
+        step = np.arange(len(asked)) - np.repeat(np.cumsum(spread[own]) - spread[own], spread[own])
+        where = (home[asked] + step) % buckets
+        narrow = np.int16 if buckets < 1 << 15 else np.int64
+        by_gram, by_ask = np.argsort(bucket.astype(narrow), kind="stable"), np.argsort(where.astype(narrow), kind="stable")
+        cut = np.searchsorted(bucket[by_gram], np.arange(buckets + 1))
+        ask_cut = np.searchsorted(where[by_ask], np.arange(buckets + 1))
+        for k in range(turn, buckets, turns):
+            if ask_cut[k] < ask_cut[k + 1]:
+                yield k, by_gram[cut[k] : cut[k + 1]], asked[by_ask[ask_cut[k] : ask_cut[k + 1]]]
+
+    def hear_words(self, answers: list, buckets: int) -> None:
+        found = {a["bucket"]: a["body"] for a in answers}
+        self.count[1], self.number = np.zeros(len(self.word_hash), np.int64), np.zeros(len(self.word_hash), np.int64)
+        for k, at in self.word_layout(buckets):
+            self.count[1][at], self.number[at] = unpack(found[k])
+
+    def hear(self, n: int, answers: list, buckets: int, hot: int) -> np.ndarray:
+        """Takes in the counts of order n; returns the whole numbers of each
+        history, a row each."""
+        found = {a["bucket"]: a["body"] for a in answers} if answers is not None else {}  # no document is so long
+        self.count[n] = np.zeros(len(self.level(n).word), np.int64)
+        stats = np.zeros((2 * K + 1, len(self.level(n - 1).word)), np.int64)
+        for k, grams, asked in self.layout(n, buckets, hot, 0, 1):
+            self.count[n][grams], own = unpack(found.pop(k))
+            stats[:, asked] += own.reshape(2 * K + 1, -1)
+        return stats
+
+
+def in_portions(rows: Iterator[dict]) -> Iterator[pd.DataFrame]:
+    """Frames of about ``YIELD`` bytes, so that few blobs are held at a time."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r["body"])
+        if size >= YIELD:
+            yield pd.DataFrame(held)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held)
+
+
+ASK = "bucket int, chunk long, body binary"
+ANSWER = "chunk long, bucket int, body binary, stats array<long>"
+
+
+def deal_words(buckets: int):
+    def rows(pdf: pd.DataFrame) -> Iterator[dict]:
+        for row in pdf.itertuples():
+            c = Chunk(row)
+            train = c.training(1)
+            for k, at in c.word_layout(buckets):
+                yield {"bucket": k, "chunk": row.chunk, "body": pack(c.word_hash[at].view(np.int64), train[at])}
 
-def pairs_of(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (history << 32 | word) local pairs, where each token's pair is
-    among them, and each token's document."""
-    ids, length = unpack(row.ids), unpack(row.lengths)
-    before = np.concatenate(([1], ids[:-1]))
-    before[np.cumsum(length)[:-1]] = 1  # a document begins
-    keys, inverse = np.unique(before << 32 | ids, return_inverse=True)
-    return keys, inverse, np.repeat(np.arange(len(length)), length)
-
-
-def deal_unigrams(buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.itertuples():
-                h, c = np.frombuffer(row.hashes, "<u8"), unpack(row.train)
-                b = (h % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(b, kind="stable")
-                cut = np.searchsorted(b[order], np.arange(buckets + 1))
-                out = [
-                    {"bucket": k, "chunk": row.chunk, "hashes": h[at].tobytes(), "counts": pack(c[at])}
-                    for k in range(buckets)
-                    if len(at := order[cut[k] : cut[k + 1]])
-                ]
-                yield pd.DataFrame(out)
+            yield from in_portions(rows(pdf))
 
     return run
 
 
-def add_unigrams(buckets: int):
-    """Answers per chunk: count and number of each word, in the order asked."""
+def number_stats(total: np.ndarray) -> np.ndarray:
+    """Tokens, types, and the numbers of types seen 1..K+1 times."""
+    seen = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2]
+    return np.concatenate(([total.sum(), (total > 0).sum()], seen)).astype(np.int64)
+
+
+def add_words(buckets: int):
+    """Answers each chunk with count and number of its words."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = [np.frombuffer(b, "<u8") for b in pdf["hashes"]]
-        words, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-        asked = np.concatenate([unpack(b) for b in pdf["counts"]])
-        total = np.bincount(inverse, asked, len(words)).astype(np.int64)
+        asks = [unpack(b) for b in pdf["body"]]
+        words, inverse = np.unique(np.concatenate([a[0] for a in asks]), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([a[1] for a in asks]), len(words)).astype(np.int64)
         number = np.empty(len(words), np.int64)
         number[np.argsort(-total, kind="stable")] = np.arange(len(words))
         number = number * buckets + key[0]  # frequent words have small numbers
-        stats = np.concatenate(([total.sum(), (total > 0).sum()], np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2]))
-        out = [{"chunk": STATS, "bucket": key[0], "counts": stats.astype("<i8").tobytes(), "numbers": b""}]
+        out = [(STATS, key[0], b"", number_stats(total)), (MODEL, key[0], pack(words, number, total), None)]
         at = 0
-        for chunk, h in zip(pdf["chunk"], hashes):
+        for chunk, (h, _) in zip(pdf["chunk"], asks):
             part = inverse[at : at + len(h)]
             at += len(h)
-            out.append({"chunk": chunk, "bucket": key[0], "counts": pack(total[part]), "numbers": pack(number[part])})
-        return pd.DataFrame(out)
+            out.append((chunk, key[0], pack(total[part], number[part]), None))
+        return pd.DataFrame(out, columns=["chunk", "bucket", "body", "stats"])
 
     return run
 
 
-def unigram_answers(row, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Count and number of each local word."""
-    h = np.frombuffer(row.hashes, "<u8")
-    b = (h % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(b, kind="stable")
-    cut = np.searchsorted(b[order], np.arange(buckets + 1))
-    count, number = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-    for a in row.words:
-        at = order[cut[a["bucket"]] : cut[a["bucket"] + 1]]
-        count[at], number[at] = unpack(a["counts"]), unpack(a["numbers"])
-    return count, number
-
-
-def pair_layout(row, count: np.ndarray, buckets: int, keys: np.ndarray, hot: int):
-    """Where a chunk's pairs and histories are asked about: for each bucket the
-    indexes of its pairs, and the histories that may have pairs there."""
-    history, word = keys >> 32, keys & 0xFFFFFFFF
-    times = np.where(np.arange(len(count)) == 1, count[0], count)  # a start for each end
-    spread = np.maximum(1, -(-times // hot))
-    h64 = np.frombuffer(row.hashes, "<u8")
-    home = scatter((h64 >> np.uint64(1)).astype(np.int64))
-    turn = scatter(((h64 >> np.uint64(1)).astype(np.int64)) ^ 0x5BD1E995)
-    pair_bucket = (home[history] + turn[word] % spread[history]) % buckets
-    own = np.unique(history)
-    ask_history = np.repeat(own, np.minimum(spread[own], buckets))
-    step = np.arange(len(ask_history)) - np.repeat(np.cumsum(np.minimum(spread[own], buckets)) - np.minimum(spread[own], buckets), np.minimum(spread[own], buckets))
-    ask_bucket = (home[ask_history] + step) % buckets
-    by_pair, by_ask = np.argsort(pair_bucket, kind="stable"), np.argsort(ask_bucket, kind="stable")
-    pair_cut = np.searchsorted(pair_bucket[by_pair], np.arange(buckets + 1))
-    ask_cut = np.searchsorted(ask_bucket[by_ask], np.arange(buckets + 1))
-    for k in range(buckets):
-        pairs = by_pair[pair_cut[k] : pair_cut[k + 1]]
-        asked = np.sort(ask_history[by_ask[ask_cut[k] : ask_cut[k + 1]]])
-        if len(asked):
-            yield k, pairs, asked
-
-
-def deal_pairs(word_buckets: int, buckets: int, hot: int):
+def deal(n: int, buckets: int, hot: int, turn: int, turns: int):
+    def rows(pdf: pd.DataFrame) -> Iterator[dict]:
+        for row in pdf.itertuples():
+            c = Chunk(row)
+            c.hear_words(row.a1, buckets)
+            for m in range(2, n):
+                c.hear(m, getattr(row, f"a{m}"), buckets, hot)
+            lv, train, low = c.level(n), c.training(n), c.count[n - 1]
+            for k, grams, asked in c.layout(n, buckets, hot, turn, turns):
+                runs = np.diff(np.searchsorted(lv.history[grams], np.append(asked, MASK)))
+                body = pack(*c.columns(n - 1, asked), runs, c.number[lv.word[grams]], train[grams], low[lv.suffix[grams]])
+                yield {"bucket": k, "chunk": row.chunk, "body": body}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.itertuples():
-                count, number = unigram_answers(row, word_buckets)
-                keys, inverse, doc = pairs_of(row)
-                held = np.frombuffer(row.held, np.uint8).astype(bool)
-                train = np.bincount(inverse[~held[doc]], minlength=len(keys))
-                out = []
-                for k, pairs, asked in pair_layout(row, count, buckets, keys, hot):
-                    word = keys[pairs] & 0xFFFFFFFF
-                    per = np.diff(np.searchsorted(keys[pairs] >> 32, np.append(asked, 1 << 40)))
-                    out.append(
-                        {
-                            "bucket": k, "chunk": row.chunk, "histories": pack(number[asked]), "runs": pack(per),
-                            "words": pack(number[word]), "counts": pack(train[pairs]), "word_counts": pack(count[word]),
-                        }
-                    )
-                if out:
-                    yield pd.DataFrame(out)
+            yield from in_portions(rows(pdf))
 
     return run
 
 
-PAIR_SCHEMA = "bucket int, chunk long, histories binary, runs binary, words binary, counts binary, word_counts binary"
-
-
-def add_pairs(unigrams: Unigrams):
-    """Answers per chunk: the count of each pair; for each history how many of
-    its pairs here were seen 1..K times, and their words' unigram mass."""
+def add(n: int):
+    """Answers each chunk with the counts of its n-grams and, for each history,
+    how many of its n-grams here were seen 1..K times, and what the seen ones'
+    shortened n-grams count (see ``lower_mass``)."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        asked = [unpack(b) for b in pdf["histories"]]
-        word = [unpack(b) for b in pdf["words"]]
-        history = np.concatenate([np.repeat(h, unpack(r)) for h, r in zip(asked, pdf["runs"])])
-        order = np.lexsort((np.concatenate(word), history))
-        h, w = history[order], np.concatenate(word)[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
-        group = np.cumsum(new) - 1
-        inverse = np.empty(len(h), np.int64)
-        inverse[order] = group
-        total = np.bincount(inverse, np.concatenate([unpack(b) for b in pdf["counts"]]), int(new.sum())).astype(np.int64)
-        mass = unigrams.p(np.concatenate([unpack(b) for b in pdf["word_counts"]])[order][new])
-        heads, of = np.unique(h[new], return_inverse=True)
+        asks = [unpack(b) for b in pdf["body"]]
+        columns = [np.concatenate([a[i] for a in asks]) for i in range(n - 1)]
+        runs = np.concatenate([a[n - 1] for a in asks])
+        word, train, low = (np.concatenate([a[n + i] for a in asks]) for i in range(3))
+        sizes = [(len(a[n - 1]), len(a[n])) for a in asks]
+        del asks
+        of_ask, first_ask = numbered(*columns)
+        of_gram, first = numbered(np.repeat(of_ask, runs), word)
+        total = np.bincount(of_gram, train, len(first)).astype(np.int64)
+        head = np.repeat(of_ask, runs)[first]
+        suffix, word = low[first], word[first]
         seen = total > 0
-        often = np.stack([np.bincount(of[total == r], minlength=len(heads)) for r in range(1, K + 1)]) if len(heads) else np.zeros((K, 0), np.int64)
-        seen_mass = np.bincount(of[seen], mass[seen], len(heads))
-        stats = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2]
-        out = [{"chunk": STATS, "bucket": key[0], "counts": stats.astype("<i8").tobytes(), "often": b"", "mass": b""}]
-        at = 0
-        for chunk, a, x in zip(pdf["chunk"], asked, word):
-            part = inverse[at : at + len(x)]
-            at += len(x)
-            k = np.minimum(np.searchsorted(heads, a), max(len(heads) - 1, 0))
-            here = heads[k] == a if len(heads) else np.zeros(len(a), bool)
-            out.append(
-                {
-                    "chunk": chunk, "bucket": key[0], "counts": pack(total[part]),
-                    "often": pack((often[:, k] * here).reshape(-1) if len(heads) else np.zeros(K * len(a), np.int64)),
-                    "mass": pack_floats(seen_mass[k] * here if len(heads) else np.zeros(len(a))),
-                }
-            )
-        return pd.DataFrame(out)
+        heads = len(first_ask)
+        stats = np.zeros((2 * K + 1, heads), np.int64)
+        for r in range(1, K + 1):
+            stats[r - 1] = np.bincount(head[total == r], minlength=heads)
+            stats[K + r - 1] = np.bincount(head[seen & (suffix == r)], minlength=heads)
+        big = seen & (suffix > K)
+        stats[2 * K] = np.bincount(head[big], suffix[big], heads)
+        live = np.flatnonzero(np.bincount(head[seen], minlength=heads))
+        table = pack(*[c[first_ask[live]] for c in columns], np.bincount(head[seen], minlength=heads)[live], word[seen], total[seen], stats[:, live].reshape(-1))
+        out = [(STATS, key[0], b"", number_stats(total)), (MODEL, key[0], table, None)]
+        at = gram = 0
+        for chunk, (a, g) in zip(pdf["chunk"], sizes):
+            own = stats[:, of_ask[at : at + a]].reshape(-1)
+            out.append((chunk, key[0], pack(total[of_gram[gram : gram + g]], own), None))
+            at, gram = at + a, gram + g
+        return pd.DataFrame(out, columns=["chunk", "bucket", "body", "stats"])
 
     return run
 
 
+# -- scores -----------------------------------------------------------------
+
+
+def token_probabilities(c: Chunk, model: Model, stats: dict[int, np.ndarray], order: int) -> np.ndarray:
+    """P(word | history) of each token, by recursion over the orders: the
+    discounted n-gram if it was seen, else the back-off weight times the
+    probability of the n-gram without its first word."""
+    denominator = {1: np.float64(model.unigrams.total)}
+    d = {1: model.unigrams.d} | model.d
+
+    def probability(n: int) -> np.ndarray:
+        """Of the chunk's distinct n-grams."""
+        if n == 1:
+            return model.unigrams.p(c.count[1])
+        shorter = probability(n - 1)
+        lv, below, times = c.level(n), c.level(n - 1), c.times(n - 1)
+        total, left = share(times, stats[n][:K], d[n])
+        denominator[n] = total
+        mass = lower_mass(stats[n][K:], d[n - 1]) / (denominator[1] if n == 2 else denominator[n - 1][below.suffix])
+        weight = np.where(times > 0, left / np.maximum(1.0 - mass, 1e-300), 1.0)
+        own = shorter[lv.suffix]
+        found = np.where(c.count[n] > 0, discounted(c.count[n], d[n]) / total[lv.history], weight[lv.history] * own)
+        of = lv.of_token
+        at = of >= 0
+        tokens[at] = found[of[at]]
+        return found
+
+    tokens = np.zeros(len(c.ids))
+    if order == 1:
+        return model.unigrams.p(c.count[1])[c.ids]
+    probability(order)
+    return tokens
+
+
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_chunks(unigrams: Unigrams, d: np.ndarray, word_buckets: int, buckets: int, hot: int):
+def score_chunks(model: Model, order: int, hot: int):
+    unigrams, d, buckets = model.unigrams, model.d, model.buckets
+    light = Model(buckets, unigrams, d)  # without the tables, which do not travel
+
+    def score(row) -> pd.DataFrame:
+        c = Chunk(row)
+        c.hear_words(row.a1, buckets)
+        stats = {n: c.hear(n, getattr(row, f"a{n}"), buckets, hot) for n in range(2, order + 1)}
+        n = len(c.lengths)
+        log = np.log10(token_probabilities(c, light, stats, order))
+        ids = np.frombuffer(row.doc_ids, "<i8")
+        return pd.DataFrame(
+            {
+                "doc_id": pd.Series(pd.array(ids, "Int64")).mask(np.frombuffer(row.no_id, np.uint8).astype(bool)),
+                "held_out": c.held,
+                "n_tokens": c.lengths,
+                "n_known": np.bincount(c.doc, c.count[1][c.ids] > 0, n).astype(np.int64),
+                "train_tokens": unigrams.tokens,
+                "base_score": np.bincount(c.doc, unigrams.base(c.count[1])[c.ids], n),
+                "score": np.bincount(c.doc, log, n),
+            }
+        )
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
-                count, _ = unigram_answers(row, word_buckets)
-                keys, inverse, doc = pairs_of(row)
-                history, word = keys >> 32, keys & 0xFFFFFFFF
-                pair = np.zeros(len(keys), np.int64)
-                spared, mass = np.zeros(len(count)), np.zeros(len(count))
-                answers = {a["bucket"]: a for a in row.pairs}
-                for k, pairs, asked in pair_layout(row, count, buckets, keys, hot):
-                    a = answers[k]
-                    pair[pairs] = unpack(a["counts"])
-                    often = unpack(a["often"]).reshape(K, -1)
-                    spared[asked] += sum((1 - d[r]) * r * often[r - 1] for r in range(1, K + 1))
-                    mass[asked] += unpack_floats(a["mass"])
-                times = np.where(np.arange(len(count)) == 1, count[0], count)
-                log = katz_log10(pair, times[history], spared[history], mass[history], unigrams.p(count[word]), d)
-                n = len(row.no_id)
-                ids = unpack(row.ids)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pd.array(np.frombuffer(row.doc_ids, "<i8"), "Int64").copy(),
-                        "held_out": np.frombuffer(row.held, np.uint8).astype(bool),
-                        "n_tokens": unpack(row.lengths),
-                        "n_known": np.bincount(doc, count[ids] > 0, n).astype(np.int64),
-                        "train_tokens": unigrams.tokens,
-                        "base_score": np.bincount(doc, unigrams.base(count)[ids], n),
-                        "score": np.bincount(doc, log[inverse], n),
-                    }
-                ).assign(doc_id=lambda x, no=np.frombuffer(row.no_id, np.uint8).astype(bool): x["doc_id"].mask(no))
+                yield score(row)
 
     return run
 
@@ -374,43 +550,57 @@ def held_out(key: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
 
 
-def score_documents(docs: DataFrame, *, chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
-    """Trains on the rows that are not held out and scores every row.
+def by_chunk(answers: DataFrame, name: str) -> DataFrame:
+    return answers.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "body")).alias(name))
 
-    Null and empty texts are one end token. Repeated rows are counted and
-    scored as often as they stand; null keys are kept. Without training rows
-    every token is unknown. An empty table gives an empty result.
-    """
+
+def corpus_numbers(answers: DataFrame) -> np.ndarray:
+    """The sums of the buckets' statistics: K + 3 rows reach the driver."""
+    out = np.zeros(K + 3, np.int64)
+    for r in answers.where(F.col("chunk") == STATS).select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
+        out[r["pos"]] = r["n"]
+    return out
+
+
+def train_and_score(docs: DataFrame, *, order: int = ORDER, chunk: int = CHUNK, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> tuple[Model, DataFrame]:
+    """The model and the scores of ``score_documents``."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long"), held_out().alias("held"), F.coalesce("text", F.lit("")).alias("text"))
     size = base.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    n = max(1, round(size / (6 * chunk)))  # about as many buckets as chunks
-    # A bucketed table: chunks are read twice with answers and never moved.
-    name = f"fabula_chunks_{uuid.uuid4().hex}"
-    base.mapInPandas(make_chunks(chunk), CHUNK_SCHEMA).write.bucketBy(n, "chunk").saveAsTable(name)
+    buckets = max(1, round(size / bucket_bytes))
+    model = Model(buckets)
+    # A bucketed table: chunks are read with answers again and again, and never moved.
+    name = "fabula_" + new_folder(spark, "chunks").rsplit("-", 1)[1]
+    base.mapInPandas(make_chunks(chunk), CHUNK_SCHEMA).write.option("path", new_folder(spark, "chunks")).bucketBy(buckets, "chunk").saveAsTable(name)
     try:
         chunks = spark.table(name)
-        asked = chunks.select("chunk", "hashes", "train").mapInPandas(deal_unigrams(n), "bucket int, chunk long, hashes binary, counts binary")
-        words = written(asked.groupBy("bucket").applyInPandas(add_unigrams(n), "chunk long, bucket int, counts binary, numbers binary"), "unigrams")
-        stats = np.zeros(K + 3, np.int64)
-        for r in words.where(F.col("chunk") == STATS).select("counts").toLocalIterator():  # a row per bucket
-            stats += np.frombuffer(r["counts"], "<i8")
-        unigrams = Unigrams(int(stats[0]), int(stats[1]), np.concatenate(([0], stats[2:])))
-        word_answers = words.where(F.col("chunk") != STATS).groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts", "numbers")).alias("words"))
-        asking = chunks.select("chunk", "held", "lengths", "ids", "hashes").join(word_answers.hint("shuffle_hash"), "chunk").mapInPandas(deal_pairs(n, n, hot), PAIR_SCHEMA)
-        pairs = written(
-            asking.groupBy("bucket").applyInPandas(add_pairs(unigrams), "chunk long, bucket int, counts binary, often binary, mass binary"), "pairs"
-        )
-        seen = np.zeros(K + 1, np.int64)
-        for r in pairs.where(F.col("chunk") == STATS).select("counts").toLocalIterator():
-            seen += np.frombuffer(r["counts"], "<i8")
-        d = discounts(np.concatenate(([0], seen)))
-        pair_answers = pairs.where(F.col("chunk") != STATS).groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts", "often", "mass")).alias("pairs"))
-        scored = (
-            chunks.join(word_answers.hint("shuffle_hash"), "chunk")
-            .join(pair_answers.hint("shuffle_hash"), "chunk")
-            .mapInPandas(score_chunks(unigrams, d, n, n, hot), SCORE_SCHEMA)
-        )
-        return written(scored, "scores")
+        asked = chunks.select("chunk", "held", "tokens", "hashes").mapInPandas(deal_words(buckets), ASK)
+        answers = written(asked.groupBy("bucket").applyInPandas(add_words(buckets), ANSWER), "words")
+        numbers = corpus_numbers(answers)
+        model.unigrams = Unigrams(int(numbers[0]), int(numbers[1]), np.concatenate(([0], numbers[2:])))
+        model.tables[1] = answers.where(F.col("chunk") == MODEL)
+        heard = chunks.join(by_chunk(answers, "a1").hint("shuffle_hash"), "chunk")
+        for n in range(2, order + 1):
+            answers, turns = None, n - 1  # higher orders have more n-grams: fewer are in a shuffle at a time
+            for turn in range(turns):
+                asked = heard.drop("doc_ids", "no_id").mapInPandas(deal(n, buckets, hot, turn, turns), ASK)
+                part = written(asked.groupBy("bucket").applyInPandas(add(n), ANSWER), f"order-{n}")
+                answers = part if answers is None else answers.union(part)
+            model.d[n] = discounts(np.concatenate(([0], corpus_numbers(answers)[2:])))
+            model.tables[n] = answers.where(F.col("chunk") == MODEL)
+            heard = heard.join(by_chunk(answers, f"a{n}").hint("shuffle_hash"), "chunk", "left")
+        return model, written(heard.mapInPandas(score_chunks(model, order, hot), SCORE_SCHEMA), "scores")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def score_documents(docs: DataFrame, **options) -> DataFrame:
+    """Trains on the rows that are not held out and scores every row.
+
+    Null and empty texts are one end token. Repeated rows are counted and
+    scored as often as they stand; null keys are kept. Without training rows
+    every token is unknown. An empty table gives an empty result. Only doc_id
+    and text are read; other columns, whatever their names, are not. A text of
+    any length is one document and is never cut; a chunk then is that long.
+    """
+    return train_and_score(docs, **options)[1]

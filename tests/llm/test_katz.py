@@ -1,24 +1,28 @@
 import math
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import pytest
+from pyspark.sql import functions as F
 
 from fabula.llm import katz
 
 SCHEMA = "doc_id long, text string, other string"
 
 
-def plain(rows):
-    """A direct bigram Katz model over Python dictionaries."""
+def plain(rows, order=katz.ORDER):
+    """A direct Katz model over Python dictionaries, by recursion on tuples."""
     toks = [((t or "").encode().lower().split() + [b"</s>"]) for _, t, _ in rows]
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, *_ in rows]
-    uni, bi = Counter(), Counter()
+    grams = {n: Counter() for n in range(1, order + 1)}
     for w, h in zip(toks, held):
         if not h:
-            uni.update(w)
-            bi.update(zip([b"<s>", *w[:-1]], w))
-    starts = uni[b"</s>"]
+            grams[1].update((x,) for x in w)
+            line = [b"<s>", *w]
+            for n in range(2, order + 1):
+                grams[n].update(tuple(line[i : i + n]) for i in range(len(line) - n + 1))
+    starts = grams[1][b"</s>",]
 
     def gt(counter):
         n = Counter(counter.values())
@@ -29,32 +33,44 @@ def plain(rows):
             d[r] = good if 0 < good < 1 else (1 - (n[1] / (n[1] + 2 * n[2])) / r if n[1] else 1.0)
         return d
 
-    d1, d2 = gt(uni), gt(bi)
-    n, v = sum(uni.values()), len(uni)
-    spared1 = sum((1 - d1.get(c, 1.0)) * c for c in uni.values())
+    d = {n: gt(grams[n]) for n in grams}
+    n, v = sum(grams[1].values()), len(grams[1])
+    spared1 = sum((1 - d[1].get(c, 1.0)) * c for c in grams[1].values())
     total1 = n if spared1 > 1e-9 else n + 1
     p_unk = spared1 / total1 if spared1 > 1e-9 else 1 / total1
-    p1 = lambda w: d1.get(uni[w], 1.0) * uni[w] / total1 if uni[w] else p_unk
     after = defaultdict(dict)
-    for (h, w), c in bi.items():
-        after[h][w] = c
-
-    def p2(w, h):
-        ch = starts if h == b"<s>" else uni[h]
+    for m in range(2, order + 1):
+        for g, c in grams[m].items():
+            after[g[:-1]][g[-1]] = c
+
+    @lru_cache(None)
+    def weight(history, spared, total):
+        seen = sum(p(x, history[1:]) for x in after[history])
+        return (spared if spared > 1e-9 else 1) / total / (1 - seen)
+
+    @lru_cache(None)
+    def p(w, history):
+        if not history:
+            c = grams[1][w,]
+            return d[1].get(c, 1.0) * c / total1 if c else p_unk
+        ch = starts if history == (b"<s>",) else grams[len(history)][history]
         if not ch:
-            return p1(w)
-        spared = sum((1 - d2.get(c, 1.0)) * c for c in after[h].values())
+            return p(w, history[1:])
+        dn = d[len(history) + 1]
+        spared = sum((1 - dn.get(c, 1.0)) * c for c in after[history].values())
         total = ch if spared > 1e-9 else ch + 1
-        if w in after[h]:
-            return d2.get(after[h][w], 1.0) * after[h][w] / total
-        return (spared if spared > 1e-9 else 1) / total / (1 - sum(map(p1, after[h]))) * p1(w)
+        if w in after[history]:
+            return dn.get(after[history][w], 1.0) * after[history][w] / total
+        return weight(history, spared, total) * p(w, history[1:])
 
     out = []
     for (i, *_), w, h in zip(rows, toks, held):
-        base = sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
-        score = sum(math.log10(p2(x, y)) for x, y in zip(w, [b"<s>", *w[:-1]]))
-        out.append((i, h, len(w), sum(uni[x] > 0 for x in w), n, base, score))
-    mass = [sum(p2(w, h) for w in uni) + p2(b"never seen", h) for h in [b"<s>", *list(uni)[:40]] if h != b"</s>"]
+        base = sum(math.log10((grams[1][x,] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
+        line = [b"<s>", *w]
+        score = sum(math.log10(p(w[j], tuple(line[max(0, j + 2 - order) : j + 1]))) for j in range(len(w)))
+        out.append((i, h, len(w), sum(grams[1][x,] > 0 for x in w), n, base, score))
+    histories = [x for x in after if x[-1] != b"</s>"][:: max(1, len(after) // 60)]
+    mass = [sum(p(w, x) for (w,) in grams[1]) + p(b"never seen", x) for x in histories]
     return out, mass
 
 
@@ -72,8 +88,13 @@ def test_against_plain_model(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text, "") for r in docs.collect()]
     want, mass = plain(rows)
-    got = katz.score_documents(docs, chunk=5000, hot=50)  # frequent histories lie in several buckets
+    model, got = katz.train_and_score(docs, chunk=20_000, hot=50, bucket_bytes=150_000)  # frequent histories lie in several buckets
     same(got.collect(), want)
+    for n in (2, 3):  # the stored tables hold the same model
+        weights, seen = model.weights(n), model.ngrams(n).groupBy("history").agg(F.sum("discounted").alias("mass"))
+        wrong = weights.join(seen, "history", "full").where("mass is null or left_over is null or abs(mass / total + left_over - 1) > 1e-9")
+        assert weights.count() > 1000 and wrong.isEmpty()
+    assert model.vocabulary().agg(F.sum("count")).first()[0] == want[0][4]
     assert mass == pytest.approx([1.0] * len(mass))
     better = [w for w in want if w[1] and w[2] > 20]
     assert sum(w[6] for w in better) > sum(w[5] for w in better)
@@ -87,6 +108,15 @@ def test_odd_rows(spark):
     assert mass == pytest.approx([1.0] * len(mass))
 
 
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_other_orders(spark, sf, order):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    rows = [(r.doc_id, r.text, "") for r in docs.collect()]
+    want, mass = plain(rows, order)
+    same(katz.score_documents(spark.createDataFrame(rows, SCHEMA), order=order, chunk=9000, bucket_bytes=90_000).collect(), want)
+    assert mass == pytest.approx([1.0] * len(mass))
+
+
 def test_empty_and_untrained(spark):
     assert katz.score_documents(spark.createDataFrame([], SCHEMA)).count() == 0
     only_held = [(i, "a b", "") for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1][:3]

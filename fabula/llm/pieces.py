@@ -11,8 +11,9 @@ Matrices are combined associatively (groups of ``FAN`` at a time, level by
 level), each chunk gets its entry and exit, and is traced back on its own.
 
 Before a blank that follows a non-blank, and around a line end, no merge
-crosses, so units between such places are encoded alone and kept in a small
-table of recent units.
+crosses. Units between such places are encoded alone: all new units of a batch
+are merged in step, as rows of one array, and kept in a small table of recent
+units. A text of one chunk is the plain case: its units are all of it.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ NO_MERGE = float("inf")
 CHUNK = 32_768
 FAN = 64
 UNIT_CACHE = 150_000
+#: Units up to this length are merged in step, longer ones by a lattice walk.
+IN_STEP = 64
 PAIR_CACHE = 200_000
 #: Characters of input after which a task hands on its results.
 YIELD = 1 << 20
@@ -71,6 +74,7 @@ class Vocabulary:
         if any(BLANK in p.strip(BLANK) or (p[-1:] == BLANK and p.strip(BLANK)) for p in self.id):
             raise ValueError("a piece has a blank after another character; units would not be independent")
         self._safe = re.compile(f"(?<=[^{BLANK}]){BLANK}|\n|(?<=\n)")
+        self._symbols()
         self._pair: dict[str, dict[str, bool]] = {}
         self._pairs = 0
         #: Ids of recent units, as bytes of int32.
@@ -85,6 +89,114 @@ class Vocabulary:
 
     # -- merges ------------------------------------------------------------
 
+    def _symbols(self) -> None:
+        """Numbers for pieces and the characters they are made of, and a sorted
+        table of the pairs that merge, with rank and result."""
+        names = list(self.id)
+        names += sorted({c for p in names for c in p} - set(names))
+        self._symbol = {p: k for k, p in enumerate(names)}
+        self._output = [np.array(self.ids([p]), np.int32) for p in names]
+        pairs = [
+            (self._symbol[p[:k]] << 32 | self._symbol[p[k:]], self.rank[p], self._symbol[p])
+            for p in self.id
+            for k in range(1, len(p))
+            if p[:k] in self._symbol and p[k:] in self._symbol
+        ]
+        pairs.sort()
+        self._pair_key = np.array([k for k, _, _ in pairs], np.int64)
+        self._pair_rank = np.array([r for _, r, _ in pairs] + [NO_MERGE], np.float64)
+        self._pair_new = np.array([n for _, _, n in pairs] + [-1], np.int32)
+        self._single = np.full(0x110000, -1, np.int32)
+        for c, k in self._symbol.items():
+            if len(c) == 1:
+                self._single[ord(c)] = k
+        size = [len(x) for x in self._output]
+        self._output_at = np.concatenate(([0], np.cumsum(size)))
+        self._output = np.concatenate(self._output) if names else np.zeros(0, np.int32)
+
+    def _lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places of pairs in the table; its length where they do not merge."""
+        if not len(self._pair_key):
+            return np.zeros(left.shape, np.int64)
+        key = left.astype(np.int64) << 32 | right.astype(np.int64) & 0xFFFFFFFF
+        at = np.minimum(np.searchsorted(self._pair_key, key), len(self._pair_key) - 1)
+        return np.where((self._pair_key[at] == key) & (left >= 0) & (right >= 0), at, len(self._pair_key))
+
+    def merge_in_step(self, units: list[str]) -> list[bytes]:
+        """Ids of units as bytes of int32: ``merge`` of each, where in a step
+        every unit merges its best pair and loses a column."""
+        out: list[bytes] = [b""] * len(units)
+        length = np.fromiter(map(len, units), np.int64, len(units))
+        for most in (6, 10, 16, 28, IN_STEP):  # units of like lengths share an array
+            which = np.flatnonzero((length > 0) & (length <= most))
+            if not len(which):
+                continue
+            length[which] = 0
+            text = "".join([units[k].ljust(most, "\n") for k in which.tolist()])
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, most).astype(np.int64)
+            sizes = np.fromiter((len(units[k]) for k in which.tolist()), np.int64, len(which))
+            inside = np.arange(most)[None, :] < sizes[:, None]
+            # -1 ends a unit; a character that no piece has is -2 - its code.
+            symbols = np.where(inside, np.where(self._single[points] >= 0, self._single[points], -2 - points), -1).astype(np.int32)
+            at = self._lookup(symbols[:, :-1], symbols[:, 1:])
+            while len(which):
+                rank = self._pair_rank[at]
+                best = rank.argmin(1) if at.shape[1] else np.zeros(len(which), np.int64)
+                rows = np.arange(len(which))
+                open_ = rank[rows, best] < NO_MERGE if at.shape[1] else np.zeros(len(which), bool)
+                if not open_.all():
+                    done = np.flatnonzero(~open_)
+                    for k, ids in zip(which[done].tolist(), self.symbol_ids(symbols[done])):
+                        out[k] = ids
+                    which, symbols, at, best = which[open_], symbols[open_], at[open_], best[open_]
+                    rows = np.arange(len(which))
+                    if not len(which):
+                        break
+                symbols[rows, best] = self._pair_new[at[rows, best]]
+                width = symbols.shape[1] - 1
+                take = np.arange(width)[None, :]
+                symbols = np.take_along_axis(symbols, take + (take > best[:, None]), 1)
+                pairs = np.arange(width - 1)[None, :]
+                at = np.take_along_axis(at, pairs + (pairs > best[:, None]), 1) if width > 1 else at[:, :0]
+                for side in (0, -1):
+                    where = best + side
+                    fine = np.flatnonzero((where >= 0) & (where < width - 1))
+                    at[fine, where[fine]] = self._lookup(symbols[fine, where[fine]], symbols[fine, where[fine] + 1])
+        for k in np.flatnonzero(length).tolist():
+            out[k] = np.array(self.ids(self.path(units[k])), np.int32).tobytes()
+        return out
+
+    def symbol_ids(self, symbols: np.ndarray) -> list[bytes]:
+        """Ids of rows of symbols; unknown characters as byte pieces."""
+        if not len(symbols):
+            return []
+        used = symbols != -1
+        flat = symbols[used]
+        per = used.sum(1)
+        if (flat >= 0).all():
+            start = self._output_at[flat]
+            size = self._output_at[flat + 1] - start
+            place = np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            ids = self._output[place]
+            total = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(per)))]
+            raw = ids.astype(np.int32).tobytes()
+            ends = (4 * total).tolist()
+            return [raw[a:b] for a, b in zip(ends, ends[1:])]
+        known = (symbols >= 0) | (symbols == -1)
+        plain = known.all(1)
+        out: list[bytes] = [b""] * len(symbols)
+        for k, ids in zip(np.flatnonzero(plain).tolist(), self.symbol_ids(symbols[plain])):
+            out[k] = ids
+        for k in np.flatnonzero(~plain).tolist():
+            ids = []
+            for x in symbols[k].tolist():
+                if x >= 0:
+                    ids += self._output[self._output_at[x] : self._output_at[x + 1]].tolist()
+                elif x < -1:
+                    ids += [self.byte_id[b] for b in chr(-2 - x).encode("utf-8", "surrogatepass")]
+            out[k] = np.array(ids, np.int32).tobytes()
+        return out
+
     def merge(self, text: str) -> list[str]:
         """Best-priority pair first, leftmost among equals, until none is left."""
         rank = self.rank.get
@@ -292,27 +404,35 @@ class Vocabulary:
                 prev = out[-1] if out else ""
         return out
 
-    def unit(self, unit: str) -> bytes:
-        """Ids of a unit, from the recent units if it is one of them."""
-        found = self._older.pop(unit, None)
-        if found is None:
-            found = np.array(self.ids(self.path(unit)), np.int32).tobytes()
-        if len(unit) <= UNIT_KEPT:
-            if len(self._units) >= UNIT_CACHE:
-                self._older, self._units = self._units, {}
-            self._units[unit] = found
-        return found
-
     def encode(self, marked: str) -> np.ndarray:
-        """Ids of a text whose blanks are marked; units one by one."""
-        return np.frombuffer(b"".join([self._units.get(u) or self.unit(u) for u in UNIT.findall(marked)]), np.int32)
+        """Ids of a text whose blanks are marked."""
+        return self.encode_all([marked])[0]
+
+    def encode_all(self, marked: list[str]) -> list[np.ndarray]:
+        """Ids of texts whose blanks are marked. Units that are not among the
+        recent ones are merged together, each distinct one once."""
+        cut = [UNIT.findall(m) for m in marked]
+        recent, older = self._units, self._older
+        new = set().union(*cut).difference(recent)
+        kept = new.intersection(older)
+        recent.update((u, older[u]) for u in kept)
+        fresh = list(new.difference(kept))
+        recent.update(zip(fresh, self.merge_in_step(fresh)))
+        get = recent.__getitem__
+        out = [np.frombuffer(b"".join(map(get, units)), np.int32) for units in cut]
+        for u in fresh:
+            if len(u) > UNIT_KEPT:
+                del recent[u]
+        if len(recent) >= UNIT_CACHE:
+            self._older, self._units = recent, {}
+        return out
 
-    def decode(self, ids) -> str:
+    def decode(self, ids, first: bool = True) -> str:
         """The text again: pieces joined, byte pieces as UTF-8, marks as
-        blanks, without the blank that encoding put in front."""
+        blanks; the first part without the blank that encoding put in front."""
         raw = b"".join(map(self.piece_bytes.__getitem__, ids))
         text = raw.decode("utf-8", "surrogatepass").replace(BLANK, " ")
-        return text[1:] if text.startswith(" ") else text
+        return text[1:] if first and text.startswith(" ") else text
 
 
 @lru_cache(maxsize=2)
@@ -352,17 +472,19 @@ def encode_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(path)
         for pdf in batches:
-            done, size = [], 0
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = v.encode(marked(text))
-                decoded = v.decode(ids.tolist())
-                done.append((doc, len(ids), ids, 1, decoded, decoded == text))
-                size += len(text)
-                if size >= YIELD:  # few token lists are in memory at a time
-                    yield frame(done, names)
-                    done, size = [], 0
-            if done:
+            keys, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
+            at = 0
+            while at < len(texts):  # few token lists are in memory at a time
+                end, size = at, 0
+                while end < len(texts) and size < YIELD:
+                    size += len(texts[end])
+                    end += 1
+                done = []
+                for doc, text, ids in zip(keys[at:end], texts[at:end], v.encode_all([marked(t) for t in texts[at:end]])):
+                    decoded = v.decode(ids.tolist())
+                    done.append((doc, len(ids), ids, 1, decoded, decoded == text))
                 yield frame(done, names)
+                at = end
 
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     out = "doc_id long, n_tokens int, token_ids array<int>, n_chunks int, decoded string, round_trip boolean"
@@ -442,27 +564,26 @@ def encode_giants(docs: DataFrame, path: str, chunk: int, out: str) -> DataFrame
     def backtrace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(path)
         for pdf in batches:
-            rows = []
             for r in pdf.itertuples():
                 entry, exit_ = ends(v, r.c, r.n, r.left, r.len, r.text)
                 leave = None if exit_ is None else exit_[int(r.leave)]
-                rows.append(v.fast_trace(r.text, r.left, r.left + r.len, entry[int(r.entry)] if entry else None, leave))
-            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"].astype("Int64"), "c": pdf["c"], "ids": [pack(r) for r in rows], "digest": pdf["digest"]})
+                ids = v.fast_trace(r.text, r.left, r.left + r.len, entry[int(r.entry)] if entry else None, leave)
+                # Pieces hold whole characters and byte pieces stand together, so chunks decode apart.
+                text = v.decode(ids, first=r.c == 0)
+                yield pd.DataFrame({"row": [r.row], "doc_id": pd.array([r.doc_id], "Int64"), "c": [r.c], "ids": [pack(ids)], "part": [text], "digest": [r.digest]})
 
-    traced = pieces.join(starts, ["row", "c"]).mapInPandas(backtrace, "row long, doc_id long, c int, ids array<int>, digest string")
+    traced = pieces.join(starts, ["row", "c"]).mapInPandas(backtrace, "row long, doc_id long, c int, ids array<int>, part string, digest string")
+    chunks = F.array_sort(F.collect_list(F.struct("c", "ids", "part")))
     whole = traced.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("c", "ids"))), lambda x: x["ids"])).alias("token_ids"),
-        F.count(F.lit(1)).cast("int").alias("n_chunks"),
-        F.first("digest").alias("digest"),
+        F.first("doc_id").alias("doc_id"), chunks.alias("chunks"), F.count(F.lit(1)).cast("int").alias("n_chunks"), F.first("digest").alias("digest")
+    )
+    read = whole.select(
+        "doc_id",
+        F.flatten(F.transform("chunks", lambda x: x["ids"])).alias("token_ids"),
+        "n_chunks",
+        F.array_join(F.transform("chunks", lambda x: x["part"]), "").alias("decoded"),
+        "digest",
     )
-
-    @F.pandas_udf("string")
-    def decode(rows: pd.Series) -> pd.Series:
-        v = vocabulary(path)
-        return pd.Series([v.decode(r.tolist()) for r in rows])
-
-    read = whole.withColumn("decoded", decode("token_ids"))
     again = F.sha2("decoded", 256) == F.col("digest")
     return read.select("doc_id", F.size("token_ids").alias("n_tokens"), "token_ids", "n_chunks", "decoded", again.alias("round_trip"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fabula.llm import decontaminate, embedding_dedup, htmltext, katz, pieces, quality, sharding, simhash, training_order, warc
 from fabula.session import table
@@ -39,7 +40,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_documents(table(spark, sf_dir, "documents"))
+    """The ids of every document, and of the text decoded from them its length,
+    checksum and whether it is the document's."""
+    coded = pieces.encode_documents(table(spark, sf_dir, "documents"))
+    return coded.select(
+        "doc_id", "n_tokens", "token_ids", "n_chunks", F.char_length("decoded").alias("decoded_chars"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), "round_trip"
+    )
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
+import zlib
 
+import numpy as np
 import pytest
 
 from fabula.llm.pieces import default_model, encode_documents, marked, max_plus, path_states, vocabulary
@@ -30,6 +32,8 @@ def test_ids_are_the_librarys(library):
             assert v.decode(ids) == t
         for u in t.split():
             assert v.path(u) == v.merge(u)
+    units = [u for t in texts() for u in t.split(" ")] + ["é漢\x00😀", "x" * 65, "ab" * 40, "\ud800a", "a"]
+    assert [list(np.frombuffer(b, np.int32)) for b in v.merge_in_step(units)] == [v.ids(v.merge(u)) for u in units]
 
 
 def test_chunks_meet(library):
@@ -75,7 +79,7 @@ def test_query_decodes_every_document(spark, tmp_path):
     texts = {1: "".join(rnd.choices(plain, k=25_000)), 2: "short  one\n", 3: "", 4: " the quick é" * 6000}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in op8_sentencepiece(spark, str(tmp_path)).collect()}
-    assert {k: r.decoded for k, r in got.items()} == texts and all(r.round_trip for r in got.values())
+    assert all(r.round_trip and r.decoded_chars == len(texts[k]) and r.decoded_crc32 == zlib.crc32(texts[k].encode()) for k, r in got.items())
     assert got[1].n_chunks > 1 and got[4].n_chunks > 1 and got[2].n_chunks == 1
 
 

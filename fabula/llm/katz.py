@@ -7,6 +7,8 @@ most once per chunk. Requests go to buckets by the hash of the history; a
 bucket adds up the training counts of all chunks, keeps its share of the
 model's table for that order, and answers each chunk. The n-grams of a very
 frequent history are spread over several buckets, whose sums are added again.
+An n-gram that only one chunk asked about is that chunk's own: longer ones that
+begin with it are counted and kept there and not sent.
 
 Counts are Good-Turing discounted up to ``K``. The back-off weight of a history
 is its left-over mass divided by the mass that the next lower order leaves to
@@ -61,7 +63,8 @@ def pack(*arrays: np.ndarray) -> bytes:
         x = np.ascontiguousarray(x, np.int64)
         width = max(1, (int(x.view(np.uint64).max()).bit_length() + 7) // 8) if len(x) else 1
         head += [width, len(x)]
-        planes.append(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+        small = x.astype("<u4") if 1 < width <= 4 else x.astype(np.uint8) if width == 1 else x
+        planes.append(np.ascontiguousarray(small.view(np.uint8).reshape(-1, small.itemsize)[:, :width].T).tobytes())
     return zstandard.ZstdCompressor(level=1).compress(np.array(head, "<i8").tobytes() + b"".join(planes))
 
 
@@ -71,10 +74,14 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     head = np.frombuffer(raw, "<i8", 2 * n, 8).tolist()
     at, out = 8 + 16 * n, []
     for width, size in zip(head[::2], head[1::2]):
-        x = np.zeros((size, 8), np.uint8)
-        x[:, :width] = np.frombuffer(raw, np.uint8, width * size, at).reshape(width, size).T
+        planes = np.frombuffer(raw, np.uint8, width * size, at).reshape(width, size)
         at += width * size
-        out.append(x.view("<i8").reshape(-1))
+        if width == 1:
+            out.append(planes[0].astype(np.int64))
+            continue
+        x = np.zeros((size, 4 if width <= 4 else 8), np.uint8)
+        x[:, :width] = planes.T
+        out.append(x.view("<u4" if width <= 4 else "<i8").reshape(-1).astype(np.int64))
     return out
 
 
@@ -87,13 +94,26 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the place of one of each, and each key's number."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    of = np.empty(len(keys), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ranked[new], order[new], of
+
+
 def numbered(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the columns as numbers 0, 1, ... in sorted order, and the place
-    of each number's first row."""
-    first, of = np.unique(columns[0], return_index=True, return_inverse=True)[1:]
+    of a row for each number."""
+    if len(columns) > 1 and all(not len(c) or c.max() <= MASK >> 1 for c in columns[:2]):
+        columns = (columns[0].astype(np.int64) << 32 | columns[1], *columns[2:])
+    _, first, of = distinct(columns[0])
     for c in columns[1:]:
-        small = c if not len(c) or c.max() <= MASK else np.unique(c, return_inverse=True)[1]
-        first, of = np.unique(of << 32 | small, return_index=True, return_inverse=True)[1:]
+        small = c if not len(c) or c.max() <= MASK else distinct(c)[2]
+        _, first, of = distinct(of.astype(np.int64) << 32 | small)
     return of, first
 
 
@@ -145,6 +165,20 @@ def share(times: np.ndarray, often: np.ndarray, d: np.ndarray) -> tuple[np.ndarr
     return total, np.where(spared > 0, spared, 1.0) / total
 
 
+def history_numbers(head: np.ndarray, total: np.ndarray, suffix: np.ndarray, heads: int) -> np.ndarray:
+    """The whole numbers that weights are made of, a column for each history:
+    how many of its n-grams were seen 1..K times, how many seen ones have a
+    shortened n-gram counted 1..K times, and the sum of all larger counts."""
+    seen = total > 0
+    out = np.zeros((2 * K + 1, heads), np.int64)
+    for r in range(1, K + 1):
+        out[r - 1] = np.bincount(head[total == r], minlength=heads)
+        out[K + r - 1] = np.bincount(head[seen & (suffix == r)], minlength=heads)
+    big = seen & (suffix > K)
+    out[2 * K] = np.bincount(head[big], suffix[big], heads)
+    return out
+
+
 def lower_mass(low: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Discounted counts of the shortened n-grams, from the numbers of those
     counted 1..K times and the sum of all larger counts."""
@@ -154,9 +188,9 @@ def lower_mass(low: np.ndarray, d: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     """unigrams, the discounts of each higher order, and for each order a
-    written table with a row per bucket: number, history words, runs, words and
-    counts of its n-grams, and for each history the whole numbers that its
-    weight is made of (order 1: hashes, counts and numbers of the words)."""
+    written table with a row per bucket or chunk: the words of its histories,
+    the number of n-grams of each, and the words and counts of these (order 1:
+    hashes, numbers and counts of the words)."""
 
     buckets: int
     unigrams: Unigrams | None = None
@@ -180,7 +214,7 @@ class Model:
         def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for blob in pdf["body"]:
-                    *columns, runs, word, count, _ = unpack(blob)
+                    *columns, runs, word, count = unpack(blob)
                     of = np.repeat(np.stack(columns, 1), runs, axis=0)
                     yield pd.DataFrame({"history": list(of), "word": word, "count": count, "discounted": discounted(count, d)})
 
@@ -194,10 +228,9 @@ class Model:
         def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for blob in pdf["body"]:
-                    *columns, runs, _, count, stats = unpack(blob)
-                    often = stats.reshape(2 * K + 1, -1)[:K].astype(np.float64)
-                    times = np.bincount(np.repeat(np.arange(len(runs)), runs), count, len(runs))
-                    spared = ((1 - d[1:]) * np.arange(1, K + 1)) @ often
+                    *columns, runs, _, count = unpack(blob)
+                    head = np.repeat(np.arange(len(runs)), runs)
+                    times, spared = (np.bincount(head, x, len(runs)) for x in (count, count - discounted(count, d)))
                     yield pd.DataFrame({"history": list(np.stack(columns, 1)), "times": times, "spared": spared})
 
         parts = self.tables[n].select("body").mapInPandas(rows, "history array<long>, times double, spared double")
@@ -271,15 +304,17 @@ class Level:
 
 class Chunk:
     def __init__(self, row):
-        self.lengths, self.ids = unpack(row.tokens)
+        self.lengths, ids = unpack(row.tokens)
+        self.ids = ids.astype(np.int32)
         self.held = np.frombuffer(row.held, np.uint8).astype(bool)
         self.word_hash = np.frombuffer(row.hashes, "<u8")
         ends = np.cumsum(self.lengths)
         self.begins = (ends - self.lengths)[self.lengths > 0]
-        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        self.levels = [Level(None, np.arange(len(self.word_hash)), None, mix(self.word_hash), self.ids)]
+        self.levels = [Level(None, np.arange(len(self.word_hash), dtype=np.int32), None, mix(self.word_hash), self.ids)]
         #: By order: training counts in the corpus of this chunk's n-grams.
         self.count: dict[int, np.ndarray] = {}
+        #: By order: n-grams that no other chunk has.
+        self.private: dict[int, np.ndarray] = {}
         self.number = np.zeros(0, np.int64)
 
     def level(self, n: int) -> Level:
@@ -288,11 +323,12 @@ class Chunk:
             before = np.empty(len(self.ids), np.int64)
             before[1:] = below.of_token[:-1]
             before[self.begins] = 1 if len(self.levels) == 1 else -1  # the start stands before a document once
-            at = np.flatnonzero(before >= 0)
-            keys, first, inverse = np.unique(before[at] << 32 | self.ids[at], return_index=True, return_inverse=True)
-            history, word = keys >> 32, keys & MASK
-            of = np.full(len(self.ids), -1, np.int64)
+            at = np.flatnonzero(before >= 0).astype(np.int32)
+            keys, first, inverse = distinct(before[at] << 32 | self.ids[at])
+            history, word = (keys >> 32).astype(np.int32), (keys & MASK).astype(np.int32)
+            of = np.full(len(self.ids), -1, np.int32)
             of[at] = inverse
+            del before, inverse, keys
             with np.errstate(over="ignore"):
                 hashes = mix(below.hashes[history] * np.uint64(0x9E3779B97F4A7C15) + self.levels[0].hashes[word])
             self.levels.append(Level(history, word, below.of_token[at[first]], hashes, of))
@@ -301,7 +337,7 @@ class Chunk:
     def training(self, n: int) -> np.ndarray:
         """Training counts of the n-grams in this chunk."""
         of = self.level(n).of_token
-        return np.bincount(of[(of >= 0) & ~self.held[self.doc]], minlength=len(self.level(n).word))
+        return np.bincount(of[(of >= 0) & ~np.repeat(self.held, self.lengths)], minlength=len(self.level(n).word))
 
     def columns(self, n: int, which: np.ndarray) -> list[np.ndarray]:
         """Numbers of the words of some n-grams."""
@@ -322,25 +358,51 @@ class Chunk:
             if cut[k] < cut[k + 1]:
                 yield k, order[cut[k] : cut[k + 1]]
 
-    def layout(self, n: int, buckets: int, hot: int, turn: int, turns: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Where the n-grams are asked about in a turn: for each bucket its
-        n-grams, by history, and the histories that may have n-grams there."""
+    def layout(self, n: int, buckets: int, hot: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Where the n-grams are asked about: for each bucket its n-grams, by
+        history, and the histories that may have n-grams there. Not asked are
+        those whose history or shortened n-gram training has not, and those of
+        private histories."""
         lv, below, times = self.level(n), self.level(n - 1), self.times(n - 1)
-        spread = np.minimum(buckets, np.maximum(1, -(-times // hot)))
+        there = times > 0
+        if n - 1 in self.private:
+            there &= ~self.private[n - 1]
         home = (below.hashes >> np.uint64(1)).astype(np.int64)
-        walk = (mix(self.word_hash ^ np.uint64(0x5BD1E995)) >> np.uint64(1)).astype(np.int64)
-        bucket = (home[lv.history] + walk[lv.word] % spread[lv.history]) % buckets
+        spread = np.minimum(buckets, np.maximum(1, -(-times // hot)))
+        narrow = np.int16 if buckets < 1 << 15 else np.int64
+        base = (home % buckets).astype(narrow)
+        grams = np.flatnonzero(there[lv.history] & (self.count[n - 1][lv.suffix] > 0))
+        bucket = base[lv.history[grams]]
+        wide = np.flatnonzero(spread[lv.history[grams]] > 1)
+        if len(wide):
+            walk = (mix(self.word_hash ^ np.uint64(0x5BD1E995)) >> np.uint64(1)).astype(np.int64)
+            of = lv.history[grams[wide]]
+            bucket[wide] = (home[of] + walk[lv.word[grams[wide]]] % spread[of]) % buckets
         own = lv.history[np.append(True, lv.history[1:] != lv.history[:-1])] if len(lv.history) else lv.history
+        own = own[there[own]]
         asked = np.repeat(own, spread[own])
         step = np.arange(len(asked)) - np.repeat(np.cumsum(spread[own]) - spread[own], spread[own])
-        where = (home[asked] + step) % buckets
-        narrow = np.int16 if buckets < 1 << 15 else np.int64
-        by_gram, by_ask = np.argsort(bucket.astype(narrow), kind="stable"), np.argsort(where.astype(narrow), kind="stable")
+        where = ((base[asked] + step) % buckets).astype(narrow)
+        by_gram, by_ask = np.argsort(bucket, kind="stable"), np.argsort(where, kind="stable")
         cut = np.searchsorted(bucket[by_gram], np.arange(buckets + 1))
         ask_cut = np.searchsorted(where[by_ask], np.arange(buckets + 1))
-        for k in range(turn, buckets, turns):
+        for k in range(buckets):
             if ask_cut[k] < ask_cut[k + 1]:
-                yield k, by_gram[cut[k] : cut[k + 1]], asked[by_ask[ask_cut[k] : ask_cut[k + 1]]]
+                yield k, grams[by_gram[cut[k] : cut[k + 1]]], asked[by_ask[ask_cut[k] : ask_cut[k + 1]]]
+
+    def own_grams(self, n: int) -> np.ndarray:
+        """The n-grams of private histories."""
+        return np.flatnonzero(self.private[n - 1][self.level(n).history]) if n - 1 in self.private else np.zeros(0, np.int64)
+
+    def own_table(self, n: int) -> bytes | None:
+        """The model's rows for private histories; ``hear`` came before."""
+        own = self.own_grams(n)
+        own = own[self.count[n][own] > 0]
+        if not len(own):
+            return None
+        lv = self.level(n)
+        heads, runs = np.unique(lv.history[own], return_counts=True)
+        return pack(*self.columns(n - 1, heads), runs, self.number[lv.word[own]], self.count[n][own])
 
     def hear_words(self, answers: list, buckets: int) -> None:
         found = {a["bucket"]: a["body"] for a in answers}
@@ -352,11 +414,19 @@ class Chunk:
         """Takes in the counts of order n; returns the whole numbers of each
         history, a row each."""
         found = {a["bucket"]: a["body"] for a in answers} if answers is not None else {}  # no document is so long
-        self.count[n] = np.zeros(len(self.level(n).word), np.int64)
-        stats = np.zeros((2 * K + 1, len(self.level(n - 1).word)), np.int64)
-        for k, grams, asked in self.layout(n, buckets, hot, 0, 1):
-            self.count[n][grams], own = unpack(found.pop(k))
-            stats[:, asked] += own.reshape(2 * K + 1, -1)
+        lv = self.level(n)
+        self.count[n] = np.zeros(len(lv.word), np.int64)
+        self.private[n] = np.zeros(len(lv.word), bool)
+        stats = np.zeros((2 * K + 1, len(self.level(n - 1).word)), np.int32 if n > 2 else np.int64)
+        for k, grams, asked in self.layout(n, buckets, hot):
+            self.count[n][grams], self.private[n][grams], numbers = unpack(found.pop(k))
+            stats[:, asked] += numbers.reshape(2 * K + 1, -1)
+        own = self.own_grams(n)
+        if len(own):
+            self.private[n][own] = True
+            self.count[n][own] = self.training(n)[own]
+            heads, head = np.unique(lv.history[own], return_inverse=True)
+            stats[:, heads] = history_numbers(head, self.count[n][own], self.count[n - 1][lv.suffix[own]], len(heads))
         return stats
 
 
@@ -419,7 +489,7 @@ def add_words(buckets: int):
     return run
 
 
-def deal(n: int, buckets: int, hot: int, turn: int, turns: int):
+def deal(n: int, buckets: int, hot: int):
     def rows(pdf: pd.DataFrame) -> Iterator[dict]:
         for row in pdf.itertuples():
             c = Chunk(row)
@@ -427,7 +497,10 @@ def deal(n: int, buckets: int, hot: int, turn: int, turns: int):
             for m in range(2, n):
                 c.hear(m, getattr(row, f"a{m}"), buckets, hot)
             lv, train, low = c.level(n), c.training(n), c.count[n - 1]
-            for k, grams, asked in c.layout(n, buckets, hot, turn, turns):
+            own = c.own_grams(n)
+            if len(own):
+                yield {"bucket": row.chunk % buckets, "chunk": STATS, "body": pack(number_stats(train[own]))}
+            for k, grams, asked in c.layout(n, buckets, hot):
                 runs = np.diff(np.searchsorted(lv.history[grams], np.append(asked, MASK)))
                 body = pack(*c.columns(n - 1, asked), runs, c.number[lv.word[grams]], train[grams], low[lv.suffix[grams]])
                 yield {"bucket": k, "chunk": row.chunk, "body": body}
@@ -445,32 +518,35 @@ def add(n: int):
     shortened n-grams count (see ``lower_mass``)."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf["chunk"] == STATS
+        out = [(STATS, key[0], b"", unpack(b)[0]) for b in pdf["body"][own]]
+        pdf = pdf[~own]
         asks = [unpack(b) for b in pdf["body"]]
+        if not asks:
+            return pd.DataFrame(out, columns=["chunk", "bucket", "body", "stats"])
         columns = [np.concatenate([a[i] for a in asks]) for i in range(n - 1)]
         runs = np.concatenate([a[n - 1] for a in asks])
         word, train, low = (np.concatenate([a[n + i] for a in asks]) for i in range(3))
         sizes = [(len(a[n - 1]), len(a[n])) for a in asks]
         del asks
         of_ask, first_ask = numbered(*columns)
-        of_gram, first = numbered(np.repeat(of_ask, runs), word)
+        head = np.repeat(of_ask, runs)
+        of_gram, first = numbered(head, word)
         total = np.bincount(of_gram, train, len(first)).astype(np.int64)
-        head = np.repeat(of_ask, runs)[first]
-        suffix, word = low[first], word[first]
-        seen = total > 0
+        alone = np.bincount(of_gram, minlength=len(first)) == 1
+        head, suffix, word = head[first], low[first], word[first]
+        del low, train
         heads = len(first_ask)
-        stats = np.zeros((2 * K + 1, heads), np.int64)
-        for r in range(1, K + 1):
-            stats[r - 1] = np.bincount(head[total == r], minlength=heads)
-            stats[K + r - 1] = np.bincount(head[seen & (suffix == r)], minlength=heads)
-        big = seen & (suffix > K)
-        stats[2 * K] = np.bincount(head[big], suffix[big], heads)
-        live = np.flatnonzero(np.bincount(head[seen], minlength=heads))
-        table = pack(*[c[first_ask[live]] for c in columns], np.bincount(head[seen], minlength=heads)[live], word[seen], total[seen], stats[:, live].reshape(-1))
-        out = [(STATS, key[0], b"", number_stats(total)), (MODEL, key[0], table, None)]
+        stats = history_numbers(head, total, suffix, heads)
+        seen = total > 0
+        many = np.bincount(head[seen], minlength=heads)
+        live = np.flatnonzero(many)
+        out.append((STATS, key[0], b"", number_stats(total)))
+        out.append((MODEL, key[0], pack(*[c[first_ask[live]] for c in columns], many[live], word[seen], total[seen]), None))
         at = gram = 0
         for chunk, (a, g) in zip(pdf["chunk"], sizes):
-            own = stats[:, of_ask[at : at + a]].reshape(-1)
-            out.append((chunk, key[0], pack(total[of_gram[gram : gram + g]], own), None))
+            of = of_gram[gram : gram + g]
+            out.append((chunk, key[0], pack(total[of], alone[of], stats[:, of_ask[at : at + a]].reshape(-1)), None))
             at, gram = at + a, gram + g
         return pd.DataFrame(out, columns=["chunk", "bucket", "body", "stats"])
 
@@ -511,36 +587,42 @@ def token_probabilities(c: Chunk, model: Model, stats: dict[int, np.ndarray], or
     return tokens
 
 
-SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, order int, body binary"
 
 
 def score_chunks(model: Model, order: int, hot: int):
     unigrams, d, buckets = model.unigrams, model.d, model.buckets
     light = Model(buckets, unigrams, d)  # without the tables, which do not travel
 
-    def score(row) -> pd.DataFrame:
+    def score(row) -> Iterator[pd.DataFrame]:
         c = Chunk(row)
         c.hear_words(row.a1, buckets)
         stats = {n: c.hear(n, getattr(row, f"a{n}"), buckets, hot) for n in range(2, order + 1)}
-        n = len(c.lengths)
+        n, doc = len(c.lengths), np.repeat(np.arange(len(c.lengths), dtype=np.int32), c.lengths)
         log = np.log10(token_probabilities(c, light, stats, order))
         ids = np.frombuffer(row.doc_ids, "<i8")
-        return pd.DataFrame(
+        yield pd.DataFrame(
             {
                 "doc_id": pd.Series(pd.array(ids, "Int64")).mask(np.frombuffer(row.no_id, np.uint8).astype(bool)),
                 "held_out": c.held,
                 "n_tokens": c.lengths,
-                "n_known": np.bincount(c.doc, c.count[1][c.ids] > 0, n).astype(np.int64),
+                "n_known": np.bincount(doc, c.count[1][c.ids] > 0, n).astype(np.int64),
                 "train_tokens": unigrams.tokens,
-                "base_score": np.bincount(c.doc, unigrams.base(c.count[1])[c.ids], n),
-                "score": np.bincount(c.doc, log, n),
+                "base_score": np.bincount(doc, unigrams.base(c.count[1])[c.ids], n),
+                "score": np.bincount(doc, log, n),
+                "order": pd.Series(pd.array([None] * n, "Int32")),
+                "body": None,
             }
         )
+        for m in range(3, order + 1):
+            body = c.own_table(m)
+            if body is not None:
+                yield pd.DataFrame({"order": pd.array([m], "Int32"), "body": [body]}).reindex(columns=[x.split()[0] for x in SCORE_SCHEMA.split(", ")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
-                yield score(row)
+                yield from score(row)
 
     return run
 
@@ -581,15 +663,15 @@ def train_and_score(docs: DataFrame, *, order: int = ORDER, chunk: int = CHUNK,
         model.tables[1] = answers.where(F.col("chunk") == MODEL)
         heard = chunks.join(by_chunk(answers, "a1").hint("shuffle_hash"), "chunk")
         for n in range(2, order + 1):
-            answers, turns = None, n - 1  # higher orders have more n-grams: fewer are in a shuffle at a time
-            for turn in range(turns):
-                asked = heard.drop("doc_ids", "no_id").mapInPandas(deal(n, buckets, hot, turn, turns), ASK)
-                part = written(asked.groupBy("bucket").applyInPandas(add(n), ANSWER), f"order-{n}")
-                answers = part if answers is None else answers.union(part)
+            asked = heard.drop("doc_ids", "no_id").mapInPandas(deal(n, buckets, hot), ASK)
+            answers = written(asked.groupBy("bucket").applyInPandas(add(n), ANSWER), f"order-{n}")
             model.d[n] = discounts(np.concatenate(([0], corpus_numbers(answers)[2:])))
-            model.tables[n] = answers.where(F.col("chunk") == MODEL)
+            model.tables[n] = answers.where(F.col("chunk") == MODEL).select("body")
             heard = heard.join(by_chunk(answers, f"a{n}").hint("shuffle_hash"), "chunk", "left")
-        return model, written(heard.mapInPandas(score_chunks(model, order, hot), SCORE_SCHEMA), "scores")
+        out = written(heard.mapInPandas(score_chunks(model, order, hot), SCORE_SCHEMA), "scores")
+        for n in range(3, order + 1):
+            model.tables[n] = model.tables[n].union(out.where(F.col("order") == n).select("body"))
+        return model, out.where("body is null").drop("order", "body")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 

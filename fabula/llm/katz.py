@@ -26,6 +26,7 @@ never more than there are distinct n-grams in all chunks.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabula.session import new_folder, written
+from fabula.session import new_folder, shuffles_dropped, written
 
 ORDER = 3
 CHUNK = 1_000_000
@@ -158,31 +159,32 @@ class Unigrams:
 
 def share(times: np.ndarray, often: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Denominator and left-over mass of histories seen ``times`` times with
-    ``often[r - 1]`` successors seen r times. A history from whose successors
+    ``often[:, r - 1]`` successors seen r times. A history from whose successors
     discounting took nothing gives up one count of a total raised by one."""
-    spared = ((1 - d[1:]) * np.arange(1, K + 1)) @ often
+    spared = often @ ((1 - d[1:]) * np.arange(1, K + 1))
     total = np.maximum(np.where(spared > 0, times, times + 1.0), 1.0)
     return total, np.where(spared > 0, spared, 1.0) / total
 
 
 def history_numbers(head: np.ndarray, total: np.ndarray, suffix: np.ndarray, heads: int) -> np.ndarray:
-    """The whole numbers that weights are made of, a column for each history:
-    how many of its n-grams were seen 1..K times, how many seen ones have a
+    """The whole numbers that weights are made of, a row for each history: how
+    many of its n-grams were seen 1..K times, how many seen ones have a
     shortened n-gram counted 1..K times, and the sum of all larger counts."""
-    seen = total > 0
-    out = np.zeros((2 * K + 1, heads), np.int64)
-    for r in range(1, K + 1):
-        out[r - 1] = np.bincount(head[total == r], minlength=heads)
-        out[K + r - 1] = np.bincount(head[seen & (suffix == r)], minlength=heads)
-    big = seen & (suffix > K)
-    out[2 * K] = np.bincount(head[big], suffix[big], heads)
+    out = np.zeros((heads, 2 * K + 1), np.int64)
+    seen = np.flatnonzero(total > 0)
+    head, total, suffix = head[seen].astype(np.int64), total[seen], suffix[seen]
+    for first, x in ((0, total), (K, suffix)):
+        few = x <= K
+        out[:, first : first + K] = np.bincount(head[few] * K + x[few] - 1, minlength=heads * K).reshape(heads, K)
+    big = suffix > K
+    out[:, 2 * K] = np.bincount(head[big], suffix[big], heads)
     return out
 
 
 def lower_mass(low: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Discounted counts of the shortened n-grams, from the numbers of those
     counted 1..K times and the sum of all larger counts."""
-    return (d[1:] * np.arange(1, K + 1)) @ low[:K] + low[K]
+    return low[:, :K] @ (d[1:] * np.arange(1, K + 1)) + low[:, K]
 
 
 @dataclass
@@ -252,21 +254,28 @@ class Numbering(dict):
         return n
 
 
-def chunk_row(task: int, part: int, docs: list, tokens: list[np.ndarray], words: dict) -> dict:
+def chunk_row(task: int, part: int, docs: list, tokens: list[np.ndarray], words: dict, buckets: int) -> dict:
+    """Local ids are given by bucket, so that answers need no further order."""
+    hashes = np.array([xxhash.xxh64_intdigest(w, 0) for w in words], "<u8")
+    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    lengths = np.array([len(t) for t in tokens], np.int64)
     return {
         "chunk": task << 32 | part,
         "doc_ids": np.array([0 if d is None else d for d, _ in docs], "<i8").tobytes(),
         "no_id": np.array([d is None for d, _ in docs], np.uint8).tobytes(),
         "held": np.array([h for _, h in docs], np.uint8).tobytes(),
-        "tokens": pack(np.array([len(t) for t in tokens], np.int64), np.concatenate(tokens)),
-        "hashes": np.array([xxhash.xxh64_intdigest(w, 0) for w in words], "<u8").tobytes(),
+        "tokens": pack(lengths, rank[np.concatenate(tokens)], np.bincount(bucket, minlength=buckets), rank[:2]),
+        "hashes": hashes[order].tobytes(),
     }
 
 
 CHUNK_SCHEMA = "chunk long, doc_ids binary, no_id binary, held binary, tokens binary, hashes binary"
 
 
-def make_chunks(chunk: int):
+def make_chunks(chunk: int, buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
@@ -280,11 +289,11 @@ def make_chunks(chunk: int):
                 tokens[-1] = np.append(tokens[-1], np.int32(0))
                 size += len(w) + 1
                 if size >= chunk:
-                    yield pd.DataFrame([chunk_row(task, part, docs, tokens, words)])
+                    yield pd.DataFrame([chunk_row(task, part, docs, tokens, words, buckets)])
                     part += 1
                     docs, tokens, size, words = [], [], 0, Numbering({END: 0, START: 1})
         if docs:
-            yield pd.DataFrame([chunk_row(task, part, docs, tokens, words)])
+            yield pd.DataFrame([chunk_row(task, part, docs, tokens, words, buckets)])
 
     return run
 
@@ -298,19 +307,19 @@ class Level:
     history: np.ndarray | None
     word: np.ndarray
     suffix: np.ndarray | None
-    hashes: np.ndarray
+    hashes: np.ndarray | None
     of_token: np.ndarray
 
 
 class Chunk:
     def __init__(self, row):
-        self.lengths, ids = unpack(row.tokens)
+        self.lengths, ids, self.sizes, (self.end, self.start) = unpack(row.tokens)
         self.ids = ids.astype(np.int32)
         self.held = np.frombuffer(row.held, np.uint8).astype(bool)
-        self.word_hash = np.frombuffer(row.hashes, "<u8")
         ends = np.cumsum(self.lengths)
         self.begins = (ends - self.lengths)[self.lengths > 0]
-        self.levels = [Level(None, np.arange(len(self.word_hash), dtype=np.int32), None, mix(self.word_hash), self.ids)]
+        words = np.arange(int(self.sizes.sum()), dtype=np.int32)
+        self.levels = [Level(None, words, None, None, self.ids)]
         #: By order: training counts in the corpus of this chunk's n-grams.
         self.count: dict[int, np.ndarray] = {}
         #: By order: n-grams that no other chunk has.
@@ -322,7 +331,7 @@ class Chunk:
             below = self.levels[-1]
             before = np.empty(len(self.ids), np.int64)
             before[1:] = below.of_token[:-1]
-            before[self.begins] = 1 if len(self.levels) == 1 else -1  # the start stands before a document once
+            before[self.begins] = self.start if len(self.levels) == 1 else -1  # the start stands before a document once
             at = np.flatnonzero(before >= 0).astype(np.int32)
             keys, first, inverse = distinct(before[at] << 32 | self.ids[at])
             history, word = (keys >> 32).astype(np.int32), (keys & MASK).astype(np.int32)
@@ -348,15 +357,12 @@ class Chunk:
         """How often each n-gram is a history in training: its count, and for
         the document start as often as a document ends."""
         c = self.count[n]
-        return np.where(np.arange(len(c)) == 1, c[0], c) if n == 1 else c
+        return np.where(np.arange(len(c)) == self.start, c[self.end], c) if n == 1 else c
 
-    def word_layout(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-        b = (self.word_hash % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(b, kind="stable")
-        cut = np.searchsorted(b[order], np.arange(buckets + 1))
-        for k in range(buckets):
-            if cut[k] < cut[k + 1]:
-                yield k, order[cut[k] : cut[k + 1]]
+    def word_layout(self) -> Iterator[tuple[int, slice]]:
+        ends = np.cumsum(self.sizes)
+        for k in np.flatnonzero(self.sizes).tolist():
+            yield k, slice(int(ends[k] - self.sizes[k]), int(ends[k]))
 
     def layout(self, n: int, buckets: int, hot: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Where the n-grams are asked about: for each bucket its n-grams, by
@@ -375,7 +381,7 @@ class Chunk:
         bucket = base[lv.history[grams]]
         wide = np.flatnonzero(spread[lv.history[grams]] > 1)
         if len(wide):
-            walk = (mix(self.word_hash ^ np.uint64(0x5BD1E995)) >> np.uint64(1)).astype(np.int64)
+            walk = (mix(self.levels[0].hashes ^ np.uint64(0x5BD1E995)) >> np.uint64(1)).astype(np.int64)
             of = lv.history[grams[wide]]
             bucket[wide] = (home[of] + walk[lv.word[grams[wide]]] % spread[of]) % buckets
         own = lv.history[np.append(True, lv.history[1:] != lv.history[:-1])] if len(lv.history) else lv.history
@@ -404,11 +410,12 @@ class Chunk:
         heads, runs = np.unique(lv.history[own], return_counts=True)
         return pack(*self.columns(n - 1, heads), runs, self.number[lv.word[own]], self.count[n][own])
 
-    def hear_words(self, answers: list, buckets: int) -> None:
+    def hear_words(self, answers: list) -> None:
         found = {a["bucket"]: a["body"] for a in answers}
-        self.count[1], self.number = np.zeros(len(self.word_hash), np.int64), np.zeros(len(self.word_hash), np.int64)
-        for k, at in self.word_layout(buckets):
+        self.count[1], self.number = np.zeros(int(self.sizes.sum()), np.int64), np.zeros(int(self.sizes.sum()), np.int64)
+        for k, at in self.word_layout():
             self.count[1][at], self.number[at] = unpack(found[k])
+        self.levels[0].hashes = mix(self.number.view(np.uint64))
 
     def hear(self, n: int, answers: list, buckets: int, hot: int) -> np.ndarray:
         """Takes in the counts of order n; returns the whole numbers of each
@@ -417,16 +424,16 @@ class Chunk:
         lv = self.level(n)
         self.count[n] = np.zeros(len(lv.word), np.int64)
         self.private[n] = np.zeros(len(lv.word), bool)
-        stats = np.zeros((2 * K + 1, len(self.level(n - 1).word)), np.int32 if n > 2 else np.int64)
+        stats = np.zeros((len(self.level(n - 1).word), 2 * K + 1), np.int32 if n > 2 else np.int64)
         for k, grams, asked in self.layout(n, buckets, hot):
             self.count[n][grams], self.private[n][grams], numbers = unpack(found.pop(k))
-            stats[:, asked] += numbers.reshape(2 * K + 1, -1)
+            stats[asked] += numbers.reshape(2 * K + 1, -1).T
         own = self.own_grams(n)
         if len(own):
             self.private[n][own] = True
             self.count[n][own] = self.training(n)[own]
             heads, head = np.unique(lv.history[own], return_inverse=True)
-            stats[:, heads] = history_numbers(head, self.count[n][own], self.count[n - 1][lv.suffix[own]], len(heads))
+            stats[heads] = history_numbers(head, self.count[n][own], self.count[n - 1][lv.suffix[own]], len(heads))
         return stats
 
 
@@ -447,19 +454,16 @@ ASK = "bucket int, chunk long, body binary"
 ANSWER = "chunk long, bucket int, body binary, stats array<long>"
 
 
-def deal_words(buckets: int):
+def deal_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def rows(pdf: pd.DataFrame) -> Iterator[dict]:
         for row in pdf.itertuples():
-            c = Chunk(row)
+            c, hashes = Chunk(row), np.frombuffer(row.hashes, "<i8")
             train = c.training(1)
-            for k, at in c.word_layout(buckets):
-                yield {"bucket": k, "chunk": row.chunk, "body": pack(c.word_hash[at].view(np.int64), train[at])}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield from in_portions(rows(pdf))
+            for k, at in c.word_layout():
+                yield {"bucket": k, "chunk": row.chunk, "body": pack(hashes[at], train[at])}
 
-    return run
+    for pdf in batches:
+        yield from in_portions(rows(pdf))
 
 
 def number_stats(total: np.ndarray) -> np.ndarray:
@@ -493,7 +497,7 @@ def deal(n: int, buckets: int, hot: int):
     def rows(pdf: pd.DataFrame) -> Iterator[dict]:
         for row in pdf.itertuples():
             c = Chunk(row)
-            c.hear_words(row.a1, buckets)
+            c.hear_words(row.a1)
             for m in range(2, n):
                 c.hear(m, getattr(row, f"a{m}"), buckets, hot)
             lv, train, low = c.level(n), c.training(n), c.count[n - 1]
@@ -546,7 +550,7 @@ def add(n: int):
         at = gram = 0
         for chunk, (a, g) in zip(pdf["chunk"], sizes):
             of = of_gram[gram : gram + g]
-            out.append((chunk, key[0], pack(total[of], alone[of], stats[:, of_ask[at : at + a]].reshape(-1)), None))
+            out.append((chunk, key[0], pack(total[of], alone[of], stats[of_ask[at : at + a]].T.reshape(-1)), None))
             at, gram = at + a, gram + g
         return pd.DataFrame(out, columns=["chunk", "bucket", "body", "stats"])
 
@@ -569,9 +573,9 @@ def token_probabilities(c: Chunk, model: Model, stats: dict[int, np.ndarray], or
             return model.unigrams.p(c.count[1])
         shorter = probability(n - 1)
         lv, below, times = c.level(n), c.level(n - 1), c.times(n - 1)
-        total, left = share(times, stats[n][:K], d[n])
+        total, left = share(times, stats[n][:, :K], d[n])
         denominator[n] = total
-        mass = lower_mass(stats[n][K:], d[n - 1]) / (denominator[1] if n == 2 else denominator[n - 1][below.suffix])
+        mass = lower_mass(stats[n][:, K:], d[n - 1]) / (denominator[1] if n == 2 else denominator[n - 1][below.suffix])
         weight = np.where(times > 0, left / np.maximum(1.0 - mass, 1e-300), 1.0)
         own = shorter[lv.suffix]
         found = np.where(c.count[n] > 0, discounted(c.count[n], d[n]) / total[lv.history], weight[lv.history] * own)
@@ -596,7 +600,7 @@ def score_chunks(model: Model, order: int, hot: int):
 
     def score(row) -> Iterator[pd.DataFrame]:
         c = Chunk(row)
-        c.hear_words(row.a1, buckets)
+        c.hear_words(row.a1)
         stats = {n: c.hear(n, getattr(row, f"a{n}"), buckets, hot) for n in range(2, order + 1)}
         n, doc = len(c.lengths), np.repeat(np.arange(len(c.lengths), dtype=np.int32), c.lengths)
         log = np.log10(token_probabilities(c, light, stats, order))
@@ -651,17 +655,23 @@ def train_and_score(docs: DataFrame, *, order: int = ORDER, chunk: int = CHUNK,
     size = base.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     buckets = max(1, round(size / bucket_bytes))
     model = Model(buckets)
-    # A bucketed table: chunks are read with answers again and again, and never moved.
-    name = "fabula_" + new_folder(spark, "chunks").rsplit("-", 1)[1]
-    base.mapInPandas(make_chunks(chunk), CHUNK_SCHEMA).write.option("path", new_folder(spark, "chunks")).bucketBy(buckets, "chunk").saveAsTable(name)
+    # Bucketed tables: chunks are read with answers again and again, and never
+    # moved. They are managed tables below the shared folder, dropped when read.
+    own = "fabula_" + uuid.uuid4().hex
+    spark.sql(f"CREATE DATABASE {own} LOCATION '{new_folder(spark, 'chunks')}'")
     try:
-        chunks = spark.table(name)
-        asked = chunks.select("chunk", "held", "tokens", "hashes").mapInPandas(deal_words(buckets), ASK)
+        base.mapInPandas(make_chunks(chunk, buckets), CHUNK_SCHEMA).write.bucketBy(buckets, "chunk").saveAsTable(f"{own}.hashed")
+        hashed = spark.table(f"{own}.hashed")
+        asked = hashed.select("chunk", "held", "tokens", "hashes").mapInPandas(deal_words, ASK)
         answers = written(asked.groupBy("bucket").applyInPandas(add_words(buckets), ANSWER), "words")
         numbers = corpus_numbers(answers)
         model.unigrams = Unigrams(int(numbers[0]), int(numbers[1]), np.concatenate(([0], numbers[2:])))
         model.tables[1] = answers.where(F.col("chunk") == MODEL)
-        heard = chunks.join(by_chunk(answers, "a1").hint("shuffle_hash"), "chunk")
+        with shuffles_dropped(spark):
+            known = hashed.drop("hashes").join(by_chunk(answers, "a1").hint("shuffle_hash"), "chunk")
+            known.write.bucketBy(buckets, "chunk").saveAsTable(f"{own}.chunks")
+        spark.sql(f"DROP TABLE {own}.hashed")
+        heard = spark.table(f"{own}.chunks")
         for n in range(2, order + 1):
             asked = heard.drop("doc_ids", "no_id").mapInPandas(deal(n, buckets, hot), ASK)
             answers = written(asked.groupBy("bucket").applyInPandas(add(n), ANSWER), f"order-{n}")
@@ -673,7 +683,7 @@ def train_and_score(docs: DataFrame, *, order: int = ORDER, chunk: int = CHUNK,
             model.tables[n] = model.tables[n].union(out.where(F.col("order") == n).select("body"))
         return model, out.where("body is null").drop("order", "body")
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"DROP DATABASE {own} CASCADE")
 
 
 def score_documents(docs: DataFrame, **options) -> DataFrame:

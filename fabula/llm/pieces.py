@@ -313,15 +313,21 @@ class Vocabulary:
         return into + (0.0 if exit_ is None else self.transfer(text, last, hi, None, exit_))
 
     def fast_trace(self, text: str, lo: int, hi: int, entry, exit_) -> list[int]:
-        """Ids of the pieces that start in [lo, hi), units between safe places."""
+        """Ids of the pieces that start in [lo, hi)."""
+        before, inner, after = self.trace_ends(text, lo, hi, entry, exit_)
+        return before + self.encode(inner).tolist() + after
+
+    def trace_ends(self, text: str, lo: int, hi: int, entry, exit_) -> tuple[list[int], str, list[int]]:
+        """Ids up to the first safe place and from the last one on, and the
+        units between, whose ids depend on no state."""
         found = self.safe(text, lo, hi)
         if not found:
-            return self.ids(self.trace(text, lo, hi, entry, exit_))
+            return self.ids(self.trace(text, lo, hi, entry, exit_)), "", []
         first = lo if entry is None else found[0]
         last = hi if exit_ is None else found[1]
-        out = self.ids(self.trace(text, lo, first, entry, None)) if first > lo else []
-        out += self.encode(text[first:last]).tolist()
-        return out + (self.ids(self.trace(text, last, hi, None, exit_)) if last < hi else [])
+        before = self.ids(self.trace(text, lo, first, entry, None)) if first > lo else []
+        after = self.ids(self.trace(text, last, hi, None, exit_)) if last < hi else []
+        return before, text[first:last], after
 
     def trace(self, text: str, lo: int, hi: int, entry: tuple[str, int] | None, exit_: tuple[str, int] | None) -> list[str]:
         """Pieces that start in [lo, hi) on the path from entry to exit;
@@ -564,15 +570,24 @@ def encode_giants(docs: DataFrame, path: str, chunk: int, out: str) -> DataFrame
     def backtrace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(path)
         for pdf in batches:
-            for r in pdf.itertuples():
-                entry, exit_ = ends(v, r.c, r.n, r.left, r.len, r.text)
-                leave = None if exit_ is None else exit_[int(r.leave)]
-                ids = v.fast_trace(r.text, r.left, r.left + r.len, entry[int(r.entry)] if entry else None, leave)
+            rows = list(pdf.itertuples())
+            for k in range(0, len(rows), together):
+                some, parts = rows[k : k + together], []
+                for r in some:
+                    entry, exit_ = ends(v, r.c, r.n, r.left, r.len, r.text)
+                    leave = None if exit_ is None else exit_[int(r.leave)]
+                    parts.append(v.trace_ends(r.text, r.left, r.left + r.len, entry[int(r.entry)] if entry else None, leave))
+                inner = v.encode_all([m for _, m, _ in parts])
+                ids = [np.concatenate((pack(b), i, pack(a))) for (b, _, a), i in zip(parts, inner)]
                 # Pieces hold whole characters and byte pieces stand together, so chunks decode apart.
-                text = v.decode(ids, first=r.c == 0)
-                yield pd.DataFrame({"row": [r.row], "doc_id": pd.array([r.doc_id], "Int64"), "c": [r.c], "ids": [pack(ids)], "part": [text], "digest": [r.digest]})
-
-    traced = pieces.join(starts, ["row", "c"]).mapInPandas(backtrace, "row long, doc_id long, c int, ids array<int>, part string, digest string")
+                texts = [v.decode(i.tolist(), first=r.c == 0) for i, r in zip(ids, some)]
+                out = pd.DataFrame([(r.row, r.doc_id, r.c, i, t, r.digest) for r, i, t in zip(some, ids, texts)], columns=names)
+                yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+
+    together = max(1, YIELD // chunk)
+    columns = "row long, doc_id long, c int, ids array<int>, part string, digest string"
+    names = [c.split()[0] for c in columns.split(", ")]
+    traced = pieces.join(starts, ["row", "c"]).mapInPandas(backtrace, columns)
     chunks = F.array_sort(F.collect_list(F.struct("c", "ids", "part")))
     whole = traced.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), chunks.alias("chunks"), F.count(F.lit(1)).cast("int").alias("n_chunks"), F.first("digest").alias("digest")

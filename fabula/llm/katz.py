@@ -636,8 +636,9 @@ def held_out(key: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
 
 
-def by_chunk(answers: DataFrame, name: str) -> DataFrame:
-    return answers.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "body")).alias(name))
+def by_chunk(answers: DataFrame, name: str, buckets: int) -> DataFrame:
+    """The answers of each chunk, dealt as the chunk tables are."""
+    return answers.where("chunk >= 0").select("chunk", "bucket", "body").repartition(buckets, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "body")).alias(name))
 
 
 def corpus_numbers(answers: DataFrame) -> np.ndarray:
@@ -668,7 +669,7 @@ def train_and_score(docs: DataFrame, *, order: int = ORDER, chunk: int = CHUNK,
         model.unigrams = Unigrams(int(numbers[0]), int(numbers[1]), np.concatenate(([0], numbers[2:])))
         model.tables[1] = answers.where(F.col("chunk") == MODEL)
         with shuffles_dropped(spark):
-            known = hashed.drop("hashes").join(by_chunk(answers, "a1").hint("shuffle_hash"), "chunk")
+            known = hashed.drop("hashes").join(by_chunk(answers, "a1", buckets).hint("shuffle_hash"), "chunk")
             known.write.bucketBy(buckets, "chunk").saveAsTable(f"{own}.chunks")
         spark.sql(f"DROP TABLE {own}.hashed")
         heard = spark.table(f"{own}.chunks")
@@ -677,7 +678,7 @@ def train_and_score(docs: DataFrame, *, order: int = ORDER, chunk: int = CHUNK,
             answers = written(asked.groupBy("bucket").applyInPandas(add(n), ANSWER), f"order-{n}")
             model.d[n] = discounts(np.concatenate(([0], corpus_numbers(answers)[2:])))
             model.tables[n] = answers.where(F.col("chunk") == MODEL).select("body")
-            heard = heard.join(by_chunk(answers, f"a{n}").hint("shuffle_hash"), "chunk", "left")
+            heard = heard.join(by_chunk(answers, f"a{n}", buckets).hint("shuffle_hash"), "chunk", "left")
         out = written(heard.mapInPandas(score_chunks(model, order, hot), SCORE_SCHEMA), "scores")
         for n in range(3, order + 1):
             model.tables[n] = model.tables[n].union(out.where(F.col("order") == n).select("body"))

@@ -51,3 +51,48 @@ def test_given_pages(spark, sf):
         inner = re.search(r"<article>(.*?)(</article>|<footer|$)", r.html, re.S)[1]
         assert r.text.count("\n") <= inner.count("<p>") + 1 and r.n_chars == len(r.text)
         assert "track(" not in r.text and "example.com" not in r.text
+
+
+STORY = "<p>" + "The storm came over the hills before dawn, and nobody in the village slept that night. " * 2 + "</p>"
+
+
+def test_wrappers_keep_the_article():
+    wrappers = [
+        '<div class="layout with-sidebar">%s</div>', '<div class="page no-sidebar"><article>%s</article></div>', '<div class="side-by-side">%s</div>',
+        '<section class="toc-enabled">%s</section>', '<div id="story-tags-1" class="content">%s</div>', '<div class="warning-free"><main>%s</main></div>',
+        '<form id="aspnetForm">%s</form>', '<svg><path d="M0 0"/>%s', "<noscript>%s",
+    ]
+    for w in wrappers:
+        got = main_text("<body><nav><a href=x>Home</a></nav>" + w % (STORY * 3) + "<footer>All rights. Reserved.</footer></body>")
+        assert got.count("storm") == 6 and "Home" not in got and "rights" not in got, w
+
+
+def test_time_grows_with_length_only():
+    import time
+
+    pages = ["<a " * 340_000, '<a "' * 250_001 + ">", "<svg>" * 200_000, "<div>" * 100_000 + "</p>" * 100_000, "<b>" * 100_000 + "x<hr>" * 100_000, STORY * 6000, "<!-- " * 200_000]
+    for page in pages:
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 8
+
+
+def test_planted_boilerplate_is_left_out(spark, sf):
+    """Recall and precision on the given pages: planted blocks go, and what was
+    extracted without them stays, line by line."""
+    planted = [
+        '<div class="cookie-consent"><p>We and our partners use cookies on this site. You can agree to all of them or leave the page now.</p></div>',
+        '<div id="site-header"><p>The paper of the county since 1871. Printed every morning in the old mill.</p></div>',
+        '<ul class="main-nav"><li><a href=/a>News</a><li><a href=/b>Sport and games</a></ul>',
+        '<section class="comments-area"><div class="comment-body"><p>I was there that night, and I do not believe a word of it. You should be ashamed of printing this.</p></div></section>',
+        '<div class="related-posts"><p>Read this next. It is about something else altogether, and longer than you think.</p></div>',
+        '<form class="newsletter-signup"><p>Sign up for our letter. We will never share your address with anyone, we promise.</p></form>',
+    ]
+    kept = lost = extra = 0
+    for r in spark.read.parquet(f"{sf}/pages.parquet").where("html is not null").collect():
+        want = main_text(r.html).split("\n")
+        got = main_text("".join(planted[:3]) + r.html + "".join(planted[3:])).split("\n")
+        kept += len(set(want) & set(got))
+        lost += len(set(want) - set(got))
+        extra += len(set(got) - set(want))
+    assert kept / (kept + lost) > 0.99 and kept / (kept + extra) > 0.99

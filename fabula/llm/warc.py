@@ -28,6 +28,12 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORDS_PER_FILE = 1000
+#: A file's bytes before compression, as long as a single record is no longer.
+FILE_BYTES = 128 << 20
+#: Longest header that is read.
+HEADER_BYTES = 64 << 10
+FIELD = re.compile(rb"\r\n([!-9;-~]+)[ \t]*:[ \t]*([^\r\n]*)")
+NUMBER = re.compile(r"[0-9]{1,18}")
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -95,22 +101,26 @@ def record_text(r: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0, compression: str = "gzip") -> None:
     """Writes archives; Spark's text sink ends each record with the two line
     ends that the format asks for, and commits whole files only. compression:
-    ``gzip`` for one member a file, ``none`` for archives to seek in."""
+    ``gzip`` for one member a file, ``none`` for archives to seek in. A file
+    takes 1,000 records, fewer where these could be over ``FILE_BYTES``."""
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    count = max(1, min(RECORDS_PER_FILE, FILE_BYTES // (longest + HEADER_BYTES)))
     records = record_text(with_revisits(pages, least_bytes=least_bytes))
-    records.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", compression).text(path)
+    records.write.option("lineSep", END).option("maxRecordsPerFile", count).option("compression", compression).text(path)
 
 
 def header_fields(head: bytes) -> dict[str, str]:
-    fields = {}
-    for line in head.split(b"\r\n")[1:]:
-        name, _, value = line.partition(b":")
-        fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    return fields
+    return {m[1].lower().decode("latin-1"): m[2].strip().decode("utf-8", "replace") for m in FIELD.finditer(head)}
+
+
+def whole_number(value: str | None) -> int | None:
+    """A count of bytes; None for anything else than up to 18 digits."""
+    return int(value) if value and NUMBER.fullmatch(value) else None
 
 
 def page_of(name: str) -> int | None:
-    m = re.fullmatch(r"<urn:page:(-?\d+)>", name)
-    return int(m[1]) if m else None
+    m = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", name)
+    return int(m[1]) if m and -(1 << 63) <= int(m[1]) < 1 << 63 else None
 
 
 CANDIDATE = "file string, off long, next long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, digest_ok boolean"
@@ -118,21 +128,25 @@ CANDIDATE = "file string, off long, next long, page_id long, url string, payload
 
 def scan(content: bytes) -> Iterator[tuple]:
     """Every place that reads like a record: offset, successor, and fields.
-    A candidate that overruns the file has no successor and no record."""
-    for m in MAGIC.finditer(content):
-        end = content.find(b"\r\n\r\n", m.start())
+    A candidate that overruns the file has no successor and no record, nor has
+    one with a header over ``HEADER_BYTES``, with a second magic line in its
+    header or with fields that do not read as they should."""
+    places = [m.start() for m in MAGIC.finditer(content)]
+    for place, after in zip(places, [*places[1:], len(content)]):
+        end = content.find(b"\r\n\r\n", place, min(after, place + HEADER_BYTES))
         if end < 0:
             continue
-        fields = header_fields(content[m.start() : end])
-        if not fields.get("content-length", "").isdigit():
+        fields = header_fields(content[place:end])
+        length = whole_number(fields.get("content-length"))
+        if length is None:
             continue
         start = end + 4
-        stop = start + int(fields["content-length"])
+        stop = start + length
         if content[stop : stop + 4] != b"\r\n\r\n":
             continue
         kind = fields.get("warc-type", "")
         claimed = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-        size = int(fields.get("x-payload-length") or 0)
+        size = whole_number(fields.get("x-payload-length")) or 0
         digest, good = claimed, None
         if kind == "response":
             body = content.find(b"\r\n\r\n", start, stop)
@@ -141,7 +155,7 @@ def scan(content: bytes) -> Iterator[tuple]:
             digest = base64.b32encode(hashlib.sha1(memoryview(content)[body:stop]).digest()).decode()
             good = digest == claimed
         yield (
-            m.start(), stop + 4, page_of(fields.get("warc-record-id", "")), fields.get("warc-target-uri"), size, digest, kind,
+            place, stop + 4, page_of(fields.get("warc-record-id", "")), fields.get("warc-target-uri"), size, digest, kind,
             page_of(fields.get("warc-refers-to", "")), good,
         )
 

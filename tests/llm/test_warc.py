@@ -59,3 +59,23 @@ def test_chain_is_followed():
 
 def test_empty(spark):
     assert round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_malformed_fields(spark):
+    head = "WARC/1.0\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:page:%s>\r\nX-Payload-Length: %s\r\nContent-Length: %s\r\n\r\nabc\r\n\r\n"
+    fakes = [head % x for x in [("revisit", "7", "abc", "3"), ("revisit", "7", "3", "²"), ("response", "9" * 30, "3", "3"), ("revisit", "1", "9" * 40, "3"), ("x", "1", "3", "9" * 40)]]
+    fakes += ["WARC/1.0\r\n" * 50 + "\r\n", "WARC/1.0\r\n\r\n\r\n\r\n", "WARC/1.1\r\n: x\r\nno colon\r\n\r\n", "\ud800".encode("utf-8", "replace").decode()]
+    rows = [(k, f"u\r\n{k}", t, "x") for k, t in enumerate(fakes)]
+    got = {r.page_id: r for r in round_trip(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {k: r.payload_digest for k, r in got.items()} == {k: b32(t) for k, _, t, _ in rows}
+    for t in fakes:
+        list(scan(t.encode()))
+
+
+def test_magic_lines_take_linear_time():
+    import time
+
+    began = time.process_time()
+    assert list(scan(b"WARC/1.0\r\n" * 100_000 + b"\r\n\r\n")) == []
+    assert list(scan((b"WARC/1.0\r\n" + b"a: b\r\n" * 5) * 25_000)) == []
+    assert time.process_time() - began < 2

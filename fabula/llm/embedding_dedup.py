@@ -39,8 +39,7 @@ def usable(vector: str, label: str) -> Column:
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length one; first by their largest entry, so that the
     squares neither overflow nor vanish."""
-    x = x.astype(np.float64)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -78,8 +77,15 @@ def tile_links(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> It
                 yield x[near], y[near]
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest entry near one,
+    which changes no cosine and keeps squares from overflowing or vanishing."""
+    x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    x, y = x.astype(np.float64), y.astype(np.float64)
+    x, y = scaled(x), scaled(y)
     return (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
 
 
@@ -91,41 +97,53 @@ def dedup(vectors: DataFrame, *, vector: str = "embedding", label: str = "label"
     zero or hold null or non-finite entries link with nothing, nor do vectors
     of different length. Every other row counts, so a repeated row is a copy
     that links with the first. Equal vectors are compared once and counted by
-    their number. component_id is null, and kept false, for a null id.
+    their number; rows that share an id are rows of their own. component_id is
+    null, and kept false, for a null id. An empty table gives an empty result.
     """
     rows = vectors.select("vec_id", F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
     good = usable("v", "label")
-    classes = written(
-        rows.where(good).groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")).withColumn("dim", F.size("v")),
-        "vectors",
-    )
-    pivots = [r["v"] for r in classes.orderBy(F.xxhash64("id"), "id").select("v").limit(MAX_PIVOTS).collect()]
+    # A class of equal vectors has a number of its own, as ids may be repeated.
+    # Vectors travel as bytes, in single precision where they came in it.
+    single = dict(vectors.dtypes)[vector] == "array<float>"
+    width = np.dtype("<f4" if single else "<f8")
+
+    @F.pandas_udf("binary")
+    def as_bytes(v: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(x, width).tobytes() for x in v], dtype=object)
+
+    def matrix(blobs) -> np.ndarray:
+        return np.frombuffer(b"".join(blobs), width).reshape(len(blobs), -1)
+
+    alike = rows.where(good).groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    stored = written(alike.select("label", F.col("v").alias("_v"), "least", "n", F.size("v").alias("dim"), as_bytes("v").alias("v"), F.monotonically_increasing_id().alias("id")), "vectors")
+    classes = stored.drop("_v", "least")
+    pivots = [r["v"] for r in stored.orderBy(F.xxhash64("least"), "least", "_v").select("v").limit(MAX_PIVOTS).collect()]
     # Small tables are written before they are joined: both sides then are plain
     # shuffles, and Spark splits the rows of a label that holds most of them.
     sizes = written(classes.groupBy("label", "dim").agg(F.least(F.ceil(F.count(F.lit(1)) / TILE), F.lit(MAX_PIVOTS)).cast("int").alias("k")), "sizes")
     reach = math.acos(min(1.0, threshold)) + 1e-6
 
     def angles(dim: int, k: int, x: np.ndarray) -> np.ndarray:
-        chosen = [p for p in pivots if len(p) == dim][: max(k, 1)]
+        chosen = [p for p in pivots if len(p) == dim * width.itemsize][: max(k, 1)]
         if k <= 1 or not chosen:
             return np.zeros((len(x), 1))
-        return np.arccos(np.clip(unit(x) @ unit(np.array(chosen)).T, -1, 1))
+        return np.arccos(np.clip(unit(x) @ unit(matrix(chosen)).T, -1, 1))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for (dim, k), g in pdf.groupby(["dim", "k"]):
-                ang = angles(dim, k, np.array(g["v"].tolist()))
+                ang = angles(dim, k, matrix(g["v"].tolist()))
                 cell = ang.argmin(1)
                 yield g.assign(cell=cell.astype(np.int32), angle=ang[np.arange(len(g)), cell])
 
     placed = written(
         classes.join(sizes, ["label", "dim"]).mapInPandas(
-            place, "label int, dim int, v array<double>, id long, n long, k int, cell int, angle double"
+            place, "label int, dim int, v binary, id long, n long, k int, cell int, angle double"
         )
         if dict(classes.dtypes)["label"] == "int"
         else classes.withColumn("label", F.col("label").cast("string"))
         .join(sizes.withColumn("label", F.col("label").cast("string")), ["label", "dim"])
-        .mapInPandas(place, "label string, dim int, v array<double>, id long, n long, k int, cell int, angle double"),
+        .mapInPandas(place, "label string, dim int, v binary, id long, n long, k int, cell int, angle double"),
         "placed",
     )
     cells = written(
@@ -140,7 +158,7 @@ def dedup(vectors: DataFrame, *, vector: str = "embedding", label: str = "label"
         for pdf in batches:
             for (_, dim, k), g in pdf.groupby(["label", "dim", "k"]):
                 info = [(int(c["cell"]), float(c["radius"]), int(c["tiles"])) for c in g["cells"].iloc[0]]
-                ang = angles(dim, k, np.array(g["v"].tolist()))
+                ang = angles(dim, k, matrix(g["v"].tolist()))
                 tiles = {c: t for c, _, t in info}
                 own = np.array([h % tiles[c] for h, c in zip(g["h"], g["cell"])])
                 mine = g["cell"].to_numpy().astype(np.int64) << 32 | own
@@ -163,7 +181,7 @@ def dedup(vectors: DataFrame, *, vector: str = "embedding", label: str = "label"
         right = left if same else pdf[pdf["own"] == key[3]]
         if not len(left) or not len(right):
             return pd.DataFrame({"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
-        a, b = np.array(left["v"].tolist()), np.array(right["v"].tolist())
+        a, b = matrix(left["v"].tolist()), matrix(right["v"].tolist())
         ids = left["id"].to_numpy() if same else np.concatenate([left["id"], right["id"]])
         copies = left["n"].to_numpy() if same else np.concatenate([left["n"], right["n"]])
         links = np.zeros(len(ids), np.int64)
@@ -184,23 +202,20 @@ def dedup(vectors: DataFrame, *, vector: str = "embedding", label: str = "label"
         placed.join(cells, ["label", "dim"])
         .withColumn("h", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 30)))
         .select("label", "dim", "k", "v", "id", "n", "cell", "h", "cells")
-        .mapInPandas(deal, f"label {kind}, dim int, lo long, hi long, own long, id long, n long, v array<double>")
+        .mapInPandas(deal, f"label {kind}, dim int, lo long, hi long, own long, id long, n long, v binary")
         .groupBy("label", "dim", "lo", "hi")
         .applyInPandas(compare, "id long, links long, root long"),
         "links",
     )
     parts = connected_components(found.select(F.col("id").alias("src"), F.col("root").alias("dst")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    linked = written(stored.join(links, "id", "left").join(parts, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id")), "classes")
+    heads = linked.groupBy("part").agg(F.min("least").alias("_component"))
     of_class = written(
-        classes.join(links, "id", "left")
-        .join(parts, F.col("id") == F.col("node"), "left")
-        .select(
-            F.col("label").alias("_label"),
-            F.col("v").alias("_v"),
-            (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("_links"),
-            F.coalesce("component", "id").alias("_component"),
+        linked.join(heads, "part").select(
+            F.col("label").alias("_label"), "_v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("_links"), "_component"
         ),
-        "classes",
+        "components",
     )
     keyed = rows.withColumn("_good", good)
     return keyed.join(of_class, F.col("_good") & (F.col("label") == F.col("_label")) & (F.col("v") == F.col("_v")), "left").select(

@@ -60,3 +60,15 @@ def test_odd_rows(spark):
     got = sorted(map(tuple, dedup(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
     assert got == sorted(plain(rows), key=str)
     assert dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_repeated_ids_and_great_lengths(spark):
+    rows = [
+        (1, [1.0, 0.0], 1, "a"), (2, [1.0, 0.01], 1, "a"), (2, [0.01, 1.0], 1, "a"), (3, [0.0, 1.0], 1, "a"),
+        (5, [1e200, 1e200], 2, "a"), (6, [1e200, 1.0001e200], 2, "a"), (7, [1e-200, 1e-200], 2, "a"), (8, [1e-200, -1e-200], 2, "a"),
+    ]
+    got = [tuple(r) for r in dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, id string")).collect()]
+    assert sorted(got) == [
+        (1, 1, 1, True), (2, 1, 1, False), (2, 1, 2, True), (3, 1, 2, False),
+        (5, 2, 5, True), (6, 2, 5, False), (7, 2, 5, False), (8, 0, 8, True),
+    ]

@@ -20,7 +20,7 @@ def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.digest(sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), shards=16))
+    return sharding.digest(sharding.written_shards(table(spark, sf_dir, "documents"), shards=16))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from fabula.session import new_folder, shuffles_dropped
 
 LAW = "rows"
 
@@ -47,18 +50,19 @@ def shuffle_into_shards(
     ``seed`` alone, not on how the input was partitioned. Null keys and texts
     are rows like any other; rows with equal key and text are interchangeable;
     an empty table gives an empty one; an input column named size, shard or
-    slot is replaced. A bucket holds ``bucket_bytes`` on average, whatever the
+    slot is replaced, one named like the inner ``_fabula_bucket`` may not be
+    there. Texts of any length are moved whole. A bucket holds ``bucket_bytes`` on average, whatever the
     input's size, and one task at a time works on one bucket.
     """
     base = docs.drop("size", "shard", "slot").withColumn("size", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1)
     total, n = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(1, math.ceil(total / bucket_bytes))
     scattered = base.withColumn(
-        "_bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), F.lit(buckets)).cast("int")
+        "_fabula_bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), F.lit(buckets)).cast("int")
     )
-    counts = scattered.groupBy("_bucket").count()
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
-    starts = counts.select("_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    counts = scattered.groupBy("_fabula_bucket").count()
+    before = Window.orderBy("_fabula_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    starts = counts.select("_fabula_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     names = base.columns
 
     def second_pass(k: tuple, rows: pa.Table, start: pa.Table) -> pa.Table:
@@ -72,12 +76,28 @@ def shuffle_into_shards(
         return mixed.append_column("shard", pa.array(shard)).append_column("slot", pa.array(slot))
 
     out = base.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).schema
-    return scattered.groupBy("_bucket").cogroup(starts.groupBy("_bucket")).applyInArrow(second_pass, out)
+    # A partition per bucket, so that no task grows with the input.
+    dealt = scattered.repartition(buckets, "_fabula_bucket")
+    return dealt.groupBy("_fabula_bucket").cogroup(starts.groupBy("_fabula_bucket")).applyInArrow(second_pass, out)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
     """One folder per shard; files hold consecutive slots in order."""
-    sharded.write.partitionBy("shard").parquet(path)
+    with shuffles_dropped(sharded.sparkSession):
+        sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of all shards that were written with this schema."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def written_shards(docs: DataFrame, **options) -> DataFrame:
+    """``shuffle_into_shards``, written to the shared folder and read back."""
+    sharded = shuffle_into_shards(docs, **options)
+    path = new_folder(docs.sparkSession, "shards")
+    write_shards(sharded, path)
+    return read_shards(docs.sparkSession, path, sharded.schema)
 
 
 def digest(sharded: DataFrame, *, text: str = "text") -> DataFrame:

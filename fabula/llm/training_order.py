@@ -25,6 +25,8 @@ SHARD = 8192
 ROUNDS = 6
 #: The shards are written in so many turns, each with its own shuffle, dropped after it.
 TURNS = 4
+#: Characters that are encoded at a time.
+SLICE = 1 << 20
 MASK64 = (1 << 64) - 1
 
 
@@ -69,18 +71,24 @@ def sequences(docs: DataFrame, encode, *, length: int, end_id: int, key: str = "
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run, task, local = encode(), TaskContext.get().partitionId(), 0
         for pdf in batches:
-            doc, part, size, blob = [], [], [], []
-            for d, ids in zip(pdf["doc_id"], run(pdf["text"].tolist())):
-                ids = np.append(np.asarray(ids, np.uint16), np.uint16(end_id))
-                for p in range(0, len(ids), length):
-                    piece = ids[p : p + length]
-                    doc.append(d)
-                    part.append(p // length)
-                    size.append(len(piece))
-                    blob.append(piece.astype("<u2").tobytes())
-            at = np.arange(local, local + len(doc))
-            local += len(doc)
-            yield pd.DataFrame({"task": task, "local": at, "doc_id": pd.array(doc, "Int64"), "part": part, "n_tokens": size, "ids": blob})
+            keys, texts, first = pdf["doc_id"].tolist(), pdf["text"].tolist(), 0
+            while first < len(texts):  # few token lists are in memory at a time
+                end, chars = first, 0
+                while end < len(texts) and chars < SLICE:
+                    chars += len(texts[end])
+                    end += 1
+                doc, part, size, blob = [], [], [], []
+                for d, ids in zip(keys[first:end], run(texts[first:end])):
+                    ids = np.append(np.asarray(ids, np.uint16), np.uint16(end_id))
+                    for p in range(0, len(ids), length):
+                        piece = ids[p : p + length]
+                        doc.append(d)
+                        part.append(p // length)
+                        size.append(len(piece))
+                        blob.append(piece.astype("<u2").tobytes())
+                at = np.arange(local, local + len(doc))
+                local, first = local + len(doc), end
+                yield pd.DataFrame({"task": task, "local": at, "doc_id": pd.array(doc, "Int64"), "part": part, "n_tokens": size, "ids": blob})
 
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return written(base.mapInPandas(cut, "task int, local long, doc_id long, part int, n_tokens int, ids binary"), "sequences", "zstd")
@@ -146,7 +154,8 @@ def write_in_order(seqs: DataFrame, path: str, *, length: int = LENGTH, pad_id:
         return spark.createDataFrame([], lines)
     out = None
     for turn in range(TURNS):  # only a share of the shards is in a shuffle at a time
-        done = written(seqs.mapInPandas(slots(turn), rows).groupBy("shard").applyInPandas(write, lines), "manifest")
+        dealt = seqs.mapInPandas(slots(turn), rows).repartition(max(1, total // (shard * TURNS)), "shard")  # about a shard a task
+        done = written(dealt.groupBy("shard").applyInPandas(write, lines), "manifest")
         out = done if out is None else out.union(done)
     return out
 
@@ -189,6 +198,9 @@ END_ID = 50256
 
 def materialise(docs: DataFrame, path: str | None = None, *, length: int = LENGTH, key: int = 2024, shard: int = SHARD) -> DataFrame:
     """Tokenises all documents, writes them in training order and returns the
-    manifest. A null text is an empty one: a sequence of the end id alone."""
+    manifest. A null text is an empty one: a sequence of the end id alone.
+    Repeated rows and null keys are sequences of their own; an empty table
+    gives an empty manifest; a text of any length is cut into sequences and
+    lost nowhere; other columns, whatever their names, are not read."""
     seqs = sequences(docs, byte_bpe(), length=length, end_id=END_ID)
     return write_in_order(seqs, path or new_folder(docs.sparkSession, "shards"), length=length, pad_id=END_ID, key=key, shard=shard)

@@ -1,7 +1,9 @@
 import zlib
 from collections import Counter, defaultdict
 
-from fabula.llm.sharding import digest, shuffle_into_shards, write_shards
+import numpy as np
+
+from fabula.llm.sharding import digest, shuffle_into_shards, write_shards, written_shards
 
 SCHEMA = "doc_id long, text string, shard string, slot long"
 
@@ -35,3 +37,20 @@ def test_odd_rows(spark, tmp_path):
     write_shards(out, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == 5
     assert shuffle_into_shards(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_against_a_plain_shuffle(spark):
+    """Two passes over a list: scatter by Spark's hash, then shuffle each bucket."""
+    rows = [(k, f"text {k} " * (k % 9), None, None) for k in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    total, size = sum(len(r[1]) + 1 for r in rows), 1500
+    buckets = -(-total // size)
+    of = {r.doc_id: r.b for r in docs.selectExpr("doc_id", f"pmod(xxhash64(20240, doc_id, text), {buckets}) as b").collect()}
+    line = []
+    for b in range(buckets):
+        own = sorted(k for k in of if of[k] == b)
+        order = np.arange(len(own))
+        np.random.Generator(np.random.PCG64([20240, b])).shuffle(order)
+        line += [own[i] for i in order]
+    got = sorted((r.shard, r.slot, r.doc_id) for r in written_shards(docs, bucket_bytes=size).collect())
+    assert [d for _, _, d in got] == line and [s for s, _, _ in got] == [s for s in range(16) for _ in range(25)]

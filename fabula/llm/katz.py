@@ -40,9 +40,9 @@ from pyspark.sql import functions as F
 from fabula.session import new_folder, shuffles_dropped, written
 
 ORDER = 3
-CHUNK = 1_000_000
+CHUNK = 600_000
 #: Bytes of text for which there is one bucket.
-BUCKET_BYTES = 12_000_000
+BUCKET_BYTES = 18_000_000
 #: Training n-grams of one history that one bucket takes.
 HOT = 4_000_000
 K = 5
@@ -657,29 +657,38 @@ def train_and_score(docs: DataFrame, *, order: int = ORDER, chunk: int = CHUNK,
     buckets = max(1, round(size / bucket_bytes))
     model = Model(buckets)
     # Bucketed tables: chunks are read with answers again and again, and never
-    # moved. They are managed tables below the shared folder, dropped when read.
+    # moved. They are managed tables below the shared folder, each dropped when
+    # the next one has taken in the answers to it.
     own = "fabula_" + uuid.uuid4().hex
-    spark.sql(f"CREATE DATABASE {own} LOCATION '{new_folder(spark, 'chunks')}'")
-    try:
-        base.mapInPandas(make_chunks(chunk, buckets), CHUNK_SCHEMA).write.bucketBy(buckets, "chunk").saveAsTable(f"{own}.hashed")
-        hashed = spark.table(f"{own}.hashed")
-        asked = hashed.select("chunk", "held", "tokens", "hashes").mapInPandas(deal_words, ASK)
-        answers = written(asked.groupBy("bucket").applyInPandas(add_words(buckets), ANSWER), "words")
-        numbers = corpus_numbers(answers)
-        model.unigrams = Unigrams(int(numbers[0]), int(numbers[1]), np.concatenate(([0], numbers[2:])))
-        model.tables[1] = answers.where(F.col("chunk") == MODEL)
+    spark.sql(f"CREATE DATABASE {own} LOCATION '{new_folder(spark, 'katz')}'")
+
+    def keep(df: DataFrame, name: str, bucketed: bool) -> DataFrame:
         with shuffles_dropped(spark):
-            known = hashed.drop("hashes").join(by_chunk(answers, "a1", buckets).hint("shuffle_hash"), "chunk")
-            known.write.bucketBy(buckets, "chunk").saveAsTable(f"{own}.chunks")
-        spark.sql(f"DROP TABLE {own}.hashed")
-        heard = spark.table(f"{own}.chunks")
-        for n in range(2, order + 1):
-            asked = heard.drop("doc_ids", "no_id").mapInPandas(deal(n, buckets, hot), ASK)
-            answers = written(asked.groupBy("bucket").applyInPandas(add(n), ANSWER), f"order-{n}")
-            model.d[n] = discounts(np.concatenate(([0], corpus_numbers(answers)[2:])))
-            model.tables[n] = answers.where(F.col("chunk") == MODEL).select("body")
-            heard = heard.join(by_chunk(answers, f"a{n}", buckets).hint("shuffle_hash"), "chunk", "left")
-        out = written(heard.mapInPandas(score_chunks(model, order, hot), SCORE_SCHEMA), "scores")
+            (df.write.bucketBy(buckets, "chunk") if bucketed else df.write).saveAsTable(f"{own}.{name}")
+        return spark.table(f"{own}.{name}")
+
+    try:
+        chunks = keep(base.mapInPandas(make_chunks(chunk, buckets), CHUNK_SCHEMA), "chunks_0", True)
+        for n in range(1, order + 1):
+            if n == 1:
+                asked = chunks.select("chunk", "held", "tokens", "hashes").mapInPandas(deal_words, ASK)
+                answers = asked.groupBy("bucket").applyInPandas(add_words(buckets), ANSWER)
+            else:
+                asked = chunks.drop("doc_ids", "no_id").mapInPandas(deal(n, buckets, hot), ASK)
+                answers = asked.groupBy("bucket").applyInPandas(add(n), ANSWER)
+            answers = keep(answers, f"answers_{n}", False)
+            numbers = corpus_numbers(answers)
+            if n == 1:
+                model.unigrams = Unigrams(int(numbers[0]), int(numbers[1]), np.concatenate(([0], numbers[2:])))
+            else:
+                model.d[n] = discounts(np.concatenate(([0], numbers[2:])))
+            model.tables[n] = written(answers.where(F.col("chunk") == MODEL).select("body"), f"order-{n}")
+            chunks = chunks.drop("hashes").join(by_chunk(answers, f"a{n}", buckets).hint("shuffle_hash"), "chunk", "left")
+            if n < order:
+                chunks = keep(chunks, f"chunks_{n}", True)
+                spark.sql(f"DROP TABLE {own}.chunks_{n - 1}")
+                spark.sql(f"DROP TABLE {own}.answers_{n}")
+        out = written(chunks.mapInPandas(score_chunks(model, order, hot), SCORE_SCHEMA), "scores")
         for n in range(3, order + 1):
             model.tables[n] = model.tables[n].union(out.where(F.col("order") == n).select("body"))
         return model, out.where("body is null").drop("order", "body")

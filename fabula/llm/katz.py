@@ -26,6 +26,7 @@ never more than there are distinct n-grams in all chunks.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,7 +35,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabula.session import new_folder, shuffles_dropped, written
@@ -51,6 +52,10 @@ STATS, MODEL = -1, -2
 MASK = (1 << 32) - 1
 #: Bytes of packed rows that a task hands on at a time.
 YIELD = 4 << 20
+#: The chunks are scored in so many turns; the last order's answers to a share
+#: of them are in a shuffle at a time.
+TURNS = 3
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 # -- blobs ------------------------------------------------------------------
@@ -636,6 +641,17 @@ def held_out(key: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
 
 
+@contextlib.contextmanager
+def chunk_by_chunk(spark: SparkSession):
+    """Python workers get a chunk, which is a row of megabytes, at a time."""
+    before = spark.conf.get(ROWS)
+    spark.conf.set(ROWS, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(ROWS, before)
+
+
 def by_chunk(answers: DataFrame, name: str, buckets: int) -> DataFrame:
     """The answers of each chunk, dealt as the chunk tables are."""
     return answers.where("chunk >= 0").select("chunk", "bucket", "body").repartition(buckets, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "body")).alias(name))
@@ -676,19 +692,27 @@ def train_and_score(docs: DataFrame, *, order: int = ORDER, chunk: int = CHUNK,
             else:
                 asked = chunks.drop("doc_ids", "no_id").mapInPandas(deal(n, buckets, hot), ASK)
                 answers = asked.groupBy("bucket").applyInPandas(add(n), ANSWER)
-            answers = keep(answers, f"answers_{n}", False)
+            with chunk_by_chunk(spark):
+                answers = keep(answers, f"answers_{n}", False) if n < order else written(answers, f"order-{n}")
             numbers = corpus_numbers(answers)
             if n == 1:
                 model.unigrams = Unigrams(int(numbers[0]), int(numbers[1]), np.concatenate(([0], numbers[2:])))
             else:
                 model.d[n] = discounts(np.concatenate(([0], numbers[2:])))
-            model.tables[n] = written(answers.where(F.col("chunk") == MODEL).select("body"), f"order-{n}")
-            chunks = chunks.drop("hashes").join(by_chunk(answers, f"a{n}", buckets).hint("shuffle_hash"), "chunk", "left")
+            model.tables[n] = answers.where(F.col("chunk") == MODEL).select("body")
             if n < order:
-                chunks = keep(chunks, f"chunks_{n}", True)
+                model.tables[n] = written(model.tables[n], f"order-{n}")
+                heard = chunks.drop("hashes").join(by_chunk(answers, f"a{n}", buckets).hint("shuffle_hash"), "chunk", "left")
+                chunks = keep(heard, f"chunks_{n}", True)
                 spark.sql(f"DROP TABLE {own}.chunks_{n - 1}")
                 spark.sql(f"DROP TABLE {own}.answers_{n}")
-        out = written(chunks.mapInPandas(score_chunks(model, order, hot), SCORE_SCHEMA), "scores")
+        out = None
+        for turn in range(TURNS):
+            mine = F.pmod("chunk", F.lit(TURNS)) == turn
+            heard = chunks.where(mine).drop("hashes").join(by_chunk(answers.where(mine), f"a{order}", buckets).hint("shuffle_hash"), "chunk", "left")
+            with chunk_by_chunk(spark):
+                part = written(heard.mapInPandas(score_chunks(model, order, hot), SCORE_SCHEMA), "scores")
+            out = part if out is None else out.union(part)
         for n in range(3, order + 1):
             model.tables[n] = model.tables[n].union(out.where(F.col("order") == n).select("body"))
         return model, out.where("body is null").drop("order", "body")

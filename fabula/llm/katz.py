@@ -27,12 +27,14 @@ never more than there are distinct n-grams in all chunks.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 from fabula.session import new_folder, shuffles_dropped, written
 
 ORDER = 3
-CHUNK = 600_000
+CHUNK = 400_000
 #: Bytes of text for which there is one bucket.
 BUCKET_BYTES = 18_000_000
 #: Training n-grams of one history that one bucket takes.
@@ -54,7 +56,7 @@ MASK = (1 << 32) - 1
 YIELD = 4 << 20
 #: The chunks are scored in so many turns; the last order's answers to a share
 #: of them are in a shuffle at a time.
-TURNS = 3
+TURNS = 4
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -177,15 +179,23 @@ def history_numbers(head: np.ndarray, total: np.ndarray, suffix: np.ndarray, hea
     shortened n-gram counted 1..K times, and the sum of all larger counts."""
     out = np.zeros((heads, 2 * K + 1), np.int64)
     seen = np.flatnonzero(total > 0)
-    head, total, suffix = head[seen].astype(np.int64), total[seen], suffix[seen]
-    for first, x in ((0, total), (K, suffix)):
-        few = x <= K
-        out[:, first : first + K] = np.bincount(head[few] * K + x[few] - 1, minlength=heads * K).reshape(heads, K)
+    head, total, suffix = head[seen], total[seen], suffix[seen]
+    for r in range(1, K + 1):
+        out[:, r - 1] = np.bincount(head[total == r], minlength=heads)
+        out[:, K + r - 1] = np.bincount(head[suffix == r], minlength=heads)
     big = suffix > K
     out[:, 2 * K] = np.bincount(head[big], suffix[big], heads)
     return out
 
 
+def give_back() -> None:
+    """Hands memory that was freed back to the system, so that the workers of
+    an executor do not all keep their largest chunk."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lower_mass(low: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Discounted counts of the shortened n-grams, from the numbers of those
     counted 1..K times and the sum of all larger counts."""
@@ -517,6 +527,7 @@ def deal(n: int, buckets: int, hot: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield from in_portions(rows(pdf))
+            give_back()
 
     return run
 
@@ -557,6 +568,7 @@ def add(n: int):
             of = of_gram[gram : gram + g]
             out.append((chunk, key[0], pack(total[of], alone[of], stats[of_ask[at : at + a]].T.reshape(-1)), None))
             at, gram = at + a, gram + g
+        give_back()
         return pd.DataFrame(out, columns=["chunk", "bucket", "body", "stats"])
 
     return run
@@ -632,6 +644,7 @@ def score_chunks(model: Model, order: int, hot: int):
         for pdf in batches:
             for row in pdf.itertuples():
                 yield from score(row)
+                give_back()
 
     return run
 

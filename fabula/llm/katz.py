@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from fabula.session import new_folder, shuffles_dropped, written
 
 ORDER = 3
-CHUNK = 400_000
+CHUNK = 600_000
 #: Bytes of text for which there is one bucket.
 BUCKET_BYTES = 18_000_000
 #: Training n-grams of one history that one bucket takes.

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fabula.session import written
+
 QUERY_BLOCK = 4096
 
 
@@ -134,34 +136,55 @@ def cross_validate(terms: DataFrame, labels: DataFrame, k: int = 5, **options) -
     return out
 
 
-def misread(prototypes: np.ndarray, names: np.ndarray):
-    """Whether the nearest prototype has another label."""
-
-    @F.pandas_udf("boolean")
-    def wrong(v: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(names[(np.array(v.tolist(), np.float64) @ prototypes.T).argmax(1)] != y.to_numpy())
-
-    return wrong
-
-
-def condensed(rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label", rounds: int = 5, grow: int = 256) -> DataFrame:
-    """Prototypes that classify all rows by their nearest one (CLS15, the
-    textbook rule): each round adds up to ``grow`` misread rows by key."""
+def condensed(rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = 2048) -> DataFrame:
+    """Prototypes by whose nearest one (cosine) every labelled row gets its
+    label (CLS15). Starts with a row of each label; each round adds all rows
+    that are still misread, until none is left but rows whose equal has another
+    label. Rows carry the best prototype so far in a written table and meet the
+    new ones only, in blocks of ``block`` that are broadcast one at a time."""
     spark = rows.sparkSession
-    first = [r[0] for r in rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.min(key)).select(f"min({key})").collect()]  # a row per label
-    chosen = sorted(first)
-    for _ in range(rounds):
-        picked = spark.createDataFrame([(c,) for c in chosen], f"{key} long")
-        protos = [(r[0], r[1], r[2]) for r in rows.join(F.broadcast(picked), key).select(key, vector, label).collect()]  # rounds * grow at most
-        p = np.array([x[1] for x in protos], np.float64)
-        p = p / np.sqrt((p * p).sum(1, keepdims=True))
-        names = np.array([x[2] for x in protos])
-
-        wrong = [r[0] for r in rows.where(F.col(label).isNotNull() & misread(p, names)(vector, label)).select(key).orderBy(key).limit(grow).collect()]
-        if not set(wrong) - set(chosen):
-            break
-        chosen = sorted(set(chosen) | set(wrong))
-    return rows.join(F.broadcast(spark.createDataFrame([(c,) for c in chosen], f"{key} long")), key)  # rounds * grow at most
+    seen = f"{key} long, {label} {dict(rows.dtypes)[label]}, v array<double>, best double, found {dict(rows.dtypes)[label]}, chosen boolean"
+    base = rows.where(F.col(label).isNotNull() & F.col(key).isNotNull() & F.col(vector).isNotNull()).select(
+        F.col(key).cast("long").alias(key), label, F.col(vector).cast("array<double>").alias("v")
+    )
+    firsts = base.groupBy(label).agg(F.min(key).alias("_first"))
+    start = base.join(firsts, label).withColumn("chosen", F.col(key) == F.col("_first"))
+    state = written(start.select(key, label, "v", F.lit(-2.0).alias("best"), F.col(label).alias("found"), "chosen"), "condensed")
+    fresh = state.where("chosen")
+
+    def meet(p: np.ndarray, names: np.ndarray):
+        def run(batches):
+            for pdf in batches:
+                if len(pdf):
+                    x = np.array(pdf["v"].tolist(), np.float64)
+                    score = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300) @ p.T
+                    at = score.argmax(1)
+                    top = score[np.arange(len(x)), at]
+                    nearer = top > pdf["best"].to_numpy()
+                    yield pdf.assign(best=np.where(nearer, top, pdf["best"]), found=np.where(nearer, names[at], pdf["found"]))
+
+        return run
+
+    while True:
+        held, after = [], state
+        for r in fresh.orderBy(key).select("v", label).toLocalIterator():  # a block at a time on the driver
+            held.append((r[0], r[1]))
+            if len(held) == block:
+                after, held = written(after.mapInPandas(meet(*prototypes(held)), seen), "condensed"), []
+        if held:
+            after = written(after.mapInPandas(meet(*prototypes(held)), seen), "condensed")
+        wrong = ~F.col("chosen") & (F.col("found") != F.col(label))
+        state = written(after.withColumn("_new", wrong).withColumn("chosen", F.col("chosen") | F.col("_new")), "condensed")
+        fresh = state.where("_new")
+        if fresh.isEmpty():
+            chosen = state.where("chosen").select(F.col(key).alias("_key"))
+            return rows.join(chosen, F.col(key) == F.col("_key"), "left_semi")
+        state = state.drop("_new")
+
+
+def prototypes(held: list) -> tuple[np.ndarray, np.ndarray]:
+    p = np.array([v for v, _ in held], np.float64)
+    return p / np.maximum(np.sqrt((p * p).sum(1, keepdims=True)), 1e-300), np.array([y for _, y in held])
 
 
 def perceptron(rows: DataFrame, *, vector: str = "embedding", label: str = "label", epochs: int = 3) -> tuple[list, np.ndarray]:

@@ -118,6 +118,15 @@ def distractors(stories: DataFrame, k: int, seed: int) -> DataFrame:
     return at.join(ring.select(F.col("story").alias("other"), F.col("_r").alias("_at")), "_at").select("story", "pick", "other")
 
 
+def concept_classes(c: DataFrame) -> DataFrame:
+    """term and head: the least term with the same set of concepts. Pairs are
+    then compared between heads, so a concept that most terms have is not
+    paired out for each of them."""
+    held = c.distinct().groupBy("term").agg(F.array_sort(F.collect_set(F.struct("relation", "concept"))).alias("held"))
+    heads = held.groupBy("held").agg(F.min("term").alias("head"))
+    return held.join(heads, "held").select("term", "head")
+
+
 def concept_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """Shared concepts over all concepts of two terms, relation by relation
     (SET8): term, relation, concept; result left, right, similarity."""

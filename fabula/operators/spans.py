@@ -59,12 +59,16 @@ def binned(df: DataFrame, start: Column, end: Column, width: int, name: str = "_
 
 
 def tokens_in_range(ranges: DataFrame, toks: DataFrame, key: str, width: int = 1000) -> DataFrame:
-    """Tokens that start in [start, end), and the first one after (SPN3)."""
-    b = toks.withColumn("before", F.lag("offset").over(Window.partitionBy(key).orderBy("offset")))
-    r = binned(ranges, F.col("start"), F.col("end") + width, width)
-    t = b.withColumn("_bin", F.floor(F.col("offset") / width))
-    near = r.join(t, [key, "_bin"])
-    return near.where((F.col("offset") >= F.col("start")) & ((F.col("offset") < F.col("end")) | ((F.col("before") < F.col("end")) & (F.col("before") >= F.col("start")))))
+    """Tokens that start in [start, end), and the first one after them, however
+    far it is (SPN3). Each token carries its follower, so the join needs the
+    bins of the range alone."""
+    follower = F.lead(F.struct(*toks.columns)).over(Window.partitionBy(key).orderBy("offset"))
+    t = toks.withColumn("_next", follower).withColumn("_bin", F.floor(F.col("offset") / width))
+    r = binned(ranges, F.col("start"), F.col("end"), width)
+    hit = r.join(t, [key, "_bin"]).where((F.col("offset") >= F.col("start")) & (F.col("offset") < F.col("end")))
+    names = [*ranges.columns, *(c for c in toks.columns if c != key)]
+    after = hit.where(F.col("_next.offset") >= F.col("end")).select(*ranges.columns, *(F.col("_next")[c].alias(c) for c in toks.columns if c != key))
+    return hit.select(names).unionByName(after)
 
 
 def best_overlap(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, width: int = 1000) -> DataFrame:

@@ -96,13 +96,14 @@ def latent_vectors(spark, sf_dir):
 @query(
     "frequent_quantity_sets",
     """WITH o AS (SELECT DISTINCT l_orderkey AS k, 'q' || CAST(floor(l_quantity / 10) AS INT) AS m FROM lineitem), n AS (SELECT count(DISTINCT k) AS n FROM o),
-    a AS (SELECT [m] AS s, k FROM o UNION ALL SELECT [a.m, b.m], a.k FROM o a JOIN o b ON a.k = b.k AND a.m < b.m UNION ALL SELECT [a.m, b.m, c.m], a.k FROM o a JOIN o b ON a.k = b.k AND a.m < b.m JOIN o c ON c.k = a.k AND b.m < c.m)
-    SELECT array_to_string(s, ',') AS bands, count(*) AS n FROM a, n GROUP BY 1 HAVING count(*) >= any_value(n) * 0.05""",
+    m AS (SELECT k, bit_or(1 << CAST(m[2:] AS INT)) AS held FROM o GROUP BY k), s AS (SELECT CAST(unnest(range(1, 64)) AS INT) AS part)
+    SELECT array_to_string(list_transform(list_filter(range(6), lambda i: (part >> CAST(i AS INT)) & 1 = 1), lambda i: 'q' || i), ',') AS bands, count(*) AS n
+    FROM m JOIN s ON (held & part) = part, n GROUP BY part HAVING count(*) >= any_value(n.n) * 0.05""",
 )
 def frequent_quantity_sets(spark, sf_dir):
-    """Frequent sets of up to three quantity bands in an order (CLU4)."""
+    """Frequent sets of quantity bands in an order (CLU4)."""
     b = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.concat(F.lit("q"), F.floor(F.col("l_quantity") / 10).cast("int"))).alias("items"))  # six bands at most
-    s = cluster.frequent_sets(b, "items", 0.05).where(F.size("items") <= 3)
+    s = cluster.frequent_sets(b, "items", 0.05)
     return s.select(F.array_join(F.array_sort("items"), ",").alias("bands"), F.col("freq").alias("n"))
 
 
@@ -122,7 +123,7 @@ def tree_predictions(spark, sf_dir):
 
 @query("condensed_prototypes")
 def condensed_prototypes(spark, sf_dir):
-    return classify.condensed(table(spark, sf_dir, "embeddings"), rounds=2).select("vec_id", "label")
+    return classify.condensed(table(spark, sf_dir, "embeddings")).select("vec_id", "label")
 
 
 @query("perceptron_predictions")

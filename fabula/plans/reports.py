@@ -97,21 +97,27 @@ def rule_windows(spark, sf_dir):
     return narrative.rule_windows(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "role", "assistant", 2)
 
 
-CONCEPTS = """c AS (SELECT DISTINCT l_suppkey AS term, 'flag' AS relation, l_returnflag || l_linestatus AS concept FROM lineitem UNION SELECT DISTINCT l_suppkey, 'tax', CAST(floor(l_tax * 100) AS INT)::VARCHAR FROM lineitem WHERE l_quantity > 45)"""
+CONCEPTS = """c AS (SELECT DISTINCT l_suppkey AS term, 'flag' AS relation, l_returnflag || l_linestatus AS concept FROM lineitem UNION SELECT DISTINCT l_suppkey, 'tax', CAST(floor(l_tax * 100) AS INT)::VARCHAR FROM lineitem)"""
 
 
 @query(
     "concept_overlap",
-    f"""WITH {CONCEPTS}, n AS (SELECT term, count(*) AS n FROM c GROUP BY 1) SELECT a.term AS "left", b.term AS "right", round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 9) AS similarity
-    FROM c a JOIN c b ON a.relation = b.relation AND a.concept = b.concept JOIN n x ON x.term = a.term JOIN n y ON y.term = b.term GROUP BY 1, 2""",
+    f"""WITH {CONCEPTS}, s AS (SELECT term, list_sort(list(relation || ':' || concept)) AS held FROM c GROUP BY 1), m AS (SELECT term, min(term) OVER (PARTITION BY held) AS head FROM s),
+    h AS (SELECT term, relation, concept FROM c JOIN (SELECT DISTINCT head FROM m) ON term = head), n AS (SELECT term, count(*) AS n FROM h GROUP BY 1),
+    p AS (SELECT a.term AS l, b.term AS r, count(*) AS shared FROM h a JOIN h b ON a.relation = b.relation AND a.concept = b.concept GROUP BY 1, 2)
+    SELECT 'pair' AS kind, l AS "left", r AS "right", round(shared / (x.n + y.n - shared), 9) AS similarity FROM p JOIN n x ON x.term = l JOIN n y ON y.term = r
+    UNION ALL SELECT 'member', term, head, 1.0 FROM m""",
 )
 def concept_overlap(spark, sf_dir):
     """Suppliers by shared concepts, relation by relation (SET8)."""
     l = table(spark, sf_dir, "lineitem")
     a = l.select(F.col("l_suppkey").alias("term"), F.lit("flag").alias("relation"), F.concat("l_returnflag", "l_linestatus").alias("concept"))
-    b = l.where("l_quantity > 45").select("l_suppkey", F.lit("tax"), F.floor(F.col("l_tax") * 100).cast("int").cast("string"))
+    b = l.select("l_suppkey", F.lit("tax"), F.floor(F.col("l_tax") * 100).cast("int").cast("string"))
     c = a.union(b).distinct()
-    return narrative.concept_overlap(c, c).withColumn("similarity", F.round("similarity", 9))
+    heads = narrative.concept_classes(c)
+    alone = c.join(heads.where("term = head").select("term"), "term", "left_semi")
+    pairs = narrative.concept_overlap(alone, alone).select(F.lit("pair").alias("kind"), "left", "right", F.round("similarity", 9).alias("similarity"))
+    return pairs.union(heads.select(F.lit("member"), "term", "head", F.lit(1.0)))
 
 
 @query(
@@ -126,13 +132,13 @@ def sentence_moods(spark, sf_dir):
 
 @query(
     "constrained_words",
-    f"""WITH w AS (SELECT doc_id, unnest({WORDS}) AS t FROM documents) SELECT t AS token, count(*) AS n FROM w WHERE (starts_with(t, 'th') OR ends_with(t, 'ing')) AND NOT contains(t, 'x') GROUP BY 1 HAVING count(*) >= 3""",
+    f"""WITH w AS (SELECT doc_id, unnest({WORDS}) AS t FROM documents) SELECT t AS token, count(*) AS n FROM w WHERE (starts_with(t, 'th') OR ends_with(t, 'ing')) AND NOT contains(t, 'x') GROUP BY 1""",
 )
 def constrained_words(spark, sf_dir):
     """Words that meet a wildcard constraint (FLT13, FLT14), counted."""
     w = table(spark, sf_dir, "documents").select(F.explode(T.words("text")).alias("token"))
     hit = w.where(filters.constraint(words=["th*", "*ing"], exclude=T.wildcard(F.col("token"), "*x*")))
-    return hit.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    return hit.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("frequent_sources", "SELECT source, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, source) AS INT) AS rank FROM documents GROUP BY 1 ORDER BY n DESC, source LIMIT 5")
@@ -145,5 +151,5 @@ def stemmed_terms(spark, sf_dir):
     """Term counts by stem (STR30); each distinct word is stemmed once."""
     from fabula.functions.stem import stems
 
-    n = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(T.words("text")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    n = table(spark, sf_dir, "documents").select(F.explode(T.words("text")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return n.join(stems(n), "word").groupBy("stem").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"))

@@ -168,12 +168,12 @@ def path_scores(spark, sf_dir):
     "ngram_continuations",
     f"""WITH t AS (SELECT conv_id, turn, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT conv_id, turn, {WORDS} AS w FROM conversations)),
     b AS (SELECT word AS next, lag(word, 1) OVER w AS b1, lag(word, 2) OVER w AS b2 FROM t WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos)),
-    k AS (SELECT b1 AS key, next FROM b WHERE b1 IS NOT NULL UNION ALL SELECT b2 || ' ' || b1, next FROM b WHERE b2 IS NOT NULL) SELECT key, next, count(*) AS n FROM k GROUP BY 1, 2 HAVING count(*) >= 2""",
+    k AS (SELECT b1 AS key, next FROM b WHERE b1 IS NOT NULL UNION ALL SELECT b2 || ' ' || b1, next FROM b WHERE b2 IS NOT NULL) SELECT key, next, count(*) AS n FROM k GROUP BY 1, 2""",
 )
 def ngram_continuations(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     t = c.select(F.struct("conv_id", "turn").alias("story"), F.posexplode(T.words("text")).alias("pos", "word"))
-    return S.continuation_table(t, "story", ["pos"], "word", 2).where("n >= 2")
+    return S.continuation_table(t, "story", ["pos"], "word", 2)
 
 
 @query("beam_roles")
@@ -204,4 +204,4 @@ def generated_text(spark, sf_dir):
     t = c.select(F.struct("conv_id", "turn").alias("story"), F.posexplode(T.words("text")).alias("pos", "word"))
     model = S.continuation_table(t, "story", ["pos"], "word", 2)
     seeds = c.where("turn = 0").select(F.col("conv_id").alias("id"), F.slice(T.words("text"), 1, 1).alias("words"))
-    return S.generate(model, seeds, 3, 2)
+    return S.generate(model, seeds, 8, 2)

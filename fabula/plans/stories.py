@@ -84,7 +84,7 @@ def tokens_in_range(spark, sf_dir):
     """Sentences that start in [at, at + 40) of each probe, and the next one."""
     r = probes(spark, sf_dir).select("doc_id", F.col("place").alias("start"), (F.col("place") + 40).alias("end"))
     s = sents(spark, sf_dir).select("doc_id", "offset")
-    hit = spans.tokens_in_range(r, s, "doc_id", width=100_000)
+    hit = spans.tokens_in_range(r, s, "doc_id")
     return hit.select("doc_id", "start", "offset").distinct().groupBy("doc_id", "start").agg(F.count(F.lit(1)).alias("n"))
 
 

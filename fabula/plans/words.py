@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fabula.functions import text as T
@@ -133,11 +133,11 @@ def char_ngram_counts(spark, sf_dir):
 @query(
     "word_bigrams",
     f"""WITH g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM (SELECT {WORDS} AS w FROM documents) WHERE len(w) >= 2)
-    SELECT gram, count(*) AS n FROM g GROUP BY gram HAVING count(*) >= 5""",
+    SELECT gram, count(*) AS n FROM g GROUP BY gram""",
 )
 def word_bigrams(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select(F.explode(T.ngrams(T.words("text"), 2)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+    return d.select(F.explode(T.ngrams(T.words("text"), 2)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -175,43 +175,49 @@ def reading_ease(spark, sf_dir):
 
 @query(
     "cooccurrence_window",
-    f"""WITH p AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT doc_id, {WORDS} AS w FROM documents))
-    SELECT a.term AS term1, b.term AS term2, count(*) AS n FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 AND a.pos <> b.pos
-    WHERE length(a.term) = 4 GROUP BY 1, 2 HAVING count(*) >= 2""",
+    f"""WITH p AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT doc_id, {WORDS} AS w FROM documents)),
+    n AS (SELECT term AS a, lead(term, 1) OVER w AS b, lead(term, 2) OVER w AS c FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    q AS (SELECT a AS term1, b AS term2 FROM n UNION ALL SELECT b, a FROM n UNION ALL SELECT a, c FROM n UNION ALL SELECT c, a FROM n)
+    SELECT term1, term2, count(*) AS n FROM q WHERE term1 IS NOT NULL AND term2 IS NOT NULL GROUP BY 1, 2""",
 )
 def cooccurrence_window(spark, sf_dir):
-    """Pairs within two words of each other; the first has four letters. The
-    neighbours are taken from the document's own array, so nothing is joined."""
+    """Pairs within two words of each other (WIN8). The neighbours are taken
+    from the document's own array, so nothing is joined."""
     w = F.col("w")
     d = table(spark, sf_dir, "documents").select("doc_id", T.words("text").alias("w"))
-    at = d.select("w", F.posexplode("w").alias("pos", "term1")).where(F.length("term1") == 4)
+    at = d.select("w", F.posexplode("w").alias("pos", "term1"))
     around = F.array(*[F.get(w, F.col("pos") + k) for k in (-2, -1, 1, 2)])
     pairs = at.select("term1", F.explode(around).alias("term2")).where("term2 is not null")
-    return pairs.groupBy("term1", "term2").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return pairs.groupBy("term1", "term2").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "near_terms",
-    f"""WITH v AS (SELECT DISTINCT unnest({WORDS}) AS term FROM documents), b AS (SELECT DISTINCT unnest({WORDS}) AS word FROM benchmark)
-    SELECT word, term, round(1 - levenshtein(word, term) / greatest(length(word), length(term)), 9) AS similarity FROM b JOIN v
-    ON length(word) >= 7 AND regexp_full_match(word, '[a-z]+') AND regexp_full_match(term, '[a-z]+') AND abs(length(word) - length(term)) <= 1 AND word <> term AND levenshtein(word, term) = 1""",
-)
-def near_terms(spark, sf_dir):
-    """Vocabulary words one edit away from benchmark words (STR18). Two words
-    within one edit share a variant with one letter left out, which makes the
-    comparison an equi-join; the distance is verified after it."""
+def less_letters(word: Column) -> Column:
+    """The word, and what is left of it without any one or two letters."""
+
+    def less(x: Column) -> Column:
+        gone = F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+        return F.when(F.length(x) > 0, gone).otherwise(F.array(x))
 
-    def variants(c: str):
-        word = F.col(c)
-        less = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
-        return F.explode(F.array_distinct(F.concat(F.array(word), less))).alias("variant")
+    return F.array_distinct(F.concat(F.array(word), less(word), F.flatten(F.transform(F.array_distinct(less(word)), less))))
 
-    v = table(spark, sf_dir, "documents").select(F.explode(T.words("text")).alias("term")).distinct()
-    b = table(spark, sf_dir, "benchmark").select(F.explode(T.words("text")).alias("word")).distinct().where(F.length("word") >= 7)
-    near = b.select("word", variants("word")).join(v.where(F.length("term") >= 6).select("term", variants("term")), "variant")
-    plain = F.col("word").rlike("^[a-z]+$") & F.col("term").rlike("^[a-z]+$")  # DuckDB measures bytes, Spark characters
-    hit = near.select("word", "term").distinct().where(plain & (F.col("word") != F.col("term")) & (F.levenshtein("word", "term") == 1))
-    return hit.withColumn("similarity", F.round(T.edit_similarity(F.col("word"), F.col("term")), 9))
+
+def suggestions(words: DataFrame, counts: DataFrame) -> DataFrame:
+    """Known words within two edits of each word, ranked by frequency (STR18).
+    Two words within two edits share a variant with at most two letters left
+    out, which makes the comparison an equi-join; the distance is verified."""
+    b = words.select("word", F.explode(less_letters(F.col("word"))).alias("variant"))
+    v = counts.select("term", F.explode(less_letters(F.col("term"))).alias("variant"))
+    near = b.join(v, "variant").select("word", "term").distinct().withColumn("distance", F.levenshtein("word", "term")).where("distance between 1 and 2")
+    rank = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("n"), "distance", "term"))
+    return near.join(counts, "term").select("word", "term", "distance", "n", rank.alias("rank"))
+
+
+@query("near_terms")
+def near_terms(spark, sf_dir):
+    """Spelling suggestions from the corpus for every benchmark word."""
+    v = table(spark, sf_dir, "documents").select(F.explode(T.words("text")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    b = table(spark, sf_dir, "benchmark").select(F.explode(T.words("text")).alias("word")).distinct()
+    return suggestions(b, v)
 
 
 @query(
@@ -243,9 +249,9 @@ def suffix_table(spark, sf_dir):
     return counted.select("suffix", "n", F.round(F.col("b") / F.col("bases"), 9).alias("base_share")).orderBy(F.desc("n"), "suffix").limit(50)
 
 
-@query("spelling_model", f"WITH w AS (SELECT unnest({WORDS}) AS word FROM documents) SELECT word, count(*) AS n FROM w GROUP BY word HAVING count(*) >= 2")
+@query("spelling_model", f"WITH w AS (SELECT unnest({WORDS}) AS word FROM documents) SELECT word, count(*) AS n FROM w GROUP BY word")
 def spelling_model(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.explode(T.words("text")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return table(spark, sf_dir, "documents").select(F.explode(T.words("text")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

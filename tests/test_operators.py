@@ -173,3 +173,71 @@ def test_overlap_share(spark):
     a = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "a int, gram string")
     b = spark.createDataFrame([(9, "x"), (9, "x")], "b int, gram string")
     assert [tuple(r) for r in bow.overlap_share(a, b, "a", "b").collect()] == [(1, 9, 0.5)]
+
+
+def test_spelling_suggestions(spark):
+    from fabula.plans.words import suggestions
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    terms = {"the": 9, "teh": 2, "he": 5, "a": 7, "": 1, "über": 3, "uber": 4, "storm": 6, "strom": 2, "stor": 1, "worms": 1, "ab": 2, "ba": 2}
+    words = ["the", "über", "storm", "ab", "x"]
+    want = {(w, t, distance(w, t), n) for w in words for t, n in terms.items() if 1 <= distance(w, t) <= 2}
+    got = suggestions(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame(list(terms.items()), "term string, n long")).collect()
+    assert {(r.word, r.term, r.distance, r.n) for r in got} == want
+    for r in got:
+        assert r.rank == 1 + sum((-n, d, t) < (-r.n, r.distance, r.term) for w, t, d, n in want if w == r.word)
+
+
+def test_condensed_prototypes_read_every_row(spark):
+    import numpy as np
+
+    from fabula.operators.classify import condensed
+
+    rng = np.random.default_rng(2)
+    rows = [(k, [float(x) for x in rng.normal(size=4) + 3 * np.eye(4)[k % 3]], k % 3) for k in range(240)]
+    rows += [(900, [1.0, 0.0, 0.0, 0.0], None), (901, None, 1)]
+    chosen = condensed(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=7).collect()
+    p = np.array([r.embedding for r in chosen])
+    p /= np.sqrt((p * p).sum(1, keepdims=True))
+    for k, v, y in rows[:240]:
+        assert chosen[int((p @ (np.array(v) / np.linalg.norm(v))).argmax())].label == y
+    assert len(chosen) < 200
+
+
+def test_next_token_however_far(spark):
+    from fabula.operators.spans import tokens_in_range
+
+    toks = spark.createDataFrame([(1, 0), (1, 5000), (1, 9000), (2, 40)], "doc_id long, offset long")
+    ranges = spark.createDataFrame([(1, 0, 10), (1, 100, 200), (2, 0, 10), (2, 30, 41)], "doc_id long, start long, end long")
+    got = sorted((r.doc_id, r.start, r.offset) for r in tokens_in_range(ranges, toks, "doc_id").collect())
+    assert got == [(1, 0, 0), (1, 0, 5000), (2, 30, 40)]
+
+
+def test_generated_text_walks_the_table(spark):
+    from fabula.operators.sequences import generate
+
+    model = [("a", "b", 2), ("a", "c", 1), ("b", "a", 1), ("b", "c", 3), ("a b", "c", 1), ("a b", "a", 1), ("c", "a", 5)]
+    table = spark.createDataFrame(model, "key string, next string, n long")
+    got = {r.id: r.words for r in generate(table, spark.createDataFrame([(k, ["a"]) for k in range(20)], "id long, words array<string>"), 8, 2).collect()}
+    hashes = {(r.id, r.k): r.h for r in spark.range(20).selectExpr("id", "explode(sequence(0, 7)) as k").selectExpr("id", "k", "xxhash64(id, k, 1) as h").collect()}
+    for i in range(20):
+        words = ["a"]
+        for k in range(8):
+            for key in (" ".join(words[-2:]) if len(words) > 1 else None, words[-1]):
+                options = sorted((x, n) for h, x, n in model if h == key)
+                if len(options) > 1:
+                    at = hashes[i, k] % sum(n for _, n in options)
+                    for x, n in options:
+                        if at < n:
+                            words.append(x)
+                            break
+                        at -= n
+                    break
+        assert got[i] == words

@@ -48,7 +48,8 @@ def ngrams(items: Column, n: int, sep: str = " ") -> Column:
 
 
 def character_ngrams(text: Column, n: int) -> Column:
-    return ngrams(F.filter(F.split(text, ""), lambda c: c != ""), n, "")
+    """All runs of n characters: a look-ahead at each one."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * n}))."), F.lit(1))
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

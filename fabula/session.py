@@ -40,6 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="fabula-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")

@@ -77,3 +77,13 @@ def density(terms: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents, vocabulary and postings divided by vocabulary squared (BOW7)."""
     one = terms.agg(F.countDistinct(key).alias("n_docs"), F.countDistinct("term").alias("n_terms"), F.count(F.lit(1)).alias("postings"))
     return one.withColumn("density", F.col("postings") / (F.col("n_terms") * F.col("n_terms")))
+
+
+def updated(terms: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """Documents taken out, then others put in (BOW8); one that is put in again
+    replaces what was there. Frequencies are counted from the result."""
+    if removed is not None:
+        terms = terms.join(removed.select(key), key, "left_anti")
+    if added is not None:
+        terms = terms.join(added.select(key).distinct(), key, "left_anti").unionByName(added)
+    return terms

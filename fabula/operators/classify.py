@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from fabula.session import written
 
 QUERY_BLOCK = 4096
+#: Queries that a task compares with a batch of rows at a time.
+FEW = 256
 
 
 def weighted_jaccard(a: Column, b: Column, w: Column | None = None) -> Column:
@@ -50,8 +52,34 @@ def distance(a: Column, b: Column, method: str | None = "cosine", custom=None) -
     raise ValueError(f"no such distance: {method}")
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding", other: list[str] | None = None, block: int = QUERY_BLOCK, digits: int = 6) -> DataFrame:
-    """The k rows most like each query by cosine, itself left out (TOP1-3).
+def similarities(q: np.ndarray, v: np.ndarray, weights: list[float] | None = None) -> np.ndarray:
+    """Of all vectors of q with all of v: cosine, or weighted Jaccard."""
+    if weights is None:
+        unit = lambda x: x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+        return unit(q) @ unit(v).T
+    lo, hi = np.zeros((2, len(q), len(v)))
+    for i, w in enumerate(weights):
+        lo += w * np.minimum(q[:, i, None], v[None, :, i])
+        hi += w * np.maximum(q[:, i, None], v[None, :, i])
+    return np.where(hi == 0, 0.5, lo / np.where(hi == 0, 1, hi))
+
+
+def gain_weights(rows: DataFrame, *, vector: str = "embedding", label: str = "label", threshold: float = 0.5) -> list[float]:
+    """Information gain about the label of each entry being above the threshold
+    (AGG44). One number for each entry of a vector reaches the driver."""
+    n = rows.where(F.col(label).isNotNull()).select(F.posexplode(vector).alias("i", "x"), label).groupBy("i", (F.col("x") > threshold).alias("bit"), label).agg(F.count(F.lit(1)).alias("n"))
+    entropy = lambda by: F.sum(-F.col("n") / F.col("all") * F.log2(F.col("n") / F.col("all"))).over(Window.partitionBy(*by))
+    whole = n.groupBy("i", label).agg(F.sum("n").alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy("i"))).withColumn("h", entropy(["i"]))
+    whole = whole.groupBy("i").agg(F.first("h").alias("h"), F.first("all").alias("total"))
+    split = n.withColumn("all", F.sum("n").over(Window.partitionBy("i", "bit"))).withColumn("h", entropy(["i", "bit"])).groupBy("i", "bit").agg(F.first("h").alias("hb"), F.first("all").alias("all"))
+    gain = split.join(whole, "i").groupBy("i").agg((F.first("h") - F.sum(F.col("all") / F.col("total") * F.col("hb"))).alias("gain"))
+    return [r["gain"] for r in gain.orderBy("i").toLocalIterator()]
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding", other: list[str] | None = None, block: int = QUERY_BLOCK, digits: int = 6, story: str | None = None, weights: list[float] | None = None) -> DataFrame:
+    """The k rows most like each query by cosine, itself left out (TOP1-3), with
+    ``weights`` by 1 less the weighted Jaccard distance of vectors that are not
+    negative (CLS1). With ``story`` rows of the query's story are left out too.
 
     Queries are taken in blocks of ``block``, all rows once for each block. A
     batch of rows keeps its own k best per query, so k rows per batch and query
@@ -60,27 +88,27 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_id",
     other = other or []
     schema = f"query long, {key} long, similarity double" + "".join(f", {c} {dict(rows.dtypes)[c]}" for c in other)
     out = None
-    pending = queries.select(key, vector).orderBy(key).toLocalIterator()
+    tale = story or key
+    pending = queries.select(key, vector, F.col(tale).alias("_story")).where(F.col(vector).isNotNull()).orderBy(key).toLocalIterator()
     while chunk := [r for _, r in zip(range(block), pending)]:
-        ids = np.array([r[0] for r in chunk])
+        ids, tales = np.array([r[0] for r in chunk]), np.array([r[2] for r in chunk])
         q = np.array([r[1] for r in chunk], np.float64)
-        q = q / np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)
 
-        def best(batches: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
+        def best(batches: Iterator[pd.DataFrame], ids=ids, tales=tales, q=q) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if not len(pdf):
                     continue
-                own = pdf[key].to_numpy()
-                v = np.array(pdf[vector].tolist(), np.float64)
-                v = v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)
-                sim = np.round(q @ v.T, digits)
-                sim[ids[:, None] == own[None, :]] = -2
-                order = np.lexsort((np.broadcast_to(own, sim.shape), -sim), axis=1)[:, :k]
-                at = np.repeat(np.arange(len(ids)), order.shape[1]), order.reshape(-1)
-                keep = sim[at] > -2
-                yield pd.DataFrame({"query": ids[at[0]], key: own[at[1]], "similarity": sim[at]} | {c: pdf[c].to_numpy()[at[1]] for c in other})[keep]
-
-        part = rows.select(key, vector, *other).where(F.col(vector).isNotNull()).mapInPandas(best, schema)
+                own, v = pdf[key].to_numpy(), np.array(pdf[vector].tolist(), np.float64)
+                for a in range(0, len(ids), FEW):
+                    part = slice(a, a + FEW)
+                    sim = np.round(similarities(q[part], v, weights), digits)
+                    sim[(ids[part, None] == own[None, :]) | (tales[part, None] == pdf["_story"].to_numpy()[None, :])] = -2
+                    order = np.lexsort((np.broadcast_to(own, sim.shape), -sim), axis=1)[:, :k]
+                    at = np.repeat(np.arange(len(sim)), order.shape[1]), order.reshape(-1)
+                    keep = sim[at] > -2
+                    yield pd.DataFrame({"query": ids[part][at[0]], key: own[at[1]], "similarity": sim[at]} | {c: pdf[c].to_numpy()[at[1]] for c in other})[keep]
+
+        part = rows.select(key, vector, F.col(tale).alias("_story"), *other).where(F.col(vector).isNotNull()).mapInPandas(best, schema)
         out = part if out is None else out.union(part)
     if out is None:
         return rows.sparkSession.createDataFrame([], schema + ", rank int")
@@ -95,6 +123,24 @@ def knn_label(neighbours: DataFrame, label: str = "label") -> DataFrame:
     return s.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
+def vote_distribution(neighbours: DataFrame, labels: DataFrame, beta: float = 0.1, label: str = "label") -> DataFrame:
+    """Share of each label among a query's neighbours, smoothed by ``beta``
+    (CLS3): (query, label, p) for every label of ``labels`` (one column)."""
+    n = neighbours.groupBy("query", label).agg(F.count(F.lit(1)).alias("n"))
+    size = n.groupBy("query").agg(F.sum("n").alias("all"))
+    names = labels.select(label).where(F.col(label).isNotNull()).distinct()
+    kinds = names.agg(F.count(F.lit(1)).alias("kinds"))
+    grid = size.crossJoin(F.broadcast(names)).crossJoin(F.broadcast(kinds))  # a row per label, one row
+    p = (F.coalesce("n", F.lit(0)) + beta) / (F.col("all") + beta * F.col("kinds"))
+    return grid.join(n, ["query", label], "left").select("query", label, p.alias("p"))
+
+
+def likeliest(distribution: DataFrame, label: str = "label", digits: int = 9) -> DataFrame:
+    """The label of the largest share, the first of equals (TOP12, SEQ23)."""
+    w = Window.partitionBy("query").orderBy(F.round("p", digits).desc(), label)
+    return distribution.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
 def naive_bayes(terms: DataFrame, labels: DataFrame, docs: DataFrame, *, key: str = "doc_id", label: str = "label", alpha: float = 0.0001) -> DataFrame:
     """log score of every class for the documents of ``docs`` (terms of them),
     trained on ``terms`` joined with ``labels`` (CLS7). Only a term that the

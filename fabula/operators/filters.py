@@ -113,3 +113,13 @@ def constraint(words: list[str] = (), tags: list[str] = (), chunks: list[str] =
     hit = one("token", words) & one("tag", tags) & one("chunk", chunks) & one("role", roles)
     hit = hit if custom is None else hit & custom
     return hit if exclude is None else hit & ~exclude
+
+
+def index_range(df: DataFrame, column: str, first: int, last: int) -> DataFrame:
+    """Rows whose index lies in a range, both ends included (JN15)."""
+    return df.where(F.col(column).between(first, last))
+
+
+def all_values(df: DataFrame, by: list[str], collection: str, field: str) -> DataFrame:
+    """A field of the members of child lists, each value once (FLT18)."""
+    return df.select(*by, F.explode(F.col(collection)[field]).alias(field)).dropDuplicates()

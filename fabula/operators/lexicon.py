@@ -87,3 +87,17 @@ def assemble(features: DataFrame, by: list[str], names: list[str]) -> DataFrame:
     """Long features (name, value) to an ordered dense vector (FEA8)."""
     wide = features.groupBy(*by).pivot("name", names).agg(F.max("value")).na.fill(0.0, names)
     return wide.select(*by, F.array(*[F.col(f"`{n}`").cast("double") for n in names]).alias("features"))
+
+
+def mapped_ids(df: DataFrame, mapping: DataFrame, column: str = "synset") -> DataFrame:
+    """Ids of another version (LEX13): mapping (old, new); null where none is
+    listed, the least where several are."""
+    one = mapping.groupBy(F.col("old").alias(column)).agg(F.min("new").alias(f"{column}_new"))
+    return df.join(one, column, "left")
+
+
+def taxonomy(synsets: DataFrame, relations: DataFrame, kind: str = "hypernym") -> DataFrame:
+    """Edges (child, parent) of a lexicon (LEX14): words below their synsets,
+    synsets below their hypernyms."""
+    words = synsets.select(F.col("word").alias("child"), F.col("synset").alias("parent"))
+    return words.union(relations.where(F.col("kind") == kind).select("synset", "other")).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabula.operators import linking
+from fabula.operators.components import connected_components
 
 
 def covering(mentions: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -180,3 +181,35 @@ def groups_with_entity(mentions: DataFrame) -> DataFrame:
     return first.join(role, "_g", "left").select("_g.doc_id", "_g.grp", "representation", "mentions", "majority_role", "any_character")
 
 
+def merged_by_head(mentions: DataFrame, mode: int = 0) -> DataFrame:
+    """Groups that share a head word become one (COR9): 0 merges on equal lists
+    of noun and adjective lemmas, 1 on equal lists of noun lemmas, 2 on any
+    common noun lemma, -1 not at all. mentions: doc_id, mention_id, grp and
+    tokens (an array of pos, lemma); plurals neither merge nor are merged upon.
+    A group takes the least number that it can reach."""
+    if mode == -1:
+        return mentions
+    kinds = ["NN", "NNP", "JJ"] if mode == 0 else ["NN", "NNP"]
+    heads = F.transform(F.filter("tokens", lambda t: t["pos"].isin(kinds)), lambda t: F.lower(t["lemma"]))
+    single = mentions.where(~F.exists("tokens", lambda t: t["pos"].isin("NNS", "NNPS"))).withColumn("heads", heads).where(F.size("heads") > 0)
+    key = F.explode(F.array_distinct("heads")) if mode == 2 else F.array_join("heads", "\n")
+    keyed = single.select("doc_id", "grp", key.alias("key")).distinct()
+    first = keyed.groupBy("doc_id", "key").agg(F.min("grp").alias("first"))  # a star, not all pairs
+    node = lambda g: F.struct(F.col("doc_id"), F.col(g).alias("grp"))
+    parts = connected_components(keyed.join(first, ["doc_id", "key"]).select(node("grp").alias("src"), node("first").alias("dst")))
+    to = parts.select(F.col("node.doc_id").alias("doc_id"), F.col("node.grp").alias("grp"), F.col("component.grp").alias("_to"))
+    return mentions.join(to, ["doc_id", "grp"], "left").withColumn("grp", F.coalesce("_to", "grp")).drop("_to")
+
+
+def joined_symbols(mentions: DataFrame, symbol: str = "symbol") -> DataFrame:
+    """Split groups of one symbol take its least number, and a mention alone in
+    its group is marked ``singleton`` (COR11). Without a symbol groups stay."""
+    w = mentions.where(F.col(symbol).isNotNull()).groupBy("doc_id", symbol).agg(F.min("grp").alias("_to"))
+    m = mentions.join(w, ["doc_id", symbol], "left").withColumn("grp", F.coalesce("_to", "grp")).drop("_to")
+    alone = m.groupBy("doc_id", "grp").agg((F.count(F.lit(1)) == 1).alias("singleton"))
+    return m.join(alone, ["doc_id", "grp"])
+
+
+def reset_groups(mentions: DataFrame) -> DataFrame:
+    """Every mention is a group of its own (COR12)."""
+    return mentions.withColumn("grp", F.col("mention_id"))

@@ -1,6 +1,6 @@
 """Registered queries; each module registers its own when it is imported."""
 
-from fabula.plans import language, learning, numbers, reports, sequences, stories, structure, words  # noqa: F401
+from fabula.plans import items, language, learning, numbers, reports, sequences, stories, structure, words  # noqa: F401
 from fabula.plans.registry import QUERIES, SQL
 
 

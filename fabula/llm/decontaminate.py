@@ -29,10 +29,11 @@ WORD = re.compile(r"\w+")
 SHINGLE = 5
 THRESHOLD = 0.8
 MISS = 1e-12
-MAX_HASHES = 256
-PRIME = (1 << 61) - 1
-#: The items that one pass over the documents carries; more take more passes.
-BLOCK_CHARS = 4 << 20
+MAX_HASHES = 256  #: a band number fits a byte
+#: The items that one pass over the documents carries (64 characters are added
+#: for each, so 11,000 empty ones fill a block, and their bands take 4 KB each);
+#: more take more passes.
+BLOCK_CHARS = 1 << 20
 MATCHES = "array<struct<item_id:bigint,n_item:int,n_shared:int>>"
 
 
@@ -48,8 +49,17 @@ def bands(small: int, large: int, threshold: float) -> int:
     return 1 if jaccard >= 1 else math.ceil(math.log(MISS) / math.log1p(-jaccard))
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser of unsigned integers."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        return x ^ (x >> np.uint64(33))
+
+
 class ItemIndex:
-    """MinHash bands of a bounded block of items, by size class."""
+    """MinHash bands of a bounded block of items, by size class: sorted keys,
+    each a least hash with its number in the lowest byte, and their items."""
 
     def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, seed: int = 11):
         self.threshold = threshold
@@ -70,21 +80,24 @@ class ItemIndex:
                 self.holders[s].append(len(self.items))
             self.items.append((item_id, found))
         rng = np.random.default_rng(seed)
-        self.mult = [int(x) for x in rng.integers(1, PRIME, MAX_HASHES)]
-        self.add = [int(x) for x in rng.integers(0, PRIME, MAX_HASHES)]
-        self.classes: dict[int, tuple[int, dict]] = {}
+        self.seeds = rng.integers(0, 1 << 64, MAX_HASHES, np.uint64, endpoint=False)
+        self.classes: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
         by_class: dict[int, list[int]] = defaultdict(list)
         for k, (_, found) in enumerate(self.items):
             by_class[len(found).bit_length()].append(k)
         for c, members in by_class.items():
-            index: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for k in members:
-                for j, least in enumerate(self.signature(self.items[k][1], MAX_HASHES)):
-                    index[j, least].append(k)
-            self.classes[c] = (min(len(self.items[k][1]) for k in members), dict(index))
-
-    def signature(self, found, n: int) -> list[int]:
-        return [min((a * (s + 1) + b) % PRIME for s in found) for a, b in zip(self.mult[:n], self.add[:n])]
+            keys = np.concatenate([self.signature(self.items[k][1], MAX_HASHES) for k in members])
+            order = np.argsort(keys, kind="stable")
+            owners = np.repeat(np.array(members, np.int32), MAX_HASHES)[order]
+            self.classes[c] = (min(len(self.items[k][1]) for k in members), keys[order], owners)
+
+    def signature(self, found, n: int) -> np.ndarray:
+        """The first ``n`` band keys of a set of shingles."""
+        x = mixed(np.fromiter(found, np.uint64, len(found)) + np.uint64(1))
+        least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+        for a in range(0, len(x), 1024):
+            np.minimum(least, mixed(x[a : a + 1024, None] ^ self.seeds[None, :n]).min(0), out=least)
+        return (least & ~np.uint64(0xFF)) | np.arange(n, dtype=np.uint64)
 
     def shared_shingles(self, text: str | None) -> set[int]:
         """The shingles of the text that some item has."""
@@ -112,14 +125,15 @@ class ItemIndex:
         if not found:
             return []
         upper = (1 << len(found).bit_length()) - 1
-        need = {c: bands(least, upper, self.threshold) for c, (least, _) in self.classes.items()}
+        need = {c: bands(least, upper, self.threshold) for c, (least, *_) in self.classes.items()}
         hashed = max([n for n in need.values() if n <= MAX_HASHES], default=0)
         signature = self.signature(found, hashed)
         candidates: set[int] = set()
-        for c, (_, index) in self.classes.items():
+        for c, (_, keys, owners) in self.classes.items():
             if need[c] <= MAX_HASHES:
-                for j in range(need[c]):
-                    candidates.update(index.get((j, signature[j]), ()))
+                own = signature[: need[c]]
+                for a, b in zip(np.searchsorted(keys, own), np.searchsorted(keys, own, "right")):
+                    candidates.update(owners[a:b].tolist())
         if any(n > MAX_HASHES for n in need.values()):
             candidates.update(k for s in found for k in self.holders[s])
         out = []

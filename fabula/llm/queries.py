@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.llm import decontaminate, embedding_dedup, htmltext, katz, pieces, quality, sharding, simhash, training_order, warc
+from fabula.llm import decontaminate, embedding_dedup, host_rules, htmltext, katz, pieces, quality, sharding, simhash, training_order, warc
 from fabula.session import table
 
 
@@ -56,6 +56,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.digest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc.SQL}
+    return {"op5_warc": warc.SQL, "op11_host_rules": host_rules.SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.llm import decontaminate, embedding_dedup, host_rules, htmltext, katz, pieces, quality, sharding, simhash, training_order, warc
+from fabula.llm import alignment, decontaminate, embedding_dedup, host_rules, htmltext, katz, pieces, quality, sharding, simhash, training_order, warc
 from fabula.session import table
 
 
@@ -60,6 +60,10 @@ def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.llm import alignment, decontaminate, embedding_dedup, host_rules, htmltext, katz, pieces, quality, sharding, simhash, training_order, warc
+from fabula.llm import alignment, decontaminate, embedding_dedup, hard_negatives, host_rules, htmltext, katz, pieces, quality, sharding, simhash, training_order, warc
 from fabula.session import table
 
 
@@ -64,6 +64,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.digest(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc.SQL, "op11_host_rules": host_rules.SQL}
+    return {"op5_warc": warc.SQL, "op11_host_rules": host_rules.SQL, "op13_hard_negatives": hard_negatives.SQL}

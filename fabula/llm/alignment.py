@@ -18,7 +18,6 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -31,9 +30,13 @@ from fabula.session import written
 #: either tokenizer: A's pattern takes that space with what follows, and no
 #: piece of B has a space behind another character.
 CUT = re.compile(r"(?<=[^\s▁])(?= [^\s▁])")
+#: Units that fit such a place at both ends.
+JOINABLE = re.compile(r" [^\s▁](.*[^\s▁])?", re.DOTALL)
 #: Units kept per generation (two generations), and the length of a kept one.
 KEPT_UNITS = 150_000
 KEPT_CHARS = 48
+#: New units encoded as one text.
+TOGETHER = 2048
 #: Characters encoded between two hand-overs of results.
 STEP = 1 << 20
 
@@ -86,79 +89,59 @@ class Aligner:
             if i not in self.fallback and re.search(r"[^▁]▁", piece):
                 raise ValueError("a piece has a space behind another character; units would not be independent")
         self.pairs = linkable(self.a_bytes, self.b_bytes)
-        self.number = {int(k): n for n, k in enumerate(self.pairs)}
+        self.a_length, self.a_name = by_id(self.a_bytes)
+        self.b_length, self.b_name = by_id(self.b_bytes)
+        self.is_fallback = np.zeros(len(self.b_length), bool)
+        self.is_fallback[list(self.fallback)] = True
         self.young: dict[str, Entry | None] = {}
         self.old: dict[str, Entry | None] = {}
 
-    # -- one unit ----------------------------------------------------------
+    # -- new units ---------------------------------------------------------
 
     def entries(self, units: list[str]) -> list[Entry | None]:
         """Alignment of units that begin with a space (which B adds by itself);
-        None where a tokenizer's bytes are not the unit's."""
-        spans_a = self.a.encode_batch(units, add_special_tokens=False)
-        spans_b = self.b.encode([u[1:] for u in units], return_type="proto", num_threads=1)
-        return [self.entry(u, x, y) for u, x, y in zip(units, spans_a, spans_b)]
-
-    def entry(self, unit: str, spans_a, spans_b) -> Entry | None:
-        ids_a = spans_a.ids
-        pieces = spans_b.pieces
-        ids_b = [p.id for p in pieces]
-        raw = unit.encode()
-        b_bytes = self.b_bytes
-        if b"".join([b_bytes.get(i, b"") for i in ids_b]) != raw:
-            return None
-        if len(ids_a) == 1 or len(ids_b) == 1:
-            groups = [(0, len(ids_a), 0, len(ids_b))]
-        else:
-            at_a = [e for _, e in spans_a.offsets]
-            at_b = [p.end + 1 for p in pieces]
-            if len(raw) != len(unit):  # the proto counts bytes
-                place = dict(zip(accumulate(len(c.encode()) for c in unit), range(1, len(unit) + 1)))
-                at_b = [place[e] for e in at_b]
-                # All but the last fallback byte of a character are empty spans in front of it.
-                for k in range(len(pieces) - 2, -1, -1):
-                    if pieces[k].begin == pieces[k].end and ids_b[k] in self.fallback:
-                        at_b[k] = at_b[k + 1]
-            groups = self.groups(ids_a, at_a, ids_b, at_b)
-        text, links = [], []
-        for i, j, k, m in groups:
-            text.append(f"{','.join(map(str, ids_a[i:j]))}|{','.join(map(str, ids_b[k:m]))}")
-            links.append(self.number[ids_a[j - 1] << 32 | ids_b[m - 1]])
-        return len(ids_a), len(ids_b), ";".join(text), np.array(links, np.int32).tobytes()
-
-    def groups(self, ids_a: list[int], at_a: list[int], ids_b: list[int], at_b: list[int]) -> list[tuple[int, int, int, int]]:
-        """Ranges of tokens between neighbouring common ends. The last token
-        with a given end closes that character; tokens before it with the same
-        end close bytes inside it, which spans can't tell apart."""
-        last_a = {e: k + 1 for k, e in enumerate(at_a)}
-        last_b = {e: k + 1 for k, e in enumerate(at_b)}
-        out, i, k = [], 0, 0
-        for end, j in last_a.items():
-            m = last_b.get(end)
-            if m is None:
-                continue
-            if j - i > 1 and m - k > 1 and len(set(at_a[i:j])) < j - i and len(set(at_b[k:m])) < m - k:
-                out += self.refined(ids_a, i, j, ids_b, k, m)
-            else:
-                out.append((i, j, k, m))
-            i, k = j, m
+        None where a tokenizer's bytes are not the unit's. Units that may stand
+        next to each other are encoded as one text."""
+        out: list[Entry | None] = [None] * len(units)
+        row = [k for k, u in enumerate(units) if JOINABLE.fullmatch(u)]
+        for part in [row[x : x + TOGETHER] for x in range(0, len(row), TOGETHER)] + [[k] for k in sorted(set(range(len(units))) - set(row))]:
+            for k, e in zip(part, self.aligned([units[k] for k in part])):
+                out[k] = e
         return out
 
-    def refined(self, ids_a: list[int], i: int, j: int, ids_b: list[int], k: int, m: int) -> list[tuple[int, int, int, int]]:
-        """The same by the tokens' decoded bytes, for one coarse group."""
-        ends_a, ends_b, n = {}, {}, 0
-        for t in range(i, j):
-            n += len(self.a_bytes[ids_a[t]])
-            ends_a[n] = t + 1
-        n, out = 0, []
-        for t in range(k, m):
-            n += len(self.b_bytes[ids_b[t]])
-            ends_b[n] = t + 1
-        for n, t in ends_a.items():
-            if n in ends_b:
-                out.append((i, t, k, ends_b[n]))
-                i, k = t, ends_b[n]
-        return out
+    def aligned(self, units: list[str]) -> list[Entry | None]:
+        """Entries of neighbouring units of one text."""
+        whole = "".join(units)
+        raw = whole.encode()
+        spans_a = self.a.encode(whole, add_special_tokens=False)
+        pieces = self.b.encode(whole[1:], return_type="proto", num_threads=1).pieces
+        ids_a, ids_b = spans_a.ids, [p.id for p in pieces]
+        if b"".join([self.a_bytes.get(i, b"") for i in ids_a]) != raw or b"".join([self.b_bytes.get(i, b"") for i in ids_b]) != raw:
+            half = len(units) // 2
+            return self.aligned(units[:half]) + self.aligned(units[half:]) if half else [None]
+        a, b = np.array(ids_a), np.array(ids_b)
+        # Spans of A count characters, those of B bytes (without the first space).
+        first = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+        at_a = np.append(first[1:], len(raw))[np.array([e for _, e in spans_a.offsets]) - 1]
+        at_b = np.array([p.end for p in pieces]) + 1
+        # Inside a character of several bytes spans tell nothing: A repeats the
+        # character's end, B has empty spans for all but the last fallback byte.
+        at_a = refined(at_a, np.append(at_a[:-1] == at_a[1:], False), self.a_length[a])
+        at_b = refined(at_b, (np.diff(at_b, prepend=-1) == 0) & self.is_fallback[b], self.b_length[b])
+        end_a = np.flatnonzero(np.isin(at_a, at_b, assume_unique=True)) + 1
+        end_b = np.searchsorted(at_b, at_a[end_a - 1]) + 1
+        names_a, names_b = [self.a_name[i] for i in ids_a], [self.b_name[i] for i in ids_b]
+        groups, i, k = [], 0, 0
+        for j, m in zip(end_a.tolist(), end_b.tolist()):
+            left = names_a[i] if j - i == 1 else ",".join(names_a[i:j])
+            groups.append(f"{left}|{names_b[k]}" if m - k == 1 else f"{left}|{','.join(names_b[k:m])}")
+            i, k = j, m
+        links = np.searchsorted(self.pairs, a[end_a - 1] << 32 | b[end_b - 1]).astype(np.int32).tobytes()
+        # Both tokenizers end a token where a unit ends, so a group ends there.
+        unit_end = np.cumsum([len(u.encode()) for u in units])
+        g = (np.searchsorted(at_a[end_a - 1], unit_end) + 1).tolist()
+        n_a, n_b = np.diff(end_a[np.array(g) - 1], prepend=0).tolist(), np.diff(end_b[np.array(g) - 1], prepend=0).tolist()
+        return [(n_a[k], n_b[k], ";".join(groups[x:y]), links[4 * x : 4 * y]) for k, (x, y) in enumerate(zip([0, *g], g))]
 
     # -- many texts --------------------------------------------------------
 
@@ -209,6 +192,25 @@ def linkable(a_bytes: dict[int, bytes], b_bytes: dict[int, bytes]) -> np.ndarray
     return np.array(sorted(keys), np.int64)
 
 
+def by_id(names: dict[int, bytes]) -> tuple[np.ndarray, list[str]]:
+    """Lengths of the entries and their ids as text, by id."""
+    size = np.zeros(max(names, default=-1) + 1, np.int64)
+    for i, x in names.items():
+        size[i] = len(x)
+    return size, [str(i) for i in range(len(size))]
+
+
+def refined(ends: np.ndarray, inside: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``ends`` in bytes, where those of tokens that end ``inside`` a character
+    are counted on from the token before by the decoded bytes."""
+    if not inside.any():
+        return ends
+    total = np.cumsum(sizes)
+    known = np.maximum.accumulate(np.where(inside, 0, np.arange(1, len(ends) + 1)))
+    base = np.concatenate(([0], ends - total))
+    return np.where(inside, total + base[known], ends)
+
+
 @lru_cache(maxsize=1)
 def aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)

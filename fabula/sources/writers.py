@@ -17,6 +17,11 @@ def tsv(df: DataFrame, path: str, header: bool = True) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", header).csv(path)
 
 
+def json_lines(df: DataFrame, path: str) -> None:
+    """Rule weights and other small records, an object a line (SNK17)."""
+    df.write.mode("overwrite").json(path)
+
+
 def arff_lines(df: DataFrame, relation: str, label: str, labels: list[str], digits: int = 4) -> DataFrame:
     """Header and rows of an ARFF file in order (SNK3, SNK11): part, value."""
     spark = df.sparkSession

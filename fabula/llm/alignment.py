@@ -18,6 +18,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ CUT = re.compile(r"(?<=[^\s▁])(?= [^\s▁])")
 #: Units that fit such a place at both ends.
 JOINABLE = re.compile(r" [^\s▁](.*[^\s▁])?", re.DOTALL)
 #: Units kept per generation (two generations), and the length of a kept one.
-KEPT_UNITS = 150_000
+KEPT_UNITS = 300_000
 KEPT_CHARS = 48
 #: New units encoded as one text.
 TOGETHER = 2048
@@ -149,24 +150,13 @@ class Aligner:
         """Counts, groups and link numbers of each text."""
         cut = [CUT.split(" " + t) if t else [] for t in texts]
         young, old = self.young, self.old
-        large: dict[str, Entry | None] = {}
-        new: dict[str, None] = {}
-        for units in cut:
-            for u in units:
-                if u not in young:
-                    if u in old:
-                        young[u] = old[u]
-                    elif len(u) > KEPT_CHARS:
-                        large[u] = None
-                    else:
-                        new[u] = None
-        if new:
-            young.update(zip(new, self.entries(list(new))))
-        if large:
-            large.update(zip(large, self.entries(list(large))))
+        missing = set(chain.from_iterable(cut)).difference(young)
+        young.update((u, old[u]) for u in missing if u in old)
+        new = [u for u in missing if u not in old]
+        young.update(zip(new, self.entries(new)))
         out = []
         for units in cut:
-            found = [young[u] if u in young else large[u] for u in units]
+            found = [young[u] for u in units]
             if None in found:  # the bytes of units that differ could still add up
                 found = self.entries(["".join(units)])
             if not found or found[0] is None:
@@ -174,6 +164,9 @@ class Aligner:
                 continue
             n_a, n_b, groups, links = zip(*found)
             out.append((sum(n_a), sum(n_b), ";".join(groups), b"".join(links)))
+        for u in new:
+            if len(u) > KEPT_CHARS:
+                del young[u]
         if len(young) > KEPT_UNITS:
             self.young, self.old = {}, young
         return out
@@ -252,10 +245,9 @@ def link_counts(aligned: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
         for pdf in batches:
-            for blob in pdf["links"]:
-                seen = np.bincount(np.frombuffer(blob, np.int32), minlength=len(total))
-                seen[: len(total)] += total
-                total = seen
+            seen = np.bincount(np.frombuffer(b"".join(pdf["links"]), np.int32), minlength=len(total))
+            seen[: len(total)] += total
+            total = seen
         pairs = np.flatnonzero(total)
         yield pd.DataFrame({"pair": pairs.astype(np.int32), "n": total[pairs]})
 

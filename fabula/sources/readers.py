@@ -36,14 +36,15 @@ def filled(df: DataFrame, by: str, order: str, value: Column, name: str) -> Data
     return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
-PARSER_SCHEMA = """sentences struct<sentence:array<struct<_id:int,tokens:struct<token:array<struct<_id:int,word:string,lemma:string,CharacterOffsetBegin:bigint,CharacterOffsetEnd:bigint,POS:string>>>,
+PARSER_SCHEMA = """_name string, sentences struct<sentence:array<struct<_id:int,tokens:struct<token:array<struct<_id:int,word:string,lemma:string,CharacterOffsetBegin:bigint,CharacterOffsetEnd:bigint,POS:string>>>,
 parse:string,dependencies:array<struct<_type:string,dep:array<struct<_type:string,governor:struct<_VALUE:string,_idx:int>,dependent:struct<_VALUE:string,_idx:int>>>>>>>>,
 coreference struct<coreference:array<struct<mention:array<struct<_representative:boolean,sentence:int,start:int,end:int,head:int>>>>>"""
 
 
 def parser_xml(spark: SparkSession, path: str) -> DataFrame:
-    """One row per parsed document (SRC3-SRC8) for the functions below."""
-    return spark.read.schema(PARSER_SCHEMA).format("xml").option("rowTag", "document").load(path).select(file_key().alias("doc_id"), "sentences", "coreference")
+    """One row per parsed document (SRC3-SRC8) for the functions below. A
+    document without a ``name`` is called as its file."""
+    return spark.read.schema(PARSER_SCHEMA).format("xml").option("rowTag", "document").load(path).select(F.coalesce("_name", file_key()).alias("doc_id"), "sentences", "coreference")
 
 
 def parser_tokens(parsed: DataFrame) -> DataFrame:
@@ -141,13 +142,14 @@ def nth_occurrence(text: Column, token: Column) -> Column:
 
 def indented(spark: SparkSession, path: str) -> DataFrame:
     """Tab-indented outline to child, parent rows (SRC28-SRC30): a line's
-    parent is the last line with one tab less."""
+    parent is the last line before it with one tab less. A window for each
+    depth carries that depth's last line forward."""
     l = lines(spark, path).where(F.trim("value") != "").withColumn("depth", F.length(F.regexp_extract("value", r"^(\t*)", 1)))
     l = l.withColumn("name", F.regexp_replace("value", r"^\s+|\s+$", ""))
+    deepest = l.agg(F.max("depth")).first()[0] or 0
     w = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.collect_list(F.struct("n", "depth", "name")).over(w)  # an outline's lines
-    parent = F.element_at(F.filter(seen, lambda x: x["depth"] == F.col("depth") - 1), -1)["name"]
-    return l.select("doc_id", "n", "depth", F.col("name").alias("child"), F.when(F.exists(seen, lambda x: x["depth"] == F.col("depth") - 1), parent).alias("parent"))
+    last = [F.when(F.col("depth") == d + 1, F.last(F.when(F.col("depth") == d, F.col("name")), ignorenulls=True).over(w)) for d in range(deepest)]
+    return l.select("doc_id", "n", "depth", F.col("name").alias("child"), F.coalesce(*last, F.lit(None).cast("string")).alias("parent"))
 
 
 def capital_code(name: Column) -> Column:
@@ -268,3 +270,46 @@ def quoted_xml(spark: SparkSession, path: str, tag: str = "PARAGRAPH") -> DataFr
 def light_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Token lists only (SRC6)."""
     return docs.select(key, tokens(text).alias("tokens"))
+
+
+SENTIMENT_SCHEMA = "_form string, _pos string, _polarity double, _subjectivity double, _intensity double, _label string, _wordnet_id string, _confidence double"
+
+
+def sentiment_xml(spark: SparkSession, path: str, least_confidence: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """``<word form pos polarity subjectivity intensity wordnet_id/>`` files
+    (SRC33): (word, pos, polarity, subjectivity, intensity), means over a
+    word's senses for each tag and, where pos is null, over its tags; and the
+    same by synset. Missing numbers are 0, a missing intensity is 1. Rows
+    without a tag are a tag of their own, called ``''``."""
+    r = spark.read.schema(SENTIMENT_SCHEMA).format("xml").option("rowTag", "word").load(path)
+    if least_confidence is not None:
+        r = r.where(F.coalesce("_confidence", F.lit(0.0)) >= least_confidence)
+    r = r.select(
+        F.col("_form").alias("word"), F.coalesce("_pos", F.lit("")).alias("pos"), F.col("_wordnet_id").alias("synset"),
+        F.coalesce("_polarity", F.lit(0.0)).alias("polarity"), F.coalesce("_subjectivity", F.lit(0.0)).alias("subjectivity"), F.coalesce("_intensity", F.lit(1.0)).alias("intensity"),
+    )
+    means = [F.avg(c).alias(c) for c in ("polarity", "subjectivity", "intensity")]
+    by_tag = r.where("word <> ''").groupBy("word", "pos").agg(*means)
+    every = by_tag.groupBy("word").agg(*means).select("word", F.lit(None).cast("string").alias("pos"), "polarity", "subjectivity", "intensity")
+    return by_tag.union(every), r.where("synset <> ''").groupBy("synset").agg(*means)
+
+
+def mapped_tags(spark: SparkSession, path: str, story_tag: str, title: str, mapping: DataFrame) -> DataFrame:
+    """Labels of a foreign XML corpus in document order (SRC25): each
+    ``story_tag`` element is a story called by its ``title`` attribute, every
+    element inside is looked up by its name in ``mapping`` (tag, label). Gives
+    story, pos (the element's number in the story), depth and label; elements
+    without a label count but give no row, nor do comments or text."""
+    whole = text_documents(spark, path)
+    story = F.regexp_extract_all("text", F.lit(rf"(?s)<{story_tag}\b[^>]*>.*?</{story_tag}>"), F.lit(0))
+    # A comment may hold tags; it goes first.
+    s = whole.select("doc_id", F.posexplode(story).alias("k", "body")).withColumn("body", F.regexp_replace("body", r"(?s)<!--.*?-->", ""))
+    name = F.regexp_extract("body", rf'^<{story_tag}\b[^>]*\b{title}="([^"]*)"', 1)
+    tags = F.regexp_extract_all("body", F.lit(r"</?[A-Za-z][^>]*>"), F.lit(0))
+    each = s.select("doc_id", "k", name.alias("story"), F.posexplode(F.slice(tags, 2, 1 << 30)).alias("n", "tag"))
+    w = Window.partitionBy("doc_id", "k").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    closing, alone = F.startswith("tag", F.lit("</")), F.endswith("tag", F.lit("/>"))
+    step = F.when(closing, -1).when(alone, 0).otherwise(1)
+    each = each.withColumn("pos", F.count_if(~closing).over(w)).withColumn("depth", (F.sum(step).over(w) + alone.cast("int")).cast("int")).where(~closing)
+    known = mapping.where("label <> ''").select(F.col("tag").alias("_tag"), "label")
+    return each.withColumn("_tag", F.regexp_extract("tag", r"^<([\w:.-]+)", 1)).join(known, "_tag").select("story", "pos", "depth", "label")

@@ -25,13 +25,13 @@ END = "\r\n\r\n"
 DATE = "2020-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
+#: The magic counts at the start of a line; no field of a header begins so.
+MAGIC = re.compile(rb"(?:\A|(?<=\r\n))WARC/1\.[01]\r\n")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORDS_PER_FILE = 1000
-#: A file's bytes before compression, as long as a single record is no longer.
-FILE_BYTES = 128 << 20
-#: Longest header that is read.
-HEADER_BYTES = 64 << 10
+#: Bytes of a record of which a file takes that many; of records of up to
+#: twice the bytes it takes half as many, and so on.
+RECORD_BYTES = 128 << 10
 FIELD = re.compile(rb"\r\n([!-9;-~]+)[ \t]*:[ \t]*([^\r\n]*)")
 NUMBER = re.compile(r"[0-9]{1,18}")
 
@@ -55,8 +55,9 @@ def with_revisits(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
     are all responses. A null html is the empty payload. Rows without a page_id
     revisit like others and are responses where no row of their group has one.
     """
+    carried = [c for c in pages.columns if c == "_class"]
     keyed = pages.select(
-        "page_id", "url", F.coalesce("html", F.lit("")).alias("payload"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("payload_bytes")
+        "page_id", "url", *carried, F.coalesce("html", F.lit("")).alias("payload"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("payload_bytes")
     ).withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary")))
     # Groups of one need no partner: only ids and digests of copies are joined.
     first = cut(
@@ -70,6 +71,7 @@ def with_revisits(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
     return keyed.join(first, (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") >= least_bytes), "left").select(
         "page_id",
         "url",
+        *carried,
         "payload",
         "payload_bytes",
         "payload_digest",
@@ -98,15 +100,25 @@ def record_text(r: DataFrame) -> DataFrame:
     )
 
 
+def size_class(pages: DataFrame) -> Column:
+    """0 for records of up to RECORD_BYTES, k for up to 2**k times that."""
+    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long") + F.coalesce(F.octet_length("url"), F.lit(0)) + 1024
+    return F.greatest(F.ceil(F.log2(size / RECORD_BYTES)), F.lit(0)).cast("int")
+
+
 def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0, compression: str = "gzip") -> None:
     """Writes archives; Spark's text sink ends each record with the two line
     ends that the format asks for, and commits whole files only. compression:
-    ``gzip`` for one member a file, ``none`` for archives to seek in. A file
-    takes 1,000 records, fewer where these could be over ``FILE_BYTES``."""
-    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
-    count = max(1, min(RECORDS_PER_FILE, FILE_BYTES // (longest + HEADER_BYTES)))
-    records = record_text(with_revisits(pages, least_bytes=least_bytes))
-    records.write.option("lineSep", END).option("maxRecordsPerFile", count).option("compression", compression).text(path)
+    ``gzip`` for one member a file, ``none`` for archives to seek in. Records
+    are written by classes of size, so that a file has at most 1,000 records
+    and about 128 MiB before compression, and long records change the number
+    of files of no other class."""
+    sized = pages.withColumn("_class", size_class(pages)).select("page_id", "url", "html", "_class")
+    classes = sorted(r[0] for r in sized.select("_class").distinct().collect()) or [0]  # a number for each doubling of the length
+    records = with_revisits(sized, least_bytes=least_bytes)
+    for k, c in enumerate(classes):
+        rows = record_text(records.where(F.col("_class") == c))
+        rows.write.mode("append" if k else "errorifexists").option("lineSep", END).option("maxRecordsPerFile", max(1, RECORDS_PER_FILE >> c)).option("compression", compression).text(path)
 
 
 def header_fields(head: bytes) -> dict[str, str]:
@@ -127,14 +139,19 @@ CANDIDATE = "file string, off long, next long, page_id long, url string, payload
 
 
 def scan(content: bytes) -> Iterator[tuple]:
-    """Every place that reads like a record: offset, successor, and fields.
-    A candidate that overruns the file has no successor and no record, nor has
-    one with a header over ``HEADER_BYTES``, with a second magic line in its
-    header or with fields that do not read as they should."""
+    """Every place that reads like a record: offset, successor, and fields. A
+    header runs to the first blank line, however far that is. A candidate that
+    overruns the file has no successor and no record, nor has one with a second
+    magic line in its header or with fields that do not read as they should."""
     places = [m.start() for m in MAGIC.finditer(content)]
+    end = -1
     for place, after in zip(places, [*places[1:], len(content)]):
-        end = content.find(b"\r\n\r\n", place, min(after, place + HEADER_BYTES))
+        # The blank line found for one candidate is that of all before it.
+        if end < place:
+            end = content.find(b"\r\n\r\n", place)
         if end < 0:
+            return
+        if end > after:
             continue
         fields = header_fields(content[place:end])
         length = whole_number(fields.get("content-length"))

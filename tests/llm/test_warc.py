@@ -2,6 +2,9 @@ import base64
 import hashlib
 
 import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from fabula.llm.warc import on_chain, read_archives, round_trip, scan, write_archives
 
@@ -79,3 +82,35 @@ def test_magic_lines_take_linear_time():
     assert list(scan(b"WARC/1.0\r\n" * 100_000 + b"\r\n\r\n")) == []
     assert list(scan((b"WARC/1.0\r\n" + b"a: b\r\n" * 5) * 25_000)) == []
     assert time.process_time() - began < 2
+
+
+@pytest.mark.parametrize("url", ["http://specs.org/WARC/1.0", "http://h/" + "u" * 70_000, "WARC/1.0", "Content-Length: 3", "a: b", "x\r\nWARC/1.0\r\nContent-Length: 1\r\n\r\n"])
+def test_odd_urls_lose_no_page(spark, url):
+    for place in range(6):
+        rows = [(k, url if k == place else f"http://h/{k}", f"page {k}", "") for k in range(6)]
+        got = {r.page_id: r for r in round_trip(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()}
+        assert set(got) == set(range(6)) and got[place].url == url.replace("\r", "").replace("\n", "")
+        assert all(got[k].payload_digest == b32(f"page {k}") for k in range(6))
+
+
+ODD = st.lists(st.one_of(st.sampled_from(["WARC/1.0", "\r\n", "\n", " ", ":", FAKE, "Content-Length: 7", "é", "WARC/1.1\r\nWARC-Type: response\r\n\r\n"]), st.text(alphabet="aé\t\x00 ", max_size=6)), max_size=8).map("".join)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(ODD, ODD), min_size=1, max_size=8))
+def test_any_urls_and_payloads(spark, pairs):
+    rows = [(k, u, t, "") for k, (u, t) in enumerate(pairs)]
+    got = {r.page_id: r for r in round_trip(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()}
+    assert set(got) == set(range(len(rows)))
+    for k, u, t, _ in rows:
+        assert (got[k].payload_bytes, got[k].payload_digest) == (len(t.encode()), b32(t))
+        assert got[k].url.strip() == u.replace("\r", "").replace("\n", "").strip()
+
+
+def test_a_long_page_changes_no_other_file(spark, tmp_path):
+    rows = [(k, "u", f"page {k}", "") for k in range(60)]
+    long = [(99, "u", "x" * (30 << 20), "")]
+    for name, data, files in (("few", rows, 1), ("more", rows + long, 2)):
+        write_archives(spark.createDataFrame(data, SCHEMA).coalesce(1), str(tmp_path / name))
+        assert len(list((tmp_path / name).glob("part-*"))) == files
+    assert read_archives(spark, str(tmp_path / "more")).count() == 61

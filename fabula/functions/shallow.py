@@ -83,9 +83,12 @@ def relations(chunked: DataFrame, by: list[str]) -> DataFrame:
     return v.select(*by, "chunk", F.col("head").alias("verb"), F.when(F.col("pk") == "NP", F.col("ph")).alias("subject"), F.when(F.col("nk") == "NP", F.col("nh")).alias("object"))
 
 
-# Fixed values: (pattern, replacement) in order; the first that fits is taken.
-PLURAL = [("(quiz)$", "$1zes"), ("^(ox)$", "$1en"), ("(m|l)ouse$", "$1ice"), ("(matr|vert)(ix|ex)$", "$1ices"), ("(x|ch|ss|sh)$", "$1es"), ("([^aeiou]|qu)y$", "$1ies"), ("(?:([^f])fe|([lr])f)$", "$1$2ves"), ("sis$", "ses"), ("(man)$", "men"), ("(child)$", "$1ren"), ("s$", "s"), ("$", "s")]
-SINGULAR = [("(quiz)zes$", "$1"), ("^(ox)en$", "$1"), ("(m|l)ice$", "$1ouse"), ("(x|ch|ss|sh)es$", "$1"), ("([^aeiou]|qu)ies$", "$1y"), ("([lr])ves$", "$1f"), ("([^f])ves$", "$1fe"), ("(analy|ba|diagno|the)ses$", "$1sis"), ("men$", "man"), ("(child)ren$", "$1"), ("([^s])s$", "$1")]
+#: Irregular nouns, and nouns in -f or -fe that take -ves; both can be given.
+IRREGULAR = {"child": "children", "foot": "feet", "goose": "geese", "louse": "lice", "man": "men", "mouse": "mice", "ox": "oxen", "person": "people", "quiz": "quizzes", "tooth": "teeth", "woman": "women"}
+VES = ("calf", "elf", "half", "knife", "leaf", "life", "loaf", "self", "shelf", "thief", "wife", "wolf")
+#: Nouns that only look like compounds of those.
+REGULAR = ("german", "human", "mongoose", "roman", "shaman", "talisman")
+SAME = ("deer", "fish", "series", "sheep", "species")
 
 
 def rewrite(word: Column, rules: list[tuple[str, str]]) -> Column:
@@ -96,12 +99,47 @@ def rewrite(word: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
-def plural(word: Column) -> Column:
-    return rewrite(word, PLURAL)
-
-
-def singular(word: Column) -> Column:
-    return rewrite(word, SINGULAR)
+def listed(word: Column, pairs: dict[str, str]) -> Column:
+    """The entry of the word, or of the longest entry that the word ends in:
+    ``workman`` goes with ``man``, but ``box`` not with ``ox``. Null where
+    there is none."""
+    out = F.lit(None).cast("string")
+    for one in sorted(pairs, key=lambda x: (len(x), x)):
+        stem = F.substr(word, F.lit(1), F.length(word) - len(one))
+        hit = F.endswith(word, F.lit(one)) if min(len(one), len(pairs[one])) > 2 else word == one
+        out = F.when(hit, F.concat(stem, F.lit(pairs[one]))).otherwise(out)
+    regular = [*REGULAR, *[w + "s" for w in REGULAR]]
+    return F.when(~word.isin(*regular), out)
+
+
+def plural(word: Column, irregular: dict[str, str] | None = None) -> Column:
+    """Plural of a lower-case noun (STR14). Spelling decides what is not
+    listed: -es behind a hiss, -ies for a y behind a consonant, -ses for -sis."""
+    known = IRREGULAR if irregular is None else irregular
+    ves = {w: w.removesuffix("e").removesuffix("f") + "ves" for w in VES}
+    regular = (
+        F.when(word.isin(*SAME), word)
+        .when(word.rlike("[sx]is$"), F.regexp_replace(word, "is$", "es"))
+        .when(word.rlike("(s|x|z|ch|sh)$"), F.concat(word, F.lit("es")))
+        .when(word.rlike("([^aeiou]|qu)y$"), F.regexp_replace(word, "y$", "ies"))
+        .otherwise(F.concat(word, F.lit("s")))
+    )
+    return F.coalesce(listed(word, known | ves), regular)
+
+
+def singular(word: Column, irregular: dict[str, str] | None = None) -> Column:
+    """Singular of a lower-case plural (STR14), the same spelling backwards."""
+    known = IRREGULAR if irregular is None else irregular
+    back = {v: k for k, v in known.items()} | {w.removesuffix("e").removesuffix("f") + "ves": w for w in VES}
+    regular = (
+        F.when(word.isin(*SAME) | word.rlike("(ss|us|is)$"), word)
+        .when(word.rlike("[^aeiou]ies$") & (F.length(word) > 4), F.regexp_replace(word, "ies$", "y"))
+        .when(word.rlike("(x|ch|sh|ss|zz)es$"), F.regexp_replace(word, "es$", ""))
+        .when(word.rlike("(aly|the|cri|agno|^oa|^ba)ses$"), F.regexp_replace(word, "es$", "is"))
+        .when(word.rlike("s$") & (F.length(word) > 2), F.regexp_replace(word, "s$", ""))
+        .otherwise(word)
+    )
+    return F.coalesce(listed(word, back), regular)
 
 
 def lemma(word: Column, tag: Column) -> Column:

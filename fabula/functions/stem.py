@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 WHOLE = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
 UNCHANGED = {"sky", "news", "howe", "atlas", "cosmos", "bias", "andes"}
 AFTER_1A = {"inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"}
-STEP2 = "ization:ize ational:ate fulness:ful ousness:ous iveness:ive tional:tion biliti:ble lessli:less entli:ent ation:ate alism:al aliti:al ousli:ous iviti:ive fulli:ful enci:ence anci:ance abli:able izer:ize ator:ate alli:al bli:ble".split()
-STEP3 = "ational:ate tional:tion alize:al icate:ic iciti:ic ical:ic ness: ful:".split()
+STEP2 = [("ization", "ize"), ("ational", "ate"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("tional", "tion"), ("biliti", "ble"), ("lessli", "less"), ("entli", "ent"), ("ation", "ate"), ("alism", "al"), ("aliti", "al"), ("ousli", "ous"), ("iviti", "ive"), ("fulli", "ful"), ("enci", "ence"), ("anci", "ance"), ("abli", "able"), ("izer", "ize"), ("ator", "ate"), ("alli", "al"), ("bli", "ble")]
+STEP3 = [("ational", "ate"), ("tional", "tion"), ("alize", "al"), ("icate", "ic"), ("iciti", "ic"), ("ical", "ic"), ("ness", ""), ("ful", "")]
 STEP4 = "ement ance ence able ible ment ant ent ism ate iti ous ive ize al er ic".split()
 V = "aeiouy"
 
@@ -69,7 +69,7 @@ def stem(word: str) -> str:
 
     def swap(table: list[str], w: str) -> str:
         for row in table:
-            end, _, to = row.partition(":")
+            end, to = row
             if w.endswith(end):
                 return w[: -len(end)] + to if len(w) - len(end) >= r1 else w
         if table is STEP2:

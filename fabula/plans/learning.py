@@ -6,10 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from fabula.operators import bow, classify, cluster
+from fabula.functions import text as T
+from fabula.operators import bow, classify, cluster, trees
 from fabula.plans.registry import query
-from fabula.plans.words import TERMS
-from fabula.session import table
+from fabula.plans.words import TERMS, WORDS
+from fabula.session import table, written
 
 NEAR = """q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHERE vec_id % 20 = 0), r AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS b FROM embeddings),
 n AS (SELECT query, vec_id, label, round(list_cosine_similarity(a, b), 6) AS similarity FROM q JOIN r ON query <> vec_id),
@@ -137,3 +138,27 @@ def perceptron_predictions(spark, sf_dir):
         return pd.Series(np.array(names)[(np.hstack([x, np.ones((len(x), 1))]) @ w.T).argmax(1)])
 
     return e.select("vec_id", "label", guess("embedding").alias("predicted"))
+
+
+@query(
+    "gain_tree_quality",
+    f"""WITH y AS (SELECT doc_id, max(quality)::VARCHAR AS y FROM labels SEMI JOIN documents USING (doc_id) WHERE quality IS NOT NULL GROUP BY 1), t AS (SELECT DISTINCT doc_id, unnest({WORDS}) AS term FROM documents),
+    s AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (y = '1')::DOUBLE AS p FROM y), c AS (SELECT term, count(*)::DOUBLE AS n1, count(*) FILTER (y = '1')::DOUBLE AS p1 FROM t JOIN y USING (doc_id) GROUP BY 1),
+    e AS (SELECT term, n1, [n1 / n, p / n, p1 / n1, (p - p1) / (n - n1)] AS q, n FROM c, s WHERE n1 >= 10 AND n - n1 >= 10),
+    h AS (SELECT term, n1 / n AS w, list_transform(q, lambda x: CASE WHEN x <= 0 OR x >= 1 THEN 0 ELSE -x * log2(x) - (1 - x) * log2(1 - x) END) AS h FROM e),
+    f AS (SELECT term, row_number() OVER (ORDER BY round((h[2] - w * h[3] - (1 - w) * h[4]) / h[1], 9) DESC, term) AS r FROM h QUALIFY r <= 8),
+    b AS (SELECT d.doc_id, string_agg(CASE WHEN t.term IS NULL THEN '0' ELSE '1' END, '' ORDER BY r) AS bits FROM documents d CROSS JOIN f LEFT JOIN t ON t.doc_id = d.doc_id AND t.term = f.term WHERE r <= 7 GROUP BY 1),
+    x AS (SELECT doc_id, y, k, left(bits, k) AS node FROM b JOIN y USING (doc_id), range(0, 8) z(k)), g AS (SELECT node, y, count(*) AS n FROM x GROUP BY 1, 2),
+    m AS (SELECT node, y AS class FROM g QUALIFY row_number() OVER (PARTITION BY node ORDER BY n DESC, y) = 1),
+    o AS (SELECT DISTINCT x.node FROM x JOIN m ON m.node = left(x.node, x.k - 1) WHERE x.k > 0 AND x.y <> m.class),
+    u AS (SELECT b.doc_id, k, m.node, m.class, bool_and(k = 0 OR o.node IS NOT NULL) OVER (PARTITION BY b.doc_id ORDER BY k) AS fine FROM b, range(0, 8) z(k) LEFT JOIN o ON o.node = left(b.bits, k) LEFT JOIN m ON m.node = left(b.bits, k))
+    SELECT doc_id, arg_max(class, k) AS predicted FROM u WHERE fine GROUP BY 1""",
+)
+def gain_tree_quality(spark, sf_dir):
+    """Quality of all documents by presence tests on eight words, in order of
+    gain ratio (CLS9); learnt on the labelled ones."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    y = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").cast("string").alias("y"))
+    d = docs.select("doc_id", T.words("text").alias("f")).join(y, "doc_id", "left")
+    stored = written(d.withColumn("f", F.array_distinct("f")), "words")
+    return trees.gain_tree(stored, stored, "y", "f", least=10, depth=8)[1].select("doc_id", "predicted")

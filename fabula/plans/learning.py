@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from fabula.functions import text as T
-from fabula.operators import bow, classify, cluster, trees
+from fabula.operators import agglomerate, bow, classify, cluster, trees
 from fabula.plans.registry import query
 from fabula.plans.words import TERMS, WORDS
 from fabula.session import table, written
@@ -162,3 +162,9 @@ def gain_tree_quality(spark, sf_dir):
     d = docs.select("doc_id", T.words("text").alias("f")).join(y, "doc_id", "left")
     stored = written(d.withColumn("f", F.array_distinct("f")), "words")
     return trees.gain_tree(stored, stored, "y", "f", least=10, depth=8)[1].select("doc_id", "predicted")
+
+
+@query("embedding_merges")
+def embedding_merges(spark, sf_dir):
+    """The merge tree of the vectors whose id is divisible by 20 (CLU2)."""
+    return agglomerate.merge_tree(table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0"), "vec_id", "embedding").withColumn("cost", F.round("cost", 6))

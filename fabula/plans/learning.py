@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from fabula.functions import text as T
-from fabula.operators import agglomerate, bow, classify, cluster, trees
+from fabula.operators import agglomerate, bow, classify, cluster, semantics, trees
 from fabula.plans.registry import query
 from fabula.plans.words import TERMS, WORDS
 from fabula.session import table, written
@@ -168,3 +168,16 @@ def gain_tree_quality(spark, sf_dir):
 def embedding_merges(spark, sf_dir):
     """The merge tree of the vectors whose id is divisible by 20 (CLU2)."""
     return agglomerate.merge_tree(table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0"), "vec_id", "embedding").withColumn("cost", F.round("cost", 6))
+
+
+@query("latent_turns")
+def latent_turns(spark, sf_dir):
+    """How alike neighbouring turns of a conversation are in the space of four
+    latent directions of their words (CLU3)."""
+    c = table(spark, sf_dir, "conversations")
+    key = F.concat_ws("-", "conv_id", "turn")
+    cells = c.select(key.alias("doc"), F.explode(T.words("text")).alias("term")).groupBy("doc", "term").agg(F.log1p(F.count(F.lit(1))).alias("w"))
+    docs, _, _ = semantics.latent(cells, 4, more=4, rounds=8)
+    one = c.select("conv_id", "turn", key.alias("doc")).join(docs, "doc")
+    two = one.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("latent").alias("after"))
+    return one.join(two, ["conv_id", "turn"]).select("conv_id", "turn", F.round(semantics.cosine(F.col("latent"), F.col("after")), 4).alias("similarity"))

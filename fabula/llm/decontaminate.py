@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fabula.llm.names import unused
 from fabula.session import written
 
 WORD = re.compile(r"\w+")
@@ -166,21 +167,22 @@ def match_column(index: ItemIndex, text: str) -> Column:
     return find(F.col(text))
 
 
-def find_matches(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` with a column ``_matches`` of the items each text holds.
+def find_matches(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS, into: str = "_matches") -> DataFrame:
+    """``docs`` with a column ``into`` of the items each text holds, in place of
+    an input column of that name. Texts of any length count whole.
 
     Null and empty texts hold nothing; items without a word or without an id
     are found nowhere; two items with one id are two items. A benchmark of
     more than ``block_chars`` is taken in blocks, a pass over the documents
     for each, written between passes.
     """
-    out = docs.drop("_matches").withColumn("_matches", F.array().cast(MATCHES))
+    out = docs.drop(into).withColumn(into, F.array().cast(MATCHES))
     for n, block in enumerate(blocks(items, item_key, item_text, block_chars)):
         if n:
             out = written(out, "matches")
         index = ItemIndex(block, threshold)
         found = match_column(index, text)
-        out = out.withColumn("_matches", found if n == 0 else F.concat("_matches", found))
+        out = out.withColumn(into, found if n == 0 else F.concat(into, found))
     return out
 
 
@@ -194,5 +196,7 @@ def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that hold no item, with their columns as they were."""
-    return find_matches(docs, items, **options).where(F.size("_matches") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that hold no item, with their columns as they were,
+    whatever their names."""
+    (into,) = unused(docs.columns, "_matches")
+    return find_matches(docs, items, into=into, **options).where(F.size(into) == 0).drop(into)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from fabula.llm.names import unused
 from fabula.session import new_folder, shuffles_dropped
 
 LAW = "rows"
@@ -50,19 +51,19 @@ def shuffle_into_shards(
     ``seed`` alone, not on how the input was partitioned. Null keys and texts
     are rows like any other; rows with equal key and text are interchangeable;
     an empty table gives an empty one; an input column named size, shard or
-    slot is replaced, one named like the inner ``_fabula_bucket`` may not be
-    there. Texts of any length are moved whole. A bucket holds ``bucket_bytes`` on average, whatever the
+    slot is replaced, all others stay, whatever their names. Texts of any length are moved whole. A bucket holds ``bucket_bytes`` on average, whatever the
     input's size, and one task at a time works on one bucket.
     """
     base = docs.drop("size", "shard", "slot").withColumn("size", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1)
     total, n = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(1, math.ceil(total / bucket_bytes))
+    (in_bucket,) = unused(base.columns, "_fabula_bucket")
     scattered = base.withColumn(
-        "_fabula_bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), F.lit(buckets)).cast("int")
+        in_bucket, F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), F.lit(buckets)).cast("int")
     )
-    counts = scattered.groupBy("_fabula_bucket").count()
-    before = Window.orderBy("_fabula_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
-    starts = counts.select("_fabula_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    counts = scattered.groupBy(in_bucket).count()
+    before = Window.orderBy(in_bucket).rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    starts = counts.select(in_bucket, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     names = base.columns
 
     def second_pass(k: tuple, rows: pa.Table, start: pa.Table) -> pa.Table:
@@ -77,8 +78,8 @@ def shuffle_into_shards(
 
     out = base.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).schema
     # A partition per bucket, so that no task grows with the input.
-    dealt = scattered.repartition(buckets, "_fabula_bucket")
-    return dealt.groupBy("_fabula_bucket").cogroup(starts.groupBy("_fabula_bucket")).applyInArrow(second_pass, out)
+    dealt = scattered.repartition(buckets, in_bucket)
+    return dealt.groupBy(in_bucket).cogroup(starts.groupBy(in_bucket)).applyInArrow(second_pass, out)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fabula.llm.names import unused
 from fabula.operators.components import connected_components
 from fabula.session import written
 
@@ -271,21 +272,20 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", budget
     """One row of each group: that of the least key, and where several rows
     have this key, one of them (the least text of their least fingerprint).
     Rows without a key stay only where no row of their group has one, one of
-    them. Columns stay as they were."""
+    them. Columns stay as they were, whatever their names."""
+    own, of, print_, turn = unused(docs.columns, "_key", "_of", "_print", "_r")
     # Fingerprints are made twice, so that the texts need not move with them.
     # component_id is the group's least key; the head's rows are among those that have it.
     least = F.col(key).eqNullSafe(F.col("component_id"))
     groups = labelled_groups(docs, key=key, text=text, budget=budget).where(least)
-    rows = groups.groupBy("component", F.col("component_id").alias("_key"), F.col("fingerprint").alias("print")).agg(F.count(F.lit(1)).alias("n"))
-    heads = written(
-        rows.groupBy("component", "_key").agg(F.min("print").alias("_of"), F.min_by("n", "print").alias("n")).drop("component"), "heads"
-    )
-    marked = docs.withColumn("_print", F.lpad(F.lower(F.hex(fingerprint_column(text))), 16, "0"))
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_print") == F.col("_of"))
-    kept = marked.join(heads.where("n = 1"), same, "left_semi")
-    again = heads.where("n > 1")
+    rows = groups.groupBy("component", F.col("component_id").alias(own), F.col("fingerprint").alias("print")).agg(F.count(F.lit(1)).alias("n"))
+    heads = written(rows.groupBy("component", own).agg(F.min("print").alias(of), F.min_by("n", "print").alias("n")).drop("component"), "heads")
+    marked = docs.withColumn(print_, F.lpad(F.lower(F.hex(fingerprint_column(text))), 16, "0"))
+    same = F.col(key).eqNullSafe(F.col(own)) & (F.col(print_) == F.col(of))
+    kept = marked.join(heads.where("n = 1").drop("n"), same, "left_semi")
+    again = heads.where("n > 1").drop("n")
     if not again.isEmpty():
-        first = Window.partitionBy(key, "_print").orderBy(F.col(text).asc_nulls_first())
-        repeated = marked.join(again, same, "left_semi").withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+        first = Window.partitionBy(key, print_).orderBy(F.col(text).asc_nulls_first())
+        repeated = marked.join(again, same, "left_semi").withColumn(turn, F.row_number().over(first)).where(F.col(turn) == 1).drop(turn)
         kept = kept.unionByName(repeated)
-    return kept.drop("_print")
+    return kept.drop(print_)

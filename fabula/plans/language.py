@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fabula.functions import shallow
 from fabula.functions import text as T
-from fabula.operators import lexicon, spans, templates
+from fabula.operators import lexicon, sequences, spans, templates
 from fabula.plans.registry import query
 from fabula.session import table
 
@@ -100,3 +101,31 @@ def role_templates(spark, sf_dir):
 def quoted_text(spark, sf_dir):
     q = spans.quoted(table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))))
     return q.select("doc_id", F.size("quotes").cast("long").alias("quotes"), F.length("plain").cast("long").alias("plain_length"))
+
+
+@query("tidied_turns", r"SELECT conv_id, turn, upper(left(t, 1)) || t[2:] AS text FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(trim(text, ' '), '[ \t\n\r\f\v]+', ' ', 'g'), ' ([.,!?;:])', '\1', 'g') AS t FROM conversations WHERE text IS NOT NULL)")
+def tidied_turns(spark, sf_dir):
+    """Turns with a capital first, single blanks and none before marks (STR21)."""
+    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", templates.tidy(F.col("text")).alias("text"))
+
+
+@query("number_words", "SELECT p_partkey, (p_size * 1000 + p_size)::DOUBLE AS value FROM part")
+def number_words(spark, sf_dir):
+    """Sizes written out, twice in one number, and read again (STR20)."""
+    size = F.col("p_size")
+    small = F.get(F.array(*map(F.lit, shallow.ONES)), F.least(size, F.lit(19)))
+    tens = F.get(F.array(*map(F.lit, shallow.TENS)), F.floor(size / 10).cast("int") - 2)
+    written = F.when(size < 20, small).when(size % 10 == 0, tens).otherwise(F.concat_ws("-", tens, F.get(F.array(*map(F.lit, shallow.ONES)), size % 10)))
+    text = F.concat(F.initcap(written), F.lit(" thousand and "), written)
+    return table(spark, sf_dir, "part").select("p_partkey", shallow.number(text).alias("value"))
+
+
+@query(
+    "allowed_events",
+    "WITH e AS (SELECT event_type AS label, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS state FROM events) SELECT state, string_agg(DISTINCT label, ',' ORDER BY label) AS allowed FROM e WHERE state IS NOT NULL GROUP BY 1",
+)
+def allowed_events(spark, sf_dir):
+    """The automaton that all users' event sequences make: what may follow (SEQ4)."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("label"), F.lag("event_type").over(w).alias("state")).where("state is not null")
+    return sequences.allowed_next(e)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fabula.functions import probability
+
 
 def boxplot(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Minimum, quartiles (linear interpolation) and maximum (AGG33)."""
@@ -69,19 +71,7 @@ def chi_squared(df: DataFrame, row: str, col: str) -> DataFrame:
 
 def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Two-tailed p of a 2x2 table: tables as likely or less, margins fixed."""
-    n = a + b + c + d
-
-    def log_factorial(x: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(0), x.cast("int")), F.lit(0.0), lambda s, i: s + F.when(i > 0, F.log(i.cast("double"))).otherwise(0.0))
-
-    def log_p(x: Column) -> Column:
-        parts = [log_factorial(k) for k in (x, a + b - x, a + c - x, d - a + x)]
-        return fixed - parts[0] - parts[1] - parts[2] - parts[3]
-
-    fixed = log_factorial(a + b) + log_factorial(c + d) + log_factorial(a + c) + log_factorial(b + d) - log_factorial(n)
-    own = log_p(a)
-    tables = F.sequence(F.greatest(F.lit(0), a - d).cast("int"), F.least(a + b, a + c).cast("int"))
-    return F.least(F.lit(1.0), F.aggregate(tables, F.lit(0.0), lambda s, x: s + F.when(log_p(x) <= own + 1e-9, F.exp(log_p(x))).otherwise(0.0)))
+    return probability.p_value(probability.fisher_p, a, b, c, d)
 
 
 def ks_distance(df: DataFrame, side: str, value: str, first, second) -> DataFrame:

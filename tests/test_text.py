@@ -83,3 +83,20 @@ def test_probabilities(spark):
     assert P.kolmogorov_p(0.5, 100, 100) < 1e-8 and P.kolmogorov_p(0.01, 100, 100) == 1.0
     d = spark.createDataFrame([(1.44, 1), (None, 1)], "x double, df int")
     assert [r.p for r in d.select(P.p_value(P.chi_squared_p, "x", "df").alias("p")).collect()] == [pytest.approx(0.2301, abs=1e-4), None]
+
+
+def test_fisher_p():
+    from math import comb
+
+    from fabula.functions import probability as P
+
+    def exact(a, b, c, d):
+        ways = [(k, comb(a + b, k) * comb(c + d, a + c - k)) for k in range(max(0, a - d), min(a + b, a + c) + 1)]
+        own = dict(ways)[a]
+        return sum(w for _, w in ways if w <= own) / sum(w for _, w in ways)
+
+    for t in [(1, 9, 11, 3), (0, 0, 0, 0), (5, 0, 0, 5), (0, 7, 2, 3), (300, 310, 290, 330), (40, 2, 3, 60)]:
+        assert P.fisher_p(*map(float, t)) == pytest.approx(exact(*t), rel=1e-9)
+    # Margins of millions: few tables count, and mirrored ones are as likely.
+    assert P.fisher_p(3e6, 3e6, 3e6, 3e6) == 1.0
+    assert P.fisher_p(3_001_000.0, 2_999_000.0, 2_999_000.0, 3_001_000.0) == pytest.approx(0.2483, abs=1e-3)

@@ -138,20 +138,31 @@ def by_context(tokens: DataFrame, rules: list[str], by: list[str], order: str) -
 LINK = r"^(http://|www\..*\.(com|org|net|edu|de|uk)$|[\w.+-]+@(\w[\w-]+\.)+[\w-]+$)"
 
 
+#: Up to so many sizes of names every token is looked up for each, else for those of its word.
+FEW_SIZES = 4
+
+
 def with_entities(tokens: DataFrame, entities: DataFrame, by: list[str], order: str, tag: str = "NNP") -> DataFrame:
     """``tokens`` with the tags of named entities. ``entities``: name, of one
     or more words, and kind (may be null). From left to right the longest name
     that starts at a token is taken, of equally long ones the one of the least
     kind; names don't overlap. Its tokens get ``tag``, unless theirs begins
     with it, and ``-KIND``. Links and mail addresses get ``tag`` alone. Names
-    are looked up by their first word, then compared as arrays."""
+    are looked up as arrays, once for each size that names have."""
     names = entities.select(F.split(F.lower(F.trim("name")), r"\s+").alias("_e"), F.upper("kind").alias("_kind")).where(F.element_at("_e", 1) != "").distinct()
-    most = names.agg(F.max(F.size("_e"))).first()[0] or 1
+    sizes = sorted(r[0] for r in names.select(F.size("_e")).distinct().collect()) or [1]  # how many words names have
     w = Window.partitionBy(*by).orderBy(order, "token", "tag")
     low = F.lower(F.coalesce("token", F.lit("")))
-    t = tokens.withColumn("_n", F.row_number().over(w)).withColumn("_ahead", F.collect_list(low).over(w.rowsBetween(0, most - 1)))
-    keyed = names.select(F.col("_e")[0].alias("_first"), "_e", "_kind")
-    at = t.select(*by, "_n", "_ahead").join(keyed, F.col("_ahead")[0] == F.col("_first")).where(F.slice("_ahead", 1, F.size("_e")) == F.col("_e"))
+    t = tokens.withColumn("_n", F.row_number().over(w)).withColumn("_ahead", F.collect_list(low).over(w.rowsBetween(0, sizes[-1] - 1)))
+    # Whole names meet: a first word can be that of most names and of most places.
+    ahead = t.where(F.col("_ahead")[0] != "").select(*by, "_n", "_ahead")
+    if len(sizes) > FEW_SIZES:
+        of = names.groupBy(F.col("_e")[0].alias("_first")).agg(F.collect_set(F.size("_e")).alias("_sizes"))  # at most a number for each size
+        ahead = ahead.join(of, F.col("_ahead")[0] == F.col("_first"))
+    else:
+        ahead = ahead.withColumn("_sizes", F.array(*map(F.lit, sizes)))
+    heads = ahead.select(*by, "_n", "_ahead", F.explode("_sizes").alias("_size")).where(F.size("_ahead") >= F.col("_size"))
+    at = heads.select(*by, "_n", F.slice("_ahead", 1, F.col("_size")).alias("_e")).join(names, "_e")
     best = at.groupBy(*by, "_n").agg(F.min(F.struct((-F.size("_e")).alias("size"), F.col("_kind").alias("kind"))).alias("b"))
     spans = best.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), (-F.col("b.size")).alias("size"), F.col("b.kind").alias("kind")))).alias("_spans"))  # a sentence's names
     # The fold keeps the spans that begin behind the last one kept.

@@ -177,3 +177,19 @@ def test_entities_longest_first_without_overlap(spark):
     assert got[2] == [None, "NNP-PERS"]
     assert got[1] == ["NNP-PERS"] * 3 + ["NN", "NN", "NNP-PERS", "NN", "NNP-LOC", "NNP-LOC", "NNP-LOC", "NN", "NNP-X-LOC", "NN", "NNP", "NNP", "NNP", "NNP", "NNP-PERS", "NN"]
     assert T.with_entities(frame(spark, data), entities.limit(0), ["s"], "idx").count() == len(data[1]) + 2
+
+
+def test_names_of_many_sizes(spark, monkeypatch):
+    """Names meet their places as a whole: the first word can be a common one."""
+    text = "the a b the a the a b c d the x the a b c".split()
+    rows = spark.createDataFrame([(1, i, w, "LOW") for i, w in enumerate(text)], "s long, idx int, token string, tag string")
+    names = ["the a", "the a b c", "the a b c d e", "the x", "c", "the a b c d"]
+    entities = spark.createDataFrame([(n, "loc") for n in names], "name string, kind string")
+    named = []
+    for few in (0, 10):
+        monkeypatch.setattr(T, "FEW_SIZES", few)
+        got = T.with_entities(rows, entities, ["s"], "idx")
+        named.append([r.idx for r in got.where("tag = 'NNP-LOC'").orderBy("idx").collect()])
+    assert named[0] == named[1] == [0, 1, *range(3, 5), *range(5, 10), *range(10, 12), *range(12, 16)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, (_e" in plan and "[0] = _first" not in plan

@@ -10,8 +10,10 @@ from fabula.functions.text import words
 
 def term_counts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", stop: DataFrame | None = None, items: Column | None = None, least: int = 1, stemmer=None) -> DataFrame:
     """Counts of the terms of each document (BOW1). ``items`` replaces the
-    word split, ``stemmer`` maps a term column, ``stop`` has a column term."""
-    terms = docs.select(F.col(key), F.explode(words(text) if items is None else items).alias("term"))
+    word split, ``stemmer`` maps a term column, ``stop`` has a column term. The
+    texts are dealt by key, not their terms, so that what is counted, summed or
+    joined by key afterwards is in place."""
+    terms = docs.repartition(key).select(F.col(key), F.explode(words(text) if items is None else items).alias("term"))
     if stemmer is not None:
         terms = terms.withColumn("term", stemmer(F.col("term")))
     if stop is not None:
@@ -52,19 +54,25 @@ def l2_normalised(weights: DataFrame, key: str = "doc_id", weight: str = "weight
     return weights.join(norm, key).where("norm > 0").withColumn("w", F.col(weight) / F.col("norm")).select(key, "term", "w")
 
 
-def sparse_dot(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+def sparse_dot(left: DataFrame, right: DataFrame, left_key: str, right_key: str, block: bool = False) -> DataFrame:
     """Similarity of all pairs that share a term (JN12): an equi-join on the
-    term and a sum, so partial sums form before the pairs are shuffled."""
+    term and a sum, so partial sums form before the pairs are shuffled. With
+    ``block`` the left side is a block of queries, and the right one stays
+    where it is."""
     r = right.select(F.col(right_key), F.col("term"), F.col("w").alias("w2"))
-    return left.select(left_key, "term", "w").join(r, "term").groupBy(left_key, right_key).agg(F.sum(F.col("w") * F.col("w2")).alias("similarity"))
+    q = left.select(left_key, "term", "w")
+    return (F.broadcast(q) if block else q).join(r, "term").groupBy(left_key, right_key).agg(F.sum(F.col("w") * F.col("w2")).alias("similarity"))
 
 
-def overlap_share(left: DataFrame, right: DataFrame, left_key: str, right_key: str, weight=lambda gram: F.lit(1.0)) -> DataFrame:
+def overlap_share(left: DataFrame, right: DataFrame, left_key: str, right_key: str, weight=lambda gram: F.lit(1.0), block: bool = False) -> DataFrame:
     """Which share of the left text's distinct n-grams (by weight) the right
-    text has too (BOW10, JN11); column gram on both sides."""
-    lg, rg = left.select(left_key, "gram").distinct(), right.select(right_key, "gram").distinct()
+    text has too (BOW10, JN11); column gram on both sides. With ``block`` the
+    left side is a block of queries; then only n-grams that it has are made
+    distinct and shuffled."""
+    lg, r = left.select(left_key, "gram").distinct(), right.select(right_key, "gram")
     total = lg.groupBy(left_key).agg(F.sum(weight(F.col("gram"))).alias("total"))
-    hit = lg.join(rg, "gram").groupBy(left_key, right_key).agg(F.sum(weight(F.col("gram"))).alias("shared"))
+    met = r.join(F.broadcast(lg), "gram").distinct() if block else lg.join(r.distinct(), "gram")
+    hit = met.groupBy(left_key, right_key).agg(F.sum(weight(F.col("gram"))).alias("shared"))
     return hit.join(total, left_key).select(left_key, right_key, F.least(F.lit(1.0), F.col("shared") / F.col("total")).alias("share"))
 
 

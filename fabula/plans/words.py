@@ -98,7 +98,7 @@ def vector_space_search(spark, sf_dir):
     """Benchmark items as queries against all documents, cosine of counts."""
     d = bow.l2_normalised(terms(spark, sf_dir).withColumn("weight", F.col("n").cast("double")))
     q = bow.term_counts(table(spark, sf_dir, "benchmark"), key="item_id").withColumn("weight", F.col("n").cast("double"))
-    sim = bow.sparse_dot(bow.l2_normalised(q, "item_id"), d, "item_id", "doc_id").withColumn("similarity", F.round("similarity", 9))
+    sim = bow.sparse_dot(bow.l2_normalised(q, "item_id"), d, "item_id", "doc_id", block=True).withColumn("similarity", F.round("similarity", 9))
     best = bow.best_per(sim, "item_id", [F.desc("similarity"), F.asc("doc_id")], 5)
     return best.withColumn("rank", F.col("rank").cast("long"))
 

@@ -241,3 +241,26 @@ def test_generated_text_walks_the_table(spark):
                         at -= n
                     break
         assert got[i] == words
+
+
+def test_terms_are_shuffled_once(spark):
+    """Counts, norms and weights by key are where the texts were dealt."""
+    from fabula.operators import bow
+
+    docs = spark.createDataFrame([(1, "a b a c"), (2, "b b d"), (3, None), (1, "a z")], "doc_id long, text string").repartition(3)
+    n = bow.term_counts(docs)
+    assert {(r.doc_id, r.term): r.n for r in n.collect()} == {(1, "a"): 3, (1, "b"): 1, (1, "c"): 1, (1, "z"): 1, (2, "b"): 2, (2, "d"): 1}
+    plan = bow.l2_normalised(n.withColumn("weight", F.col("n").cast("double")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION") >= 1 and "ENSURE_REQUIREMENTS" not in plan.replace("hashpartitioning(term", "")
+
+
+def test_block_of_queries_gives_the_same(spark):
+    from fabula.operators import bow
+
+    q = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "c"), (3, "y")], "item_id long, gram string")
+    d = spark.createDataFrame([(7, "a"), (7, "a"), (7, "b"), (8, "c"), (8, "x"), (9, "z")], "doc_id long, gram string")
+    each = [sorted(map(tuple, bow.overlap_share(q, d, "item_id", "doc_id", block=b).collect())) for b in (False, True)]
+    assert each[0] == each[1] == [(1, 7, 1.0), (2, 8, 1.0)]
+    w = lambda df, k: df.distinct().select(k, F.col("gram").alias("term"), F.lit(0.5).alias("w"))
+    dots = [sorted(map(tuple, bow.sparse_dot(w(q, "item_id"), w(d, "doc_id"), "item_id", "doc_id", block=b).collect())) for b in (False, True)]
+    assert dots[0] == dots[1] == [(1, 7, 0.5), (2, 8, 0.25)]

@@ -117,7 +117,7 @@ GRAMS = "list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2]
 def overlap_vs_benchmark(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.ngrams(T.words("text"), 3)).alias("gram"))
     b = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.ngrams(T.words("text"), 3)).alias("gram"))
-    return bow.overlap_share(b, d, "item_id", "doc_id").where("share > 0.1").withColumn("share", F.round("share", 9))
+    return bow.overlap_share(b, d, "item_id", "doc_id", block=True).where("share > 0.1").withColumn("share", F.round("share", 9))
 
 
 @query(

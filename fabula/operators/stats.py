@@ -9,9 +9,12 @@ from fabula.functions import probability
 
 
 def boxplot(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Minimum, quartiles (linear interpolation) and maximum (AGG33)."""
-    at = [F.percentile(value, p).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
-    return df.groupBy(*by).agg(F.min(value).alias("low"), *at, F.max(value).alias("high"))
+    """Minimum, quartiles (linear interpolation) and maximum (AGG33). Equal
+    values are counted first, so that one task reads each distinct value of a
+    group once, not once from every task that saw it."""
+    counted = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_often"))
+    at = [F.percentile(value, p, F.col("_often")).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
+    return counted.groupBy(*by).agg(F.min(value).alias("low"), *at, F.max(value).alias("high"))
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:

@@ -264,3 +264,10 @@ def test_block_of_queries_gives_the_same(spark):
     w = lambda df, k: df.distinct().select(k, F.col("gram").alias("term"), F.lit(0.5).alias("w"))
     dots = [sorted(map(tuple, bow.sparse_dot(w(q, "item_id"), w(d, "doc_id"), "item_id", "doc_id", block=b).collect())) for b in (False, True)]
     assert dots[0] == dots[1] == [(1, 7, 0.5), (2, 8, 0.25)]
+
+
+def test_boxplot_counts_values_first(spark):
+    d = spark.createDataFrame([("x", float(k % 3)) for k in range(9)] + [("x", None), ("y", None)], "g string, v double")
+    b = {r.g: tuple(r)[1:] for r in stats.boxplot(d, ["g"], "v").collect()}
+    assert b == {"x": (0.0, 0.0, 1.0, 2.0, 2.0), "y": (None,) * 5}
+    assert "percentile(v" in (plan := stats.boxplot(d, ["g"], "v")._jdf.queryExecution().optimizedPlan().toString()) and plan.count("Aggregate [") == 2

@@ -74,9 +74,9 @@ def centroid_distances(spark, sf_dir):
 
 @query("nb_cross_validation")
 def nb_cross_validation(spark, sf_dir):
-    terms = bow.term_counts(table(spark, sf_dir, "documents"))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    return classify.cross_validate(terms, labels, 3)
+    docs = table(spark, sf_dir, "documents").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    return classify.cross_validate(bow.term_counts(docs), labels, 3)
 
 
 @query("embedding_clusters")

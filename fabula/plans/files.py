@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fabula.plans.registry import query
-from fabula.session import new_folder, table
+from fabula.session import new_folder, table, written
 from fabula.sources import formats, readers, standoff, writers
 
 #: Token ids: a turn's are from 100,000 times its number on.
@@ -35,13 +35,19 @@ WORDS = f"""c AS (SELECT conv_id::VARCHAR AS doc_id, turn::BIGINT AS turn, coale
 
 
 def written_standoff(*layers: DataFrame) -> DataFrame:
-    """The layers through the format; each goes to files of its own."""
+    """The layers through the format; each goes to files of its own. The files
+    are parsed once, into a table of which each layer is a scan."""
     spark = layers[0].sparkSession
     formats.register(spark)
     path = new_folder(spark, "standoff")
     for k, rows in enumerate(layers):
         rows.write.format("standoff").mode("append" if k else "overwrite").save(path)
-    return spark.read.format("standoff").load(path)
+    return written(spark.read.format("standoff").load(path), "layers")
+
+
+def kept_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words as a table, for queries that write several layers of them."""
+    return written(words(spark, sf_dir), "words")
 
 
 def token_layer(w: DataFrame) -> DataFrame:
@@ -61,7 +67,7 @@ def sentence_layer(w: DataFrame) -> DataFrame:
 )
 def standoff_tokens(spark, sf_dir):
     """Tokens, tags and stems in layers of their own (SRC9, SRC10, SNK1)."""
-    w = words(spark, sf_dir).where(F.col("word").rlike("^[A-Za-z]+$"))
+    w = kept_words(spark, sf_dir).where(F.col("word").rlike("^[A-Za-z]+$"))
     tagged = w.where("k % 3 <> 2")
     tag = F.when(F.col("word").rlike("^[A-Z]"), "NN").otherwise("VB")
     one = lambda df, id, value: df.select("doc_id", id.alias("id"), "offset", F.length("word").alias("len"), value.alias("value"))
@@ -81,7 +87,7 @@ def standoff_tokens(spark, sf_dir):
 def standoff_mentions(spark, sf_dir):
     """Sentences, mentions of one or two words and coreference groups of equal
     names, through their layers (SRC11 to SRC13)."""
-    w = words(spark, sf_dir)
+    w = kept_words(spark, sf_dir)
     most = F.max("k").over(Window.partitionBy("doc_id", "turn"))
     m = w.withColumn("most", most).where(F.col("word").rlike("^[A-Z][a-z]+$"))
     ids = F.when(F.col("k") < F.col("most"), F.concat_ws("~", F.col("token_id").cast("string"), (F.col("token_id") + 1).cast("string"))).otherwise(F.col("token_id").cast("string"))
@@ -122,7 +128,7 @@ def standoff_functions(spark, sf_dir):
 def standoff_senses(spark, sf_dir):
     """Noun senses of mentions (SRC14): every third word has a sense, some are
     collocations of two words; verbs and words without a sense are passed over."""
-    w = words(spark, sf_dir).withColumn("most", F.max("k").over(Window.partitionBy("doc_id", "turn")))
+    w = written(words(spark, sf_dir).withColumn("most", F.max("k").over(Window.partitionBy("doc_id", "turn"))), "words")
     number = F.lpad(F.col("k").cast("string"), 8, "0")
     noun = F.concat(F.lit("WID-"), number, F.lit("-N-01-"), F.col("k").cast("string"))
     pair = (F.col("k") % 3 == 0) & (F.col("token_id") % 6 == 0) & (F.col("k") < F.col("most"))
@@ -147,7 +153,7 @@ def standoff_senses(spark, sf_dir):
 def standoff_roles(spark, sf_dir):
     """Verb roles that point into parse trees (SRC16, SRC44): (S (NP w w) (VP w w ..)),
     roles by leaf and levels up."""
-    w = words(spark, sf_dir)
+    w = kept_words(spark, sf_dir)
     s = w.groupBy("doc_id", "turn", "start", "size").agg(F.count(F.lit(1)).alias("n")).where("n > 3")
     leaves = lambda a, b, tag: F.array_join(F.transform(F.sequence(a, b), lambda k: F.concat(F.lit(f"({tag} w"), k.cast("string"), F.lit(")"))), " ")
     tree = F.concat(F.lit("(S (NP "), leaves(F.lit(0), F.lit(1), "NN"), F.lit(")\n (VP "), leaves(F.lit(2), F.col("n").cast("int") - 1, "VB"), F.lit("))"))

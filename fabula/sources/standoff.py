@@ -108,17 +108,25 @@ def tree_nodes(text: str | None) -> list[dict]:
     return out
 
 
-def parse_nodes(rows: DataFrame) -> DataFrame:
-    """doc_id, sentence_id, node, last, depth, first_leaf, end_leaf, label of
-    parse strings, which belong to the sentence of their offset (SRC44)."""
+def sentence_trees(rows: DataFrame) -> DataFrame:
+    """doc_id, sentence_id and the nodes of a parse string, which belongs to
+    the sentence of its offset (SRC44). The strings are dealt out before they
+    are parsed: they are few bytes, of which Spark makes few tasks."""
 
     @F.pandas_udf(ArrayType(NODE))
     def nodes(texts: pd.Series) -> pd.Series:
         return texts.map(tree_nodes)
 
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     s = layer(rows, "sentence").groupBy("doc_id", "offset").agg(F.min("id").alias("sentence_id"))
-    p = layer(rows, "parse").join(s, ["doc_id", "offset"])
-    return p.select("doc_id", "sentence_id", F.explode(nodes("value")).alias("n")).select("doc_id", "sentence_id", "n.*")
+    p = layer(rows, "parse").join(s, ["doc_id", "offset"]).select("doc_id", "sentence_id", "value").repartition(parts, "doc_id", "sentence_id")
+    return p.select("doc_id", "sentence_id", nodes("value").alias("nodes"))
+
+
+def parse_nodes(rows: DataFrame) -> DataFrame:
+    """doc_id, sentence_id, node, last, depth, first_leaf, end_leaf, label of
+    parse strings."""
+    return sentence_trees(rows).select("doc_id", "sentence_id", F.explode("nodes").alias("n")).select("doc_id", "sentence_id", "n.*")
 
 
 def verb_roles(rows: DataFrame) -> DataFrame:
@@ -127,15 +135,17 @@ def verb_roles(rows: DataFrame) -> DataFrame:
     what the ancestor ``up`` levels above a leaf's own node spans."""
     s = layer(rows, "sentence").groupBy("doc_id", "offset").agg(F.min("id").alias("sentence_id"))
     word = members(rows, "sentence").select("doc_id", F.col("id").alias("sentence_id"), F.col("k").alias("leaf"), "token_id")
+    trees = sentence_trees(rows).groupBy("doc_id", "sentence_id").agg(F.flatten(F.collect_list("nodes")).alias("nodes"))  # a sentence's nodes
     p = F.split("value", r"\s+")
-    r = layer(rows, "role").join(s, ["doc_id", "offset"]).select("doc_id", "sentence_id", F.col("id").alias("role_id"), p[0].cast("int").alias("verb"), F.get(p, F.lit(2)).alias("frame"), F.explode(F.slice(p, 5, 1 << 30)).alias("arg"))
+    r = layer(rows, "role").join(s, ["doc_id", "offset"]).join(trees.hint("merge"), ["doc_id", "sentence_id"])  # trees are larger than their bytes in a shuffle
+    r = r.select("doc_id", "sentence_id", F.col("id").alias("role_id"), p[0].cast("int").alias("verb"), F.get(p, F.lit(2)).alias("frame"), "nodes", F.explode(F.slice(p, 5, 1 << 30)).alias("arg"))
     a = F.split("arg", "-")
     suffix = F.get(a, F.lit(2))
     r = r.withColumn("label", F.concat(F.regexp_replace(a[1], "RG", ""), F.when(suffix != "", F.concat(F.lit("-"), suffix)).otherwise("")))
     r = r.withColumn("spot", F.explode(F.split(a[0], ","))).withColumn("leaf", F.split("spot", ":")[0].cast("int")).withColumn("up", F.split("spot", ":")[1].cast("int"))
-    over = parse_nodes(rows).select("doc_id", "sentence_id", "depth", "first_leaf", "end_leaf", F.explode(F.sequence("first_leaf", F.col("end_leaf") - 1)).alias("leaf")).where("end_leaf > first_leaf")
-    own = over.groupBy("doc_id", "sentence_id", "leaf").agg(F.max("depth").alias("own"))
-    at = r.join(own, ["doc_id", "sentence_id", "leaf"]).withColumn("depth", F.col("own") - F.col("up")).join(over, ["doc_id", "sentence_id", "leaf", "depth"])
+    r = r.withColumn("over", F.filter("nodes", lambda n: (n["first_leaf"] <= F.col("leaf")) & (F.col("leaf") < n["end_leaf"]))).drop("nodes")
+    own = F.array_max(F.transform("over", lambda n: n["depth"]))
+    at = r.withColumn("at", F.explode(F.filter("over", lambda n: n["depth"] == own - F.col("up")))).select("*", "at.first_leaf", "at.end_leaf")
     spanned = at.select("doc_id", "sentence_id", "role_id", "verb", "frame", "label", F.explode(F.sequence("first_leaf", F.col("end_leaf") - 1)).alias("leaf"))
     named = spanned.join(word, ["doc_id", "sentence_id", "leaf"]).groupBy("doc_id", "sentence_id", "role_id", "verb", "frame", "label").agg(F.array_sort(F.collect_set("token_id")).alias("token_ids"))  # a sentence's tokens
     verb = word.select("doc_id", "sentence_id", F.col("leaf").alias("verb"), F.col("token_id").alias("verb_token"))

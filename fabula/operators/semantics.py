@@ -47,11 +47,13 @@ def turned(block: DataFrame, key: str, m: np.ndarray) -> DataFrame:
 
 
 def orthonormal(block: DataFrame, key: str, b: int) -> tuple[DataFrame, int]:
-    """The block by an orthonormal one of the same span, and its width."""
+    """The block by an orthonormal one of the same span, and its width. The
+    product is made once; what turns it is a projection on that table."""
+    block = written(block, "block")
     values, vectors = np.linalg.eigh(gram(block, b))
     keep = values > max(values.max(initial=0.0), 0.0) * TINY
     m = vectors[:, keep] / np.sqrt(values[keep])
-    return written(turned(block, key, m), "block"), int(keep.sum())
+    return turned(block, key, m), int(keep.sum())
 
 
 def array_of(b: int, k: int) -> Column:
@@ -69,7 +71,8 @@ def latent(cells: DataFrame, k: int, *, doc: str = "doc", term: str = "term", we
     left out; a rank below k gives fewer directions. An empty table gives empty
     results."""
     clean = cells.select(F.col(doc).alias("doc"), F.col(term).alias("term"), F.col(weight).cast("double").alias("w")).where("doc is not null and term is not null and w is not null and not isnan(w)")
-    a = written(clean.groupBy("doc", "term").agg(F.sum("w").alias("w")).where("w <> 0"), "cells")
+    # Dealt by document, so that a document's products are summed where they are made.
+    a = written(clean.repartition("doc").groupBy("doc", "term").agg(F.sum("w").alias("w")).where("w <> 0"), "cells")
     b = k + more
     start = a.select("term").distinct().select("term", *[(F.xxhash64("term", F.lit(seed), F.lit(j)) / F.lit(2.0**63)).alias(c) for j, c in enumerate(columns(b))])
     block, b = orthonormal(start, "term", b)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fabula.operators import rules as R
 from fabula.plans.registry import query
-from fabula.session import new_folder, table
+from fabula.session import new_folder, table, written
 from fabula.sources import writers
 
 RULES = [
@@ -99,6 +99,7 @@ def rules_learnt(spark, sf_dir):
     often than not (SEQ16, SEQ17, SEQ19)."""
     tokens, gold = stream(spark, sf_dir)
     _, taught = R.extracted(tokens, gold)
-    known = R.loosened(taught)
-    out, _ = R.assigned(tokens, gold, R.table_of(known.select("rule").distinct()), known=known, method="bayes", least=0.5)
+    known = written(R.loosened(taught), "taught")
+    rules = written(R.table_of(known.select("rule").distinct()), "rules")
+    out, _ = R.assigned(tokens, gold, rules, known=known, method="bayes", least=0.5)
     return R.scores(out, gold)

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from fabula.operators import classify
+from fabula.operators import classify, rules, semantics
+from fabula.plans import files, queries
+from fabula.sources import standoff
 
 
 def counted(df, spark):
@@ -31,3 +33,43 @@ def test_folds_share_one_count_of_terms(spark):
         right = classify.best_class(s).withColumnRenamed("label", "guess").join(test, "doc_id")
         n, accuracy = right.agg(F.count(F.lit(1)), F.avg((F.col("guess") == F.col("label")).cast("double"))).first()
         assert got[f] == (n, accuracy)
+
+
+def small_layers(spark):
+    row = lambda name, value: standoff.as_layer(spark.createDataFrame([("d", 1, 0, 5, value)], "doc_id string, id long, offset long, len long, value string"), name)
+    return [row("sentence", "7~8~9"), row("parse", "(S (NP a b) (VP (VB c)))"), row("role", "2 user be.01 ----a 0:0-ARG0- 1:1,2:1-ARGM-ALL 2:9-ARG3-")]
+
+
+def test_layers_are_parsed_once(spark):
+    rows = files.written_standoff(*small_layers(spark))
+    assert rows.inputFiles() and all(f.endswith(".parquet") for f in rows.inputFiles())  # scans of a table, whatever the number of layers
+
+
+def test_trees_are_parsed_once_for_roles(spark):
+    roles = standoff.verb_roles(files.written_standoff(*small_layers(spark)))
+    plan = roles._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert {(r.label, *r.token_ids, r.verb_token) for r in roles.collect()} == {("A0", 7, 8, 9), ("AM-ALL", 7, 8, 9, 9)}
+
+
+def test_products_are_made_once(spark):
+    block, made = counted(spark.createDataFrame([(f"t{k}", float(k), 1.0 / (1 + k)) for k in range(20)], "term string, q0 double, q1 double"), spark)
+    turned, b = semantics.orthonormal(block, "term", 2)
+    g = semantics.gram(turned, b)
+    assert b == 2 and abs(g - [[1, 0], [0, 1]]).max() < 1e-9 and made.value == 20
+
+
+def test_rules_are_learnt_once(spark, sf, monkeypatch):
+    seen, loosened = [], rules.loosened
+
+    def once(taught):
+        df, made = counted(loosened(taught), spark)
+        seen.append(made)
+        return df
+
+    monkeypatch.setattr(rules, "loosened", once)
+    known = []
+    assigned = rules.assigned
+    monkeypatch.setattr(rules, "assigned", lambda *a, **b: known.append(b["known"]) or assigned(*a, **b))
+    queries()["rules_learnt"](spark, sf)
+    assert seen[0].value == known[0].count()

@@ -78,9 +78,9 @@ def information_content(counts: DataFrame) -> DataFrame:
 def flags(tokens: DataFrame, lists: DataFrame, by: list[str], names: list[str], word: str = "token") -> DataFrame:
     """1.0 for each named word list that a group's tokens touch (FEA2, FEA4,
     AGG41, AGG42). lists: word, list."""
-    hit = tokens.join(lists.withColumnRenamed("word", "_w"), F.lower(word) == F.col("_w"))
-    wide = hit.groupBy(*by).pivot("list", names).agg(F.max(F.lit(1.0)))
-    return tokens.select(*by).distinct().join(wide, by, "left").na.fill(0.0, names)
+    hit = tokens.join(lists.select(F.col("word").alias("_w"), F.col("list").alias("_list")), F.lower(word) == F.col("_w"), "left")
+    # One aggregate over the tokens: groups that touch no list come from the left join.
+    return hit.groupBy(*by).agg(*[F.max(F.when(F.col("_list") == n, 1.0).otherwise(0.0)).alias(n) for n in names])
 
 
 def assemble(features: DataFrame, by: list[str], names: list[str]) -> DataFrame:

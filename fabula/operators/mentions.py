@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabula.operators import linking
-from fabula.operators.components import connected_components
 
 
 def covering(mentions: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -195,12 +198,49 @@ def merged_by_head(mentions: DataFrame, mode: int = 0) -> DataFrame:
     key = F.explode(F.array_distinct("heads")) if mode == 2 else F.array_join("heads", "\n")
     keyed = single.select("doc_id", "grp", key.alias("key")).distinct()
     first = keyed.groupBy("doc_id", "key").agg(F.min("grp").alias("first"))  # a star, not all pairs
-    node = lambda g: F.struct(F.col("doc_id"), F.col(g).alias("grp"))
-    parts = connected_components(keyed.join(first, ["doc_id", "key"]).select(node("grp").alias("src"), node("first").alias("dst")))
-    to = parts.select(F.col("node.doc_id").alias("doc_id"), F.col("node.grp").alias("grp"), F.col("component.grp").alias("_to"))
+    edges = keyed.join(first, ["doc_id", "key"]).where("grp <> first").select("doc_id", "grp", "first").distinct()
+    dealt = edges.repartition("doc_id").sortWithinPartitions("doc_id")
+    kinds = dict(mentions.dtypes)
+    to = dealt.mapInPandas(merged_groups, f"doc_id {kinds['doc_id']}, grp {kinds['grp']}, _to {kinds['grp']}")
     return mentions.join(to, ["doc_id", "grp"], "left").withColumn("grp", F.coalesce("_to", "grp")).drop("_to")
 
 
+def merged_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """doc_id, grp and the least group that it reaches by edges (doc_id, grp,
+    first), which come document by document and never leave one. Holds a batch
+    and the edges of the document that it ends in."""
+
+    def solved(e: pd.DataFrame) -> pd.DataFrame:
+        nodes = pd.concat([e[["doc_id", "grp"]], e[["doc_id", "first"]].rename(columns={"first": "grp"})], ignore_index=True)
+        at = nodes.groupby(["doc_id", "grp"], sort=True).ngroup().to_numpy()
+        a, b = at[: len(e)], at[len(e) :]
+        label = np.arange(at.max(initial=-1) + 1)
+        while True:
+            before = label.copy()
+            np.minimum.at(label, a, before[b])
+            np.minimum.at(label, b, before[a])
+            label = label[label]
+            if (label == before).all():
+                break
+        spot = np.zeros(len(label), np.int64)
+        spot[at] = np.arange(len(at))  # a row of each node
+        moved = spot[label != np.arange(len(label))]
+        out = nodes.iloc[moved].reset_index(drop=True)
+        return out.assign(_to=nodes["grp"].to_numpy()[spot[label[at[moved]]]])
+
+    held = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        open_doc = (pdf["doc_id"] == pdf["doc_id"].iloc[-1]).to_numpy()
+        held = pdf[open_doc]
+        if not open_doc.all():
+            yield solved(pdf[~open_doc].reset_index(drop=True))
+    if held is not None:
+        yield solved(held.reset_index(drop=True))
+
+
 def joined_symbols(mentions: DataFrame, symbol: str = "symbol") -> DataFrame:
     """Split groups of one symbol take its least number, and a mention alone in
     its group is marked ``singleton`` (COR11). Without a symbol groups stay."""

@@ -50,13 +50,15 @@ def merged_by_first_letter(steps: DataFrame, story: str, order: str, label: str)
     return sequences.runs(steps.withColumn("_first", F.substring(label, 1, 1)), story, [order], "_first")
 
 
-def role_shares(functions: DataFrame, mentions: DataFrame, roles: list[str]) -> DataFrame:
+def role_shares(functions: DataFrame | None, mentions: DataFrame, roles: list[str], *, unique: bool = False) -> DataFrame:
     """Share of each role among the distinct mentions of a function (AGG6).
-    mentions: doc_id, fn_id, mention_id, role."""
-    m = mentions.select("doc_id", "fn_id", "mention_id", "role").distinct()
-    wide = m.groupBy("doc_id", "fn_id").pivot("role", roles).agg(F.countDistinct("mention_id")).na.fill(0)
+    mentions: doc_id, fn_id, mention_id, role; ``unique``: no row comes twice.
+    Without ``functions`` those that have mentions."""
+    m = mentions.select("doc_id", "fn_id", "mention_id", "role")
+    m = m if unique else m.distinct()  # so a role's mentions need only be counted
+    wide = m.groupBy("doc_id", "fn_id").agg(*[F.count(F.when(F.col("role") == r, F.col("mention_id"))).alias(r) for r in roles])
     total = sum((F.col(f"`{r}`") for r in roles), F.lit(0))
-    j = functions.select("doc_id", "fn_id").join(wide, ["doc_id", "fn_id"], "left").na.fill(0)
+    j = wide if functions is None else functions.select("doc_id", "fn_id").join(wide, ["doc_id", "fn_id"], "left").na.fill(0, roles)
     return j.select("doc_id", "fn_id", *[F.when(total == 0, 0.0).otherwise(F.col(f"`{r}`") / total).alias(r) for r in roles])
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from fabula.operators import classify, rules, semantics
+from fabula.operators import classify, mentions, rules, semantics
 from fabula.plans import files, queries
 from fabula.sources import standoff
 
@@ -73,3 +73,24 @@ def test_rules_are_learnt_once(spark, sf, monkeypatch):
     monkeypatch.setattr(rules, "assigned", lambda *a, **b: known.append(b["known"]) or assigned(*a, **b))
     queries()["rules_learnt"](spark, sf)
     assert seen[0].value == known[0].count()
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_lines_are_shuffled_once(spark, sf):
+    assert exchanges(queries()["role_shares"](spark, sf)) == 1
+
+
+def test_flags_take_one_aggregate_of_the_tokens(spark, sf):
+    # The lines, their words (twice: dealt and made distinct), and a word list at each side of a join.
+    assert exchanges(queries()["word_list_flags"](spark, sf)) <= 6
+
+
+def test_heads_merge_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr("fabula.operators.components.cut", lambda df: 1 / 0)  # no rounds
+    chain = [(d, k, k, [("NN", f"h{k}"), ("NN", f"h{k + 1}")]) for d in (1, 2) for k in range(30 - 20 * (d - 1))] + [(2, 90, 90, [("NN", "x")]), (3, 5, 5, [("NNS", "h1")])]
+    m = spark.createDataFrame(chain, "doc_id long, mention_id long, grp long, tokens array<struct<pos:string,lemma:string>>").repartition(3)
+    got = {(r.doc_id, r.mention_id): r.grp for r in mentions.merged_by_head(m, 2).collect()}
+    assert got == {(d, k): 0 if k < 90 and d < 3 else k for d, k, _, _ in chain}

@@ -84,8 +84,8 @@ def test_lines_are_shuffled_once(spark, sf):
 
 
 def test_flags_take_one_aggregate_of_the_tokens(spark, sf):
-    # The lines, their words (twice: dealt and made distinct), and a word list at each side of a join.
-    assert exchanges(queries()["word_list_flags"](spark, sf)) <= 6
+    plan = queries()["word_list_flags"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == 1  # none beside that with the lists
 
 
 def test_heads_merge_in_one_pass(spark, monkeypatch):

@@ -181,14 +181,19 @@ def reading_ease(spark, sf_dir):
     SELECT term1, term2, count(*) AS n FROM q WHERE term1 IS NOT NULL AND term2 IS NOT NULL GROUP BY 1, 2""",
 )
 def cooccurrence_window(spark, sf_dir):
-    """Pairs within two words of each other (WIN8). The neighbours are taken
-    from the document's own array, so nothing is joined."""
-    w = F.col("w")
-    d = table(spark, sf_dir, "documents").select("doc_id", T.words("text").alias("w"))
-    at = d.select("w", F.posexplode("w").alias("pos", "term1"))
-    around = F.array(*[F.get(w, F.col("pos") + k) for k in (-2, -1, 1, 2)])
-    pairs = at.select("term1", F.explode(around).alias("term2")).where("term2 is not null")
-    return pairs.groupBy("term1", "term2").agg(F.count(F.lit(1)).alias("n"))
+    """Pairs within two words of each other (WIN8). A pair is counted once, in
+    the order of its words, and turned round when all are counted."""
+
+    def after(w: Column, k: int) -> Column:
+        return F.zip_with(w, F.slice(w, k + 1, F.size(w)), lambda a, b: F.when(b.isNotNull(), F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))))
+
+    # The array is bound once: a document's words are not looked for again.
+    both = F.flatten(F.transform(F.array(T.words("text")), lambda w: F.concat(after(w, 1), after(w, 2))))
+    pairs = table(spark, sf_dir, "documents").select(F.explode(both).alias("p")).where("p is not null").select("p.a", "p.b")
+    n = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    turned = lambda x, y, k: F.struct(F.col(x).alias("term1"), F.col(y).alias("term2"), k.alias("n"))
+    out = F.when(F.col("a") == F.col("b"), F.array(turned("a", "b", F.col("n") * 2))).otherwise(F.array(turned("a", "b", F.col("n")), turned("b", "a", F.col("n"))))
+    return n.select(F.explode(out).alias("p")).select("p.*")
 
 
 def less_letters(word: Column) -> Column:

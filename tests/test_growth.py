@@ -1,9 +1,11 @@
 """Work that grows no faster than the input."""
 
+import numpy as np
+from pyspark.ml.classification import OneVsRest
 from pyspark.sql import functions as F
 
-from fabula.operators import classify, mentions, rules, semantics
-from fabula.plans import files, queries
+from fabula.operators import classify, cluster, mentions, rules, semantics
+from fabula.plans import files, queries, structure
 from fabula.sources import standoff
 
 
@@ -94,3 +96,8 @@ def test_heads_merge_in_one_pass(spark, monkeypatch):
     m = spark.createDataFrame(chain, "doc_id long, mention_id long, grp long, tokens array<struct<pos:string,lemma:string>>").repartition(3)
     got = {(r.doc_id, r.mention_id): r.grp for r in mentions.merged_by_head(m, 2).collect()}
     assert got == {(d, k): 0 if k < 90 and d < 3 else k for d, k, _, _ in chain}
+
+
+def test_neighbours_are_counted_once(spark, sf):
+    plan = queries()["cooccurrence_window"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "posexplode" not in plan and "least(" in plan  # no array beside each word, a pair in one order

@@ -40,11 +40,13 @@ def frequent_sets(baskets: DataFrame, items: str, support: float) -> DataFrame:
 
 
 def linear_svm(df: DataFrame, column: str, label: str, seed_iterations: int = 20):
-    """Linear support vector machine, one against the rest (CLS11)."""
+    """Linear support vector machine, one against the rest (CLS11). Several
+    labels' machines are fitted at a time: each is a row of short jobs that
+    leave most cores idle."""
     from pyspark.ml.classification import LinearSVC, OneVsRest
 
     train = vectors(df, column).where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
-    return OneVsRest(classifier=LinearSVC(maxIter=seed_iterations), labelCol=label, featuresCol="features", predictionCol="predicted").fit(train)
+    return OneVsRest(classifier=LinearSVC(maxIter=seed_iterations), parallelism=8, labelCol=label, featuresCol="features", predictionCol="predicted").fit(train)
 
 
 def decision_tree(df: DataFrame, column: str, label: str, depth: int = 6):

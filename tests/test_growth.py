@@ -106,3 +106,11 @@ def test_neighbours_are_counted_once(spark, sf):
 def test_parts_grow_with_the_lines(spark, sf, monkeypatch):
     monkeypatch.setattr(structure, "LINES_A_TASK", 500, raising=False)
     assert structure.lines(spark, sf).rdd.getNumPartitions() == -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500)
+
+
+def test_labels_machines_are_fitted_together(spark, monkeypatch):
+    seen, fit = [], OneVsRest.fit
+    monkeypatch.setattr(OneVsRest, "fit", lambda self, *a: seen.append(self.getParallelism()) or fit(self, *a))
+    rows = spark.createDataFrame([([1.0, 0.1], 0), ([0.1, 1.0], 1), ([-1.0, -1.0], 2)] * 4, "v array<double>, y int")
+    model = cluster.linear_svm(rows, "v", "y", 10)
+    assert seen[0] > 1 and {(r.y, int(r.predicted)) for r in model.transform(cluster.vectors(rows, "v")).collect()} == {(0, 0), (1, 1), (2, 2)}

@@ -114,3 +114,17 @@ def test_labels_machines_are_fitted_together(spark, monkeypatch):
     rows = spark.createDataFrame([([1.0, 0.1], 0), ([0.1, 1.0], 1), ([-1.0, -1.0], 2)] * 4, "v array<double>, y int")
     model = cluster.linear_svm(rows, "v", "y", 10)
     assert seen[0] > 1 and {(r.y, int(r.predicted)) for r in model.transform(cluster.vectors(rows, "v")).collect()} == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_leaders_are_those_of_a_whole_sort():
+    rng = np.random.default_rng(1)
+    for n, k in ((3, 5), (40, 5), (40, 1)):
+        sim, own = np.round(rng.random((6, n)), 1), rng.permutation(n)
+        sim[0], sim[1, ::2] = -2, -2
+        row, column = classify.leaders(sim, own, k)
+        want = np.lexsort((np.broadcast_to(own, sim.shape), -sim), axis=1)[:, :k]
+        assert column.tolist() == want.reshape(-1).tolist() and row.tolist() == np.repeat(np.arange(6), want.shape[1]).tolist()
+    q, v, w = rng.random((5, 7)), rng.random((300, 7)), rng.random(7)
+    q[0] = v[0] = 0
+    lo, hi = ((w * f(q[:, None], v[None])).sum(2) for f in (np.minimum, np.maximum))
+    assert np.allclose(classify.similarities(q, v, list(w)), np.where(hi == 0, 0.5, lo / np.where(hi == 0, 1, hi)), atol=1e-12)

@@ -392,5 +392,6 @@ def story_texts(spark, sf_dir):
     noted = c.withColumn("text", F.concat(F.lit("/* turn\n */"), "text"))
     one = writers.joined_text(noted.select("conv_id", "turn", writers.without_comments(F.col("text")).alias("text")), "conv_id", "turn", "text")
     path = new_folder(spark, "texts")
-    writers.text_per_key(one, path, "conv_id", "text")
-    return readers.text_documents(spark, path).select(F.regexp_replace("text", "\n$", "").alias("text"))
+    formats.register(spark)
+    one.select(F.col("conv_id").cast("string").alias("doc_id"), "text").write.format("stories").mode("overwrite").save(path)
+    return spark.read.format("stories").load(path).select(F.regexp_replace("text", "\n$", "").alias("text"))

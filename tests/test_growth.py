@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fabula.operators import classify, cluster, mentions, rules, semantics
 from fabula.plans import files, queries, structure
-from fabula.sources import standoff
+from fabula.sources import formats, standoff
 
 
 def counted(df, spark):
@@ -128,3 +128,17 @@ def test_leaders_are_those_of_a_whole_sort():
     q[0] = v[0] = 0
     lo, hi = ((w * f(q[:, None], v[None])).sum(2) for f in (np.minimum, np.maximum))
     assert np.allclose(classify.similarities(q, v, list(w)), np.where(hi == 0, 0.5, lo / np.where(hi == 0, 1, hi)), atol=1e-12)
+
+
+def test_stories_take_a_folder_for_each_task(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "new_folder", lambda *a: str(tmp_path / "texts"))
+    got = queries()["story_texts"](spark, sf).collect()
+    folders = [f for f in (tmp_path / "texts").iterdir() if f.is_dir()]
+    assert len(got) == len(list((tmp_path / "texts").glob("*/*.txt"))) and len(folders) <= 4 < len(got)
+
+
+def test_stories_keep_key_and_text(spark, tmp_path):
+    formats.register(spark)
+    rows = [("a/b.c", "x\ny"), ("_é", ""), (None, "z"), ("a/b.c", "again"), ("", "\n")]
+    spark.createDataFrame(rows, "doc_id string, text string").repartition(2).write.format("stories").mode("overwrite").save(str(tmp_path / "s"))
+    assert sorted((r.doc_id or "-", r.text) for r in spark.read.format("stories").load(str(tmp_path / "s")).collect()) == sorted((d or "-", t + "\n") for d, t in rows)

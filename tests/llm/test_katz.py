@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +123,20 @@ def test_empty_and_untrained(spark):
     only_held = [(i, "a b", "") for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
     got = katz.score_documents(spark.createDataFrame(only_held, SCHEMA)).collect()
     assert [r.n_known for r in got] == [0, 0, 0] and all(math.isfinite(r.score) for r in got)
+
+
+def test_blobs_are_read_and_written_one_by_one(spark, sf, monkeypatch):
+    """Nothing holds a batch of chunks: reader, Arrow, row groups and pages."""
+    seen, before = [], {name: spark.conf.get(name) for name in katz.ONE_ROW}
+    with katz.chunk_by_chunk(spark):
+        assert {spark.conf.get(name) for name in katz.ONE_ROW} == {"1"}
+    assert {name: spark.conf.get(name) for name in katz.ONE_ROW} == before
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * k % 997}" for k in range(400)), "") for i in range(120)], SCHEMA)
+    monkeypatch.setitem(katz.BLOBS, "parquet.block.size", "1024")
+    model, _ = katz.train_and_score(docs, chunk=400, bucket_bytes=60_000)
+    for f in model.tables[2].inputFiles():
+        meta = pq.ParquetFile(f.removeprefix("file://")).metadata
+        groups = [meta.row_group(k) for k in range(meta.num_row_groups)]
+        seen += [g.num_rows for g in groups]
+        assert {g.column(0).compression for g in groups} <= {"UNCOMPRESSED"}  # packed once already
+    assert seen and max(seen) <= 2

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabula.functions.text import words
+from fabula.session import written
 
 
 def term_counts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", stop: DataFrame | None = None, items: Column | None = None, least: int = 1, stemmer=None) -> DataFrame:
@@ -16,9 +17,9 @@ def term_counts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sto
     terms = docs.repartition(key).select(F.col(key), F.explode(words(text) if items is None else items).alias("term"))
     if stemmer is not None:
         terms = terms.withColumn("term", stemmer(F.col("term")))
-    if stop is not None:
-        terms = terms.join(stop.select("term"), "term", "left_anti")
     counted = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    if stop is not None:  # a word list fits each task; the counts stay where they are
+        counted = counted.join(F.broadcast(stop.select("term")), "term", "left_anti").select(key, "term", "n")
     return counted.where(F.col("n") >= least) if least > 1 else counted
 
 
@@ -41,6 +42,30 @@ def tf_idf(terms: DataFrame, n_docs: int, key: str = "doc_id") -> DataFrame:
     )
 
 
+def candidates(terms: DataFrame, frequency: DataFrame, n_docs: int, top: int, key: str = "doc_id", common: int = 200, digits: int = 9) -> DataFrame:
+    """The terms that can be among the ``top`` of their document: key, term, n,
+    total. Those in at least one document of ``common`` have their own idf, any
+    other one has between ln(common) and ln(N). There are at most ``common``
+    times as many common terms as a document has terms on average, whatever the
+    number of documents, so they are broadcast. An array holds a document's terms."""
+    known = frequency.where(F.col("df") * common >= n_docs).select("term", "idf")
+    cells = terms.where(F.col(key).isNotNull()).join(F.broadcast(known), "term", "left")
+    docs = cells.groupBy(key).agg(F.sum("n").alias("total"), F.collect_list(F.struct("term", "n", "idf")).alias("cells"))
+    weight = lambda c, idf: c["n"] / F.col("total") * F.coalesce(c["idf"], F.log(F.lit(float(idf))))
+    low = F.sort_array(F.transform("cells", lambda c: weight(c, common)), asc=False)
+    docs = docs.withColumn("least", F.coalesce(F.get(low, F.lit(top - 1)) - 10.0**-digits, F.lit(-1.0)))  # ties after rounding stay
+    kept = F.filter("cells", lambda c: weight(c, max(n_docs, 1)) >= F.col("least"))
+    return docs.select(key, "total", F.explode(kept).alias("c")).select(key, "c.term", "c.n", "total")
+
+
+def top_tf_idf(terms: DataFrame, n_docs: int, top: int, key: str = "doc_id", **options) -> DataFrame:
+    """Rows of ``tf_idf`` that hold the ``top`` of each document; only those
+    that can be among them meet the table of frequencies."""
+    frequency = written(document_frequency(terms, n_docs), "frequency")
+    met = candidates(terms, frequency, n_docs, top, key, **options).join(frequency, "term")
+    return met.withColumn("tf", F.col("n") / F.col("total")).drop("total").withColumn("weight", F.col("tf") * F.col("idf"))
+
+
 def keywords(weights: DataFrame, top: int = 10, key: str = "doc_id", digits: int = 9) -> DataFrame:
     """The heaviest terms of each document with their share (TOP4). Weights
     that agree to ``digits`` are ties, and go by the term."""

@@ -40,7 +40,7 @@ STOP_SQL = "stop AS (SELECT unnest([" + ", ".join(f"'{w}'" for w in STOP) + "])
 def doc_keywords(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     counted = bow.term_counts(docs, stop=stop_words(spark))
-    best = bow.keywords(bow.tf_idf(counted, docs.count()), 10)
+    best = bow.keywords(bow.top_tf_idf(counted, docs.count(), 10), 10)
     return best.select("doc_id", "term", F.col("rank").cast("long").alias("rank"), F.round("weight", 8).alias("weight"), F.round("share", 6).alias("share"))
 
 

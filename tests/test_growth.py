@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.ml.classification import OneVsRest
 from pyspark.sql import functions as F
 
-from fabula.operators import classify, cluster, mentions, rules, semantics
+from fabula.operators import bow, classify, cluster, mentions, rules, semantics
 from fabula.plans import files, queries, structure
 from fabula.sources import formats, standoff
 
@@ -142,3 +142,24 @@ def test_stories_keep_key_and_text(spark, tmp_path):
     rows = [("a/b.c", "x\ny"), ("_é", ""), (None, "z"), ("a/b.c", "again"), ("", "\n")]
     spark.createDataFrame(rows, "doc_id string, text string").repartition(2).write.format("stories").mode("overwrite").save(str(tmp_path / "s"))
     assert sorted((r.doc_id or "-", r.text) for r in spark.read.format("stories").load(str(tmp_path / "s")).collect()) == sorted((d or "-", t + "\n") for d, t in rows)
+
+
+def test_only_possible_keywords_meet_the_frequencies(spark):
+    rows = [(d, t, n) for d in range(60) for t, n in {"all": 5, f"t{d % 3}": 2, f"u{d % 20}": 1 + d % 4, f"own{d}": 1, f"v{d // 2}": 1, "most" if d else "x": 1}.items()]
+    rows += [(None, "all", 3), (None, "own1", 1), (70, "all", 1), (71, "u1", 2), (71, "u2", 2), (71, "u3", 2)]
+    terms, n = spark.createDataFrame(rows, "doc_id long, term string, n long"), 65
+    want = bow.keywords(bow.tf_idf(terms, n), 2)
+    got = bow.keywords(bow.top_tf_idf(terms, n, 2, common=4), 2)
+    rounded = lambda df: {(r.doc_id, r.term, r["rank"], r.n, r.df, round(r.weight, 12), round(r.share, 12)) for r in df.collect()}
+    assert rounded(got) == rounded(want) and want.count() == 123
+    assert bow.candidates(terms, bow.document_frequency(terms, n), n, 2, common=4).count() < 0.75 * len(rows)
+
+
+def test_keywords_sort_no_term_of_every_document(spark, sf):
+    plan = queries()["doc_keywords"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 2  # stop words and common terms move no term
+
+
+def test_stop_words_move_no_term(spark, sf):
+    plan = queries()["term_counts_threshold"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

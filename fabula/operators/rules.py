@@ -10,7 +10,8 @@ perhaps a number; ``?`` in front: the item takes a token if it can, else none.
 Token tables have a story, a position, a class symbol and ``ref``, what the
 token stands for. All rules share one automaton, whose states are prefixes of
 patterns; a level of it is a join of the live matches with the edges, so its
-cost does not depend on how many rules share a prefix.
+cost does not depend on how many rules share a prefix. It reads each sequence
+of classes once, however many tokens begin one.
 
 Weights are those of the other stories: totals of a rule over all stories less
 its own counts in the story, so leaving out each story in turn takes one plan.
@@ -22,12 +23,18 @@ import itertools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fabula.operators import tiles as tiling
 from fabula.session import written
 
+#: Votes of the stories that a task elects by; a story is not split.
+VOTES = 100_000
+
 #: Classes that stand for several symbols. The rule language.
 CLASSES = {"Q": ["q~", "q!"], "E": ["E", "S", "A", "R", "T"], "V": ["V", "E", "S", "A", "R", "T"]}
 
@@ -118,30 +125,36 @@ def automaton(rules: DataFrame, classes: dict[str, list[str]] | None = None) ->
     return every.where("symbol is not null").select("node", "symbol", "next"), every.where("rule is not null").select("node", "rule", "taken")
 
 
-def matches(tokens: DataFrame, rules: DataFrame, *, story: str = "story", pos: str = "pos", cls: str = "cls", ref: str = "ref", classes: dict[str, list[str]] | None = None) -> DataFrame:
-    """story, start, rule, taken and ``ahead``, the tokens that were read
-    (SEQ15). Tokens without a class or a position are left out before; equal
-    positions come in the order of class and ref."""
+def shapes(tokens: DataFrame, rules: DataFrame, *, story: str = "story", pos: str = "pos", cls: str = "cls", ref: str = "ref", classes: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(story, start, ahead, shape) of each token, where ``ahead`` has as many
+    tokens as the longest rule can take and ``shape`` their classes; and (shape,
+    rule, taken) of the matches that begin such a sequence of classes."""
     edges, ends = automaton(rules, classes)
     most = rules.agg(F.max(F.size("items"))).first()[0] or 0
     w = Window.partitionBy(story).orderBy(pos, cls, ref)
-    live = tokens.where(F.col(cls).isNotNull() & F.col(pos).isNotNull() & F.col(story).isNotNull()).select(
+    each = tokens.where(F.col(cls).isNotNull() & F.col(pos).isNotNull() & F.col(story).isNotNull()).select(
         F.col(story).alias("story"),
         F.row_number().over(w).alias("start"),
         F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(cls).alias("cls"), F.col(ref).alias("ref"))).over(w.rowsBetween(0, max(most - 1, 0))).alias("ahead"),
-        F.lit("").alias("node"),
     )
+    each = written(each.withColumn("shape", F.transform("ahead", lambda x: x["cls"])), "ahead")
+    live = each.select("shape").distinct().withColumn("node", F.lit(""))
     found = None
     for k in range(most):
-        symbol = F.get("ahead", F.lit(k))["cls"]
-        live = written(live.withColumn("symbol", symbol).join(edges, ["node", "symbol"]).select("story", "start", "ahead", F.col("next").alias("node")), "live")
-        hits = live.join(ends, "node").select("story", "start", "rule", "taken", "ahead")
+        live = written(live.withColumn("symbol", F.get("shape", F.lit(k))).join(edges, ["node", "symbol"]).select("shape", F.col("next").alias("node")), "live")
+        hits = live.join(ends, "node").select("shape", "rule", "taken")
         found = hits if found is None else found.union(hits)
         if live.isEmpty():
             break
-    if found is None:
-        return live.where("false").join(ends, "node").select("story", "start", "rule", "taken", "ahead")
-    return found.distinct()
+    return each, (live.where("false").join(ends, "node").select("shape", "rule", "taken") if found is None else found.distinct())
+
+
+def matches(tokens: DataFrame, rules: DataFrame, *, story: str = "story", pos: str = "pos", cls: str = "cls", ref: str = "ref", classes: dict[str, list[str]] | None = None) -> DataFrame:
+    """story, start, rule, taken and ``ahead``, the tokens that were read
+    (SEQ15). Tokens without a class or a position are left out before; equal
+    positions come in the order of class and ref."""
+    each, found = shapes(tokens, rules, story=story, pos=pos, cls=cls, ref=ref, classes=classes)
+    return each.join(found, "shape").select("story", "start", "rule", "taken", "ahead")
 
 
 def proposals(found: DataFrame, rules: DataFrame) -> DataFrame:
@@ -190,6 +203,105 @@ def elected(votes: DataFrame, method: str = "top") -> DataFrame:
     return ranked.where("r = 1").select(*at, "value", "score")
 
 
+def sayings(tokens: DataFrame, rules: DataFrame, known: DataFrame | None, classes: dict[str, list[str]] | None) -> tuple[DataFrame, DataFrame, int]:
+    """What ``proposals`` says, repeats included, with a number ``rid`` for each
+    rule; (rule, rid); and at most how many rows. What a rule says of a sequence
+    of classes is worked out once for all tokens that begin one. A rule that one
+    story alone has taught is not used there."""
+    names = rules.select("rule", "actions")
+    if known is not None:
+        by = known.groupBy("rule").agg(F.count_distinct("story").alias("many"), F.min("story").alias("only")).where("many > 0")
+        names = names.join(by, "rule").withColumn("only", F.when(F.col("many") == 1, F.col("only")))
+    names = written(names.withColumn("rid", F.monotonically_increasing_id()), "numbered")
+    each, found = shapes(tokens, rules, classes=classes)
+    place = lambda item: (F.array_position("taken", item) - 1).cast("int")
+    said = found.join(names, "rule").select("*", F.explode("actions").alias("a")).select("shape", F.struct("rid", *(["only"] if known is not None else []), place(F.col("a.target")).alias("to"), F.col("a.field").alias("field"), place(F.col("a.source")).alias("from"), F.col("a.of").alias("of")).alias("x"))
+    said = written(said.where("x.to >= 0 and x.from >= 0").groupBy("shape").agg(F.collect_set("x").alias("said")), "said")
+    held = each.join(said, "shape")
+    x, source = F.col("x"), F.get("ahead", F.col("x.from"))
+    rows = held.select("story", "ahead", F.explode("said").alias("x"))
+    if known is not None:
+        rows = rows.where(x["only"].isNull() | (x["only"] != F.col("story")))
+    rows = rows.select("story", F.get("ahead", x["to"])["pos"].alias("pos"), x["field"].alias("field"), x["rid"].alias("rid"), F.when(x["of"].isNull(), source["ref"]).alias("value"), F.when(x["of"].isNotNull(), source["pos"]).alias("from_pos"), x["of"].alias("of"))
+    return rows.where("value is not null or of is not null"), names.select("rule", "rid"), held.agg(F.sum(F.size("said"))).first()[0] or 0
+
+
+def codes(*columns: np.ndarray) -> np.ndarray:
+    """One number for each combination."""
+    out = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        own, kinds = pd.factorize(c)
+        out = pd.factorize(out * max(len(kinds), 1) + own)[0]
+    return out
+
+
+class Votes:
+    """The votes of some stories by the assignments before, each once: numbers
+    of cells (story, pos and field) and values, and of groups (rule, field and
+    story), and what of a group's votes can be checked and is right."""
+
+    def __init__(self, said: pa.Table, gold: pa.Table | None, before: pa.Table | None):
+        tables = [t for t in (gold, before) if t is not None]
+        of = said["of"].to_pandas().to_numpy(object)
+        follow = np.flatnonzero(said["of"].is_valid().to_numpy())
+        array = lambda t, c: t[c].to_pandas().to_numpy()
+        whole = lambda c: said[c].fill_null(0).to_numpy() if pa.types.is_integer(said[c].type) else array(said, c)
+        joined = lambda c, source: np.concatenate([array(said, c), source[follow], *[array(t, c) for t in tables]])
+        self.story, self.pos, self.field = joined("story", array(said, "story")), joined("pos", whole("from_pos")), joined("field", of)
+        cell = codes(self.story, self.pos, self.field)
+        value, self.values = pd.factorize(np.concatenate([said["value"].to_pandas().to_numpy(object), *[t["value"].to_pandas().to_numpy(object) for t in tables]]), sort=True)
+        self.cells, n = int(cell.max()) + 1, said.num_rows
+        known, first, source = [], n, cell[n : n + len(follow)]
+        for t in (gold, before):
+            at = np.full(self.cells, -1)
+            if t is not None:
+                at[cell[first + len(follow) :][: t.num_rows]] = value[first : first + t.num_rows]
+                first += t.num_rows
+            known.append(at)
+        value = value[:n].copy()
+        value[follow] = known[1][source]
+        rid = said["rid"].to_numpy()
+        row = np.flatnonzero(value >= 0)
+        row = row[~pd.Series(codes(cell[row], rid[row], value[row])).duplicated().to_numpy()]
+        self.row, self.cell, self.value, self.rid = row, cell[row], value[row], rid[row]
+        self.group = codes(self.rid, self.field[row], self.story[row])
+        truth = known[0][self.cell]
+        self.groups = int(self.group.max(initial=-1)) + 1
+        self.n, self.hits = np.bincount(self.group, truth >= 0, self.groups), np.bincount(self.group, truth == self.value, self.groups)
+        at = np.zeros(self.groups, np.int64)
+        at[self.group] = np.arange(len(row))
+        self.kinds = pd.DataFrame({"rid": self.rid[at], "field": self.field[row][at], "story": self.story[row][at]})
+
+    def totals(self) -> pd.DataFrame:
+        return self.kinds.assign(n=self.n.astype(np.int64), hits=self.hits.astype(np.int64)).groupby(["rid", "field"], as_index=False)[["n", "hits"]].sum()
+
+    def weights(self, totals: pd.DataFrame) -> pd.DataFrame:
+        """Of each group, by the votes of all other stories."""
+        both = self.kinds.merge(totals, "left", ["rid", "field"])
+        n, hits = both["n"].to_numpy() - self.n, both["hits"].to_numpy() - self.hits
+        return self.kinds.assign(n=n.astype(np.int64), hits=hits.astype(np.int64), weight=(hits + 1) / (n + 2))
+
+    def elected(self, totals: pd.DataFrame, method: str, least: float) -> pd.DataFrame:
+        """``elected`` of these stories."""
+        weight = self.weights(totals)["weight"].to_numpy()[self.group]
+        heard = weight > least
+        cell, value, row, weight = self.cell[heard], self.value[heard], self.row[heard], weight[heard]
+        per = codes(cell, value)
+        size = int(per.max(initial=-1)) + 1
+        one = np.zeros(size, np.int64)
+        one[per] = np.arange(len(per))
+        n, w, best = np.bincount(per, minlength=size), np.bincount(per, weight, size), np.zeros(size)
+        np.maximum.at(best, per, weight)
+        at = cell[one]
+        m, total = np.bincount(at, n, self.cells)[at], np.bincount(at, w, self.cells)[at]
+        others = np.where(m > 1, n / np.maximum(m - 1, 1) * ((m - n) - (total - w)), 0.0)
+        score = np.round({"top": best, "weight": w, "bayes": w + others, "counter": n.astype(float)}[method], 9)
+        order = np.lexsort((value[one], -score, at))
+        order = order[np.concatenate([[True], at[order][1:] != at[order][:-1]])] if size else order
+        row = row[one[order]]
+        return pd.DataFrame({"story": self.story[row], "pos": self.pos[row], "field": self.field[row], "value": self.values[value[one[order]]], "score": score[order]})
+
+
 def assigned(
     tokens: DataFrame, gold: DataFrame, rules: DataFrame, *, method: str = "top", passes: int = 5, least: float = 0.0,
     known: DataFrame | None = None, classes: dict[str, list[str]] | None = None,
@@ -205,32 +317,54 @@ def assigned(
     (rule, story): the stories that taught a rule; it is then used only where
     another story has taught it. Null values, stories and positions say
     nothing; a gold value given twice is the lesser one.
+
+    What rules say is written once, story by story in parts. A pass takes the
+    parts twice: for the counts of the rules, which are summed over all of them
+    and read by every task (a row for each rule and field), and for the election.
+    Nothing else is shuffled in a pass but the assignments.
     """
-    gold = written(gold.where("value is not null").groupBy("story", "pos", "field").agg(F.min("value").alias("value")), "gold")
-    said = written(proposals(matches(tokens, rules, classes=classes), rules), "proposals")
-    if known is not None:
-        taught = known.select("rule", "story").distinct()
-        many = taught.groupBy("rule").agg(F.count(F.lit(1)).alias("many"))
-        own = taught.withColumn("own", F.lit(1))
-        said = written(said.join(many, "rule").join(own, ["rule", "story"], "left").where(F.col("many") > F.coalesce("own", F.lit(0))).drop("many", "own"), "proposals")
-    plain = said.where("of is null").select("story", "pos", "field", "rule", "value")
-    follow = said.where("of is not null")
-    out, before = None, None
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}")
+    spark = tokens.sparkSession
+    said, names, rows = sayings(tokens, rules, known, classes)
+    kinds = dict(said.dtypes)
+    parts = tiling.tiles_for(rows, VOTES, 1, VOTES)
+    part = F.pmod(F.xxhash64(F.col("story").cast(kinds["story"])), F.lit(parts)).cast("int")
+    at = {"said": tiling.in_tiles(said, part, parts), "before": None, "totals": None}
+    truth = gold.where("value is not null").groupBy("story", "pos", "field").agg(F.min("value").alias("value"))
+    at["gold"] = tiling.in_tiles(truth.select(F.col("story").cast(kinds["story"]), F.col("pos").cast(kinds["pos"]), "field", "value"), part, parts)
+    at_least = ["story", "pos", "field", "value"]
+
+    def taken(what: str, schema: str, at: dict) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for k in pdf["id"].tolist():
+                    rows = tiling.read_tile(at["said"], k, ["story", "pos", "field", "rid", "value", "from_pos", "of"])
+                    if rows is None:
+                        continue
+                    votes = Votes(rows, tiling.read_tile(at["gold"], k, at_least), at["before"] and tiling.read_tile(at["before"], k, at_least))
+                    totals = None if what == "totals" else tiling.read_tile(at["totals"], 0, ["rid", "field", "n", "hits"])
+                    if what == "totals":
+                        yield votes.totals()
+                    elif totals is not None:
+                        yield votes.weights(totals.to_pandas()) if what == "weights" else votes.elected(totals.to_pandas(), method, least)
+
+        return spark.range(0, parts, 1, min(parts, tiling.TASKS)).mapInPandas(run, schema)
+
+    form, last = f"story {kinds['story']}, pos {kinds['pos']}, field string, value string, score double", None
     for _ in range(1 + passes):
-        votes = plain
-        if out is not None:
-            there = out.select("story", F.col("pos").alias("from_pos"), F.col("field").alias("of"), F.col("value").alias("copied"))
-            votes = plain.union(follow.join(there, ["story", "from_pos", "of"]).select("story", "pos", "field", "rule", F.col("copied").alias("value"))).distinct()
-        votes = written(votes, "votes")
-        weights = written(held_out_weights(votes, gold), "weights")
-        heard = votes.join(weights.select("rule", "field", "story", "weight"), ["rule", "field", "story"]).where(F.col("weight") > least)
-        out = written(elected(heard, method), "assigned")
+        counts = taken("totals", "rid long, field string, n long, hits long", dict(at)).groupBy("rid", "field").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+        at["totals"] = tiling.in_tiles(counts, F.lit(0), 1)
+        by = dict(at)
+        at["before"] = tiling.in_tiles(taken("elected", form, by), part, parts)
+        out = spark.read.schema(form).parquet(at["before"]).select("story", "pos", "field", "value", "score")
         # One row: how many assignments, and a checksum of them.
         now = tuple(out.agg(F.count(F.lit(1)), F.sum(F.xxhash64("story", "pos", "field", "value").cast("decimal(38,0)"))).first())
-        if now == before:
+        if now == last:
             break
-        before = now
-    return out, weights
+        last = now
+    weights = taken("weights", f"rid long, field string, story {kinds['story']}, n long, hits long, weight double", by)
+    return out, weights.join(names, "rid").select("rule", "field", "story", "n", "hits", "weight")
 
 
 def scores(out: DataFrame, gold: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -253,31 +387,32 @@ def extracted(tokens: DataFrame, gold: DataFrame, *, before: int = 2, after: int
     known = one_each.groupBy("story", "pos").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("truth"))  # fields are two
     w = Window.partitionBy("story").orderBy("pos", cls, ref)
     t = tokens.where(F.col(cls).isNotNull() & F.col("pos").isNotNull() & F.col("story").isNotNull()).join(known, ["story", "pos"], "left")
-    one = F.struct(F.col(cls).alias("cls"), F.col(ref).alias("ref"), "truth")
+    one = F.struct(F.col(cls).alias("cls"), F.col(ref).alias("ref"), F.map_entries(F.coalesce("truth", F.create_map().cast("map<string,string>"))).alias("truth"))
     around = t.select(
         "story", "truth",
         F.collect_list(one).over(w.rowsBetween(-before, after)).alias("near"),
         F.least(F.row_number().over(w) - 1, F.lit(before)).alias("own"),
-    ).where("truth is not null")
-    spans = around.select(
-        "story", "truth", "near", "own",
+    ).where("truth is not null").withColumn("truth", F.map_entries("truth"))
+    # What is alike about the tokens, without the values: few kinds, from which the rules are made once.
+    same = lambda x: F.transform(F.filter("truth", lambda f: f["value"] == x["ref"]), lambda f: f["key"])
+    both = lambda x: F.flatten(F.transform("truth", lambda f: F.transform(F.filter(x["truth"], lambda g: g["value"] == f["value"]), lambda g: F.struct(f["key"].alias("own"), g["key"].alias("other")))))
+    held = written(around.select("story", "own", F.transform("near", lambda x: F.struct(x["cls"].alias("cls"), same(x).alias("same"), both(x).alias("both"))).alias("near")).distinct(), "kinds")
+    spans = held.select("near", "own").distinct().select(
+        "near", "own",
         F.explode(F.sequence(F.lit(0), "own")).alias("first"),
     ).select("*", F.explode(F.sequence("own", F.size("near") - 1)).alias("last"))
-    cut = spans.where("last > first").select("story", "truth", (F.col("own") - F.col("first")).alias("at"), F.slice("near", F.col("first") + 1, F.col("last") - F.col("first") + 1).alias("near"))
+    kind = [F.col("near").alias("_near"), F.col("own").alias("_own")]
+    cut = spans.where("last > first").select(*kind, (F.col("own") - F.col("first")).alias("at"), F.slice("near", F.col("first") + 1, F.col("last") - F.col("first") + 1).alias("near"))
     name = lambda x, k: F.concat(x["cls"], k.cast("string"))
     pattern = F.array_join(F.transform("near", lambda x, k: name(x, k)), " ")
     own = F.concat(F.get("near", F.col("at"))["cls"], F.col("at").cast("string"))
-    fields = F.map_entries("truth")
-    plain = F.flatten(F.transform("near", lambda x, k: F.transform(F.filter(fields, lambda f: (f["value"] == x["ref"]) & (k != F.col("at"))), lambda f: F.concat(own, F.lit("."), f["key"], F.lit("="), name(x, k)))))
-    pairs = F.flatten(
-        F.transform("near", lambda x, k: F.flatten(F.transform(fields, lambda f: F.transform(
-            F.filter(F.map_entries(F.coalesce(x["truth"], F.create_map().cast("map<string,string>"))), lambda g: (g["value"] == f["value"]) & (k != F.col("at"))),
-            lambda g: F.concat(own, F.lit("."), f["key"], F.lit("="), name(x, k), F.lit("."), g["key"]),
-        ))))
-    )
-    both = cut.select("story", pattern.alias("p"), F.array_sort(plain).alias("plain"), F.array_sort(pairs).alias("pairs"))
+    others = lambda action: F.flatten(F.transform("near", lambda x, k: F.when(k != F.col("at"), action(x, k)).otherwise(F.array().cast("array<string>"))))
+    plain = others(lambda x, k: F.transform(x["same"], lambda f: F.concat(own, F.lit("."), f, F.lit("="), name(x, k))))
+    pairs = others(lambda x, k: F.transform(x["both"], lambda f: F.concat(own, F.lit("."), f["own"], F.lit("="), name(x, k), F.lit("."), f["other"])))
+    made = cut.select("_near", "_own", pattern.alias("p"), F.array_sort(plain).alias("plain"), F.array_sort(pairs).alias("pairs"))
     text = lambda mark, c: F.when(F.size(c) > 0, F.concat(F.lit(mark), "p", F.lit(" > "), F.array_join(c, " ")))
-    taught = both.select("story", F.explode(F.array(text("", "plain"), text("_", "pairs"))).alias("rule")).where("rule is not null").distinct()
+    made = made.select("_near", "_own", F.explode(F.array(text("", "plain"), text("_", "pairs"))).alias("rule")).where("rule is not null").distinct()
+    taught = held.join(made, (F.col("near") == F.col("_near")) & (F.col("own") == F.col("_own"))).select("story", "rule").distinct()
     return table_of(taught.select("rule").distinct()), taught
 
 
@@ -312,4 +447,5 @@ def loosened(taught: DataFrame) -> DataFrame:
 
     variants = F.aggregate(items, F.array(F.lit("")), grown)
     mark = F.when(F.startswith(F.col("rule"), F.lit("_")), "_").otherwise("")
-    return taught.select("story", F.explode(F.transform(variants, lambda v: F.concat(mark, F.ltrim(v), F.lit(" > "), text[1]))).alias("rule")).distinct()
+    loose = taught.select("rule").distinct().select("rule", F.explode(F.transform(variants, lambda v: F.concat(mark, F.ltrim(v), F.lit(" > "), text[1]))).alias("loose"))
+    return taught.join(loose, "rule").select("story", F.col("loose").alias("rule")).distinct()

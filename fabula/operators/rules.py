@@ -33,7 +33,7 @@ from fabula.operators import tiles as tiling
 from fabula.session import written
 
 #: Votes of the stories that a task elects by; a story is not split.
-VOTES = 100_000
+VOTES = 400_000
 
 #: Classes that stand for several symbols. The rule language.
 CLASSES = {"Q": ["q~", "q!"], "E": ["E", "S", "A", "R", "T"], "V": ["V", "E", "S", "A", "R", "T"]}
